@@ -1 +1,8 @@
 """Citelake: web pages into clean, queryable, source-backed data, on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors carry their code with them, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
