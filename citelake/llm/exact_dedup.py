@@ -9,39 +9,13 @@ where it is told apart, so results are exact; texts never leave the task that sc
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PREFIX_CHARS = 64
-FILTER_BITS = 1 << 23
-_BLOCK = 32_768  # bits that bitmap_construct_agg gathers in one value
-
-
-def _bitmap(keys: DataFrame, key: Column, bits: int) -> DataFrame:
-    """At most ``bits`` / 32,768 rows of 4 KB each: the hashed keys as a bitmap."""
-    slots = keys.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("slot"))
-    return slots.groupBy((F.col("slot") / _BLOCK).cast("int").alias("block")).agg(
-        F.bitmap_construct_agg(F.col("slot") % _BLOCK).alias("bits")
-    )
-
+from citelake.llm.bitmap import BITS, bitmap_of, flag, possible
 
-def _surviving(rows: DataFrame, key: Column, bitmap: DataFrame, bits: int) -> DataFrame:
-    """Rows whose hashed key has its bit set."""
-    return _flagged(rows, key, bitmap, bits).where("_maybe").drop("_maybe")
-
-
-def _flagged(rows: DataFrame, key: Column, bitmap: DataFrame, bits: int) -> DataFrame:
-    """``rows`` with ``_maybe``: whether the hashed key has its bit set.  The broadcast has a fixed size."""
-    at = F.col("_slot") % _BLOCK
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1
-    return (
-        rows.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(bits)))
-        .withColumn("_block", (F.col("_slot") / _BLOCK).cast("int"))
-        .join(F.broadcast(bitmap), F.col("_block") == F.col("block"), "left")
-        .withColumn("_maybe", F.coalesce(is_set, F.lit(False)))
-        .drop("_slot", "_block", "block", "bits")
-    )
+PREFIX_CHARS = 64
+FILTER_BITS = BITS
 
 
 def duplicate_groups(
@@ -55,11 +29,11 @@ def duplicate_groups(
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.octet_length(text).alias("n_bytes"))
     lengths = base.groupBy("n_bytes").count().where("count > 1")
-    second = _surviving(base, F.col("n_bytes"), _bitmap(lengths, F.col("n_bytes"), filter_bits), filter_bits)
+    second = possible(base, F.col("n_bytes"), bitmap_of(lengths, F.col("n_bytes"), filter_bits), filter_bits)
     second = second.withColumn("_prefix", F.xxhash64(F.substring("_text", 1, prefix_chars)))
     pair = F.struct("n_bytes", "_prefix")
     prefixes = second.groupBy("n_bytes", "_prefix").count().where("count > 1")
-    third = _surviving(second, pair, _bitmap(prefixes, pair, filter_bits), filter_bits)
+    third = possible(second, pair, bitmap_of(prefixes, pair, filter_bits), filter_bits)
     return (
         third.select("_id", "n_bytes", F.sha2("_text", 256).alias("text_sha256"))
         .groupBy("n_bytes", "text_sha256")
@@ -105,8 +79,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col), F.lit(""))
     groups = duplicate_groups(docs, id_col, text_col, **refinement)
     groups = groups.select(F.col("text_sha256").alias("_g_sha"), F.col("keep_id").alias("_keep_id"))
-    bitmap = _bitmap(groups, F.col("_g_sha"), bits)
-    flagged = _flagged(docs.withColumn("_sha", F.sha2(text, 256)), F.col("_sha"), bitmap, bits)
+    bitmap = bitmap_of(groups, F.col("_g_sha"), bits)
+    flagged = flag(docs.withColumn("_sha", F.sha2(text, 256)), F.col("_sha"), bitmap, bits)
     single = flagged.where(~F.col("_maybe")).select(columns)
     maybe = flagged.where("_maybe").join(groups, F.col("_sha") == F.col("_g_sha"), "left")
     lone = maybe.where("_g_sha is null").select(columns)

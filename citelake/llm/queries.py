@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from citelake.llm.exact_dedup import exact_dedup
 from citelake.llm.mixing import mix_report
+from citelake.llm.near_dedup import near_duplicates
 from citelake.llm.sharding import shard_records
 
 
@@ -15,6 +16,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), shingle=2)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_documents(spark, sf_dir))
 
@@ -28,6 +33,7 @@ def op8_shard_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_dedup": op2_near_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_shard_records": op8_shard_records,
