@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from citelake.llm import lang_id
 from citelake.llm.exact_dedup import exact_dedup
 from citelake.llm.mixing import mix_report
 from citelake.llm.near_dedup import near_duplicates
@@ -20,6 +22,19 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), shingle=2)
 
 
+def _remainder(id_col: str, mod: int):
+    """crc32 of the id as text, modulo ``mod``; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % mod
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = _remainder("doc_id", 5) == 0
+    model = lang_id.fit(docs.where(~held_out))
+    found = lang_id.predict(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_documents(spark, sf_dir))
 
@@ -34,6 +49,7 @@ def op8_shard_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
+    "op4_language_id": op4_language_id,
     "op5_mix_sources": op5_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_shard_records": op8_shard_records,
