@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citelake.llm import lang_id, toxicity
 from citelake.llm.exact_dedup import exact_dedup
+from citelake.llm.fingerprints import compare_with_edits
 from citelake.llm.mixing import mix_report
 from citelake.llm.near_dedup import near_duplicates
 from citelake.llm.sharding import shard_records
@@ -36,6 +37,10 @@ def _remainder(id_col: str, mod: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % mod
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(_documents(spark, sf_dir))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held_out = _remainder("doc_id", 5) == 0
@@ -59,6 +64,7 @@ def op8_shard_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
+    "op3_fingerprints": op3_fingerprints,
     "op4_language_id": op4_language_id,
     "op5_mix_sources": op5_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
