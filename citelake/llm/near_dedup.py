@@ -10,10 +10,17 @@ Candidates: documents that agree in all ``rows`` coordinates of one of ``bands``
 of similarity 0.8 shares no band with probability (1 - 0.8^5)^36 < 1e-6.
 
 Links: documents with the same set are one class, told by 128 bits of sums over the set, and only one member
-of each class goes on.  Within a bucket (band value) members are first checked against two leaders; buckets
-whose members are by then connected need no more pairs.  This repeats with other leaders, and what is still
-open at last is checked pair by pair between different components, so no link that candidates hold is lost and
-a large group of copies costs a few pairs per member.  Every link is confirmed on the full sets.
+of each class goes on.  Each bucket (band value) has a leader L, the member that is in most buckets, and each
+member x is compared with it: ``r`` elements of L are missing in x and ``u`` are new, together its difference D.
+Members that link to L are connected through it and need no other pair.  What is left are pairs with a member
+that does not link to L, and for two members under the same leader
+
+    shared(x, y) = |L| - r(x) - r(y) + |D(x) & D(y)|
+
+so linking takes a number of common differences that follows from sizes alone.  Only pairs that can reach it and
+have an element in common among the first differences (new ones first, as many as the needed number leaves) are
+looked at.  That is exact, and since differences are rare where a group's text is common, a large group of copies
+costs a few pairs per member.  Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -34,8 +41,6 @@ SHINGLE = 5
 PERCENT = 80
 BANDS = 36
 ROWS = 5
-#: Leader rounds before what is open is checked pair by pair; they end early when that costs no more.
-LEADER_ROUNDS = 4
 
 
 def sketch(hashes: np.ndarray, begins: np.ndarray, bins: int) -> np.ndarray:
@@ -112,13 +117,56 @@ def _set_batches(shingle: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a < b) with their verdict on the full sets: ``a, b, linked``."""
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a < b) that link on their full sets."""
     left, right = sets.toDF("_a", "sa"), sets.toDF("_b", "sb")
     both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
     shared = F.size(F.array_intersect("sa", "sb"))
-    linked = shared * 100 >= (F.size("sa") + F.size("sb") - shared) * percent
-    return both.select("a", "b", linked.alias("linked"))
+    return both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * percent).select("a", "b")
+
+
+def _components(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Components of the links between members of the same bucket: ``node, component``."""
+    busy = members.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("id", "_id")
+    rank = F.struct(-F.col("_n"), F.xxhash64("id"), F.col("id").alias("id"))
+    leaders = members.join(busy, F.col("id") == F.col("_id")).groupBy("bucket").agg(F.min(rank)["id"].alias("lead"))
+    led = members.join(leaders.withColumnRenamed("bucket", "_b"), F.col("bucket") == F.col("_b")).where("id <> lead").select("lead", "id").distinct()
+    one, other = sets.toDF("_lead", "ls"), sets.toDF("_id", "xs")
+    compared = led.join(one, F.col("lead") == F.col("_lead")).join(other, F.col("id") == F.col("_id"))
+    compared = compared.select("lead", "id", F.size("ls").alias("size"), F.array_except("ls", "xs").alias("gone"), F.array_except("xs", "ls").alias("new"))
+    # in units of 1 / (100 + percent) common differences: what x adds to the needed number, and what L takes off
+    adds = F.size("gone") * 100 + F.size("new") * percent
+    compared = compared.select(
+        "lead", "id", adds.alias("adds"), (F.col("size") * (100 - percent)).alias("off"),
+        F.concat(F.array_sort("new"), F.array_sort("gone")).alias("diff"),
+    )
+    compared = scratch.keep(compared, "compared")
+    near = compared.where("adds <= off").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    first = connected_components(near, scratch, "first")
+
+    unit = 100 + percent
+    rest = compared.where("adds > off")
+    stray = scratch.keep(rest.select(F.col("lead").alias("_lead")).distinct(), "stray")
+    in_doubt = compared.join(stray, F.col("lead") == F.col("_lead"), "left_semi")
+    in_doubt = in_doubt.join(first.toDF("_node", "_comp"), F.col("id") == F.col("_node"), "left").withColumn("comp", F.coalesce("_comp", "id"))
+    in_doubt = in_doubt.withColumn("n", F.size("diff"))
+
+    def heads(rows: DataFrame, least) -> DataFrame:
+        """The first differences of each row, such that a partner with ``least`` common ones or more has one of them."""
+        rows = rows.withColumn("_least", least).where("_least <= n")
+        return rows.select("lead", "id", "adds", "off", "n", "comp", F.explode(F.slice("diff", F.lit(1), F.col("n") - F.col("_least") + 1)).alias("d"))
+
+    any_member = heads(in_doubt, F.floor(F.col("adds") / unit).cast("int") + 1)
+    far_member = heads(in_doubt.where("adds > off"), F.greatest(F.lit(1), F.ceil((F.col("adds") - F.col("off")) / unit).cast("int")))
+    far_member = far_member.toDF("lead_", "id_", "adds_", "off_", "n_", "comp_", "d_")
+    needed = F.col("adds") + F.col("adds_") - F.col("off")
+    both = (F.col("lead") == F.col("lead_")) & (F.col("d") == F.col("d_"))
+    may_link = (F.col("comp") != F.col("comp_")) & (needed <= F.least("n", "n_") * unit)
+    pairs = any_member.join(far_member, both & may_link).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+    links = scratch.keep(_links(pairs, sets, percent), "links")
+    if not links.take(1):
+        return first
+    return connected_components(links.union(first.select("node", "component")), scratch, "second")
 
 
 def near_duplicates(
@@ -163,49 +211,12 @@ def near_duplicates(
     sets = texts.mapInArrow(_set_batches(shingle), "id long, members array<long>")
     sets = scratch.keep(sets.join(wanted, F.col("id") == F.col("_w"), "left_semi"), "sets")
 
-    links, reached, done = None, None, None
-    for step in range(LEADER_ROUNDS + 1):
-        comp = F.col("id") if reached is None else F.coalesce("component", "id")
-        open_members = members if reached is None else members.join(reached, F.col("id") == F.col("node"), "left")
-        open_members = open_members.select("bucket", "id", comp.alias("comp"))
-        if reached is not None:
-            mixed = open_members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-            mixed = mixed.select(F.col("bucket").alias("_open"))
-            open_members = open_members.join(mixed, F.col("bucket") == F.col("_open"), "left_semi")
-        open_members = scratch.keep(open_members, f"open-{step}")
-        cost = open_members.groupBy("bucket", "comp").count().groupBy("bucket").agg(
-            F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own")
-        )
-        n, pairs = cost.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0))).first()
-        if not n:
-            break
-        last = step == LEADER_ROUNDS or pairs <= 3 * n
-        if last:
-            other = open_members.toDF("_bucket", "b", "other")
-            found = open_members.join(other, (F.col("bucket") == F.col("_bucket")) & (F.col("id") < F.col("b")) & (F.col("comp") != F.col("other")))
-            found = found.select(F.col("id").alias("a"), "b")
-        else:
-            rank = F.struct(F.xxhash64(F.col("id"), F.lit(step)), F.col("id").alias("id"))
-            leaders = open_members.groupBy("bucket").agg(F.array(F.min(rank)["id"], F.max(rank)["id"]).alias("heads"))
-            leaders = leaders.select(F.col("bucket").alias("_bucket"), F.explode(F.array_distinct("heads")).alias("head"))
-            found = open_members.join(leaders, F.col("bucket") == F.col("_bucket")).where("id <> head")
-            found = found.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
-        found = found.distinct()
-        if done is not None:
-            found = found.join(done.select(F.col("a").alias("_da"), F.col("b").alias("_db")), (F.col("a") == F.col("_da")) & (F.col("b") == F.col("_db")), "left_anti")
-        verdicts = scratch.keep(_verified(found, sets, percent), f"verdicts-{step}")
-        done = verdicts if done is None else done.union(verdicts)
-        links = done.where("linked").select("a", "b")
-        reached = connected_components(links, scratch, f"components-{step}")
-        if last:
-            break
+    reached = _components(scratch, members, sets, percent)
 
     rows_key = sketches.withColumn("k", F.when(F.col("n") > 0, key).otherwise(F.struct(F.col("id").alias("x"), F.lit(None).cast("long").alias("y"))))
     out = rows_key.select("id", "n", "k").join(by_key, (F.col("k") == F.col("_key")) & F.col("id").isNotNull(), "left")
-    component = F.coalesce("rep", "id")
-    if reached is not None:
-        out = out.join(reached, F.col("rep") == F.col("node"), "left")
-        component = F.coalesce("component", "rep", "id")
+    out = out.join(reached, F.col("rep") == F.col("node"), "left")
+    component = F.coalesce("component", "rep", "id")
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from citelake.llm import lang_id, toxicity
 from citelake.llm.exact_dedup import exact_dedup
 from citelake.llm.fingerprints import compare_with_edits
+from citelake.llm.line_dedup import group_lines
 from citelake.llm.mixing import mix_report
 from citelake.llm.near_dedup import near_duplicates
 from citelake.llm.sharding import shard_records
@@ -57,6 +58,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_lines(_documents(spark, sf_dir))
+
+
 def op8_shard_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(_documents(spark, sf_dir))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_mix_sources": op5_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_shard_records": op8_shard_records,
 }
 
