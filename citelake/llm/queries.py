@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelake.llm import lang_id, toxicity
+from citelake.llm import lang_id, sp_encode, token_counts, toxicity
 from citelake.llm.exact_dedup import exact_dedup
 from citelake.llm.fingerprints import compare_with_edits
 from citelake.llm.line_dedup import group_lines
@@ -15,6 +15,10 @@ from citelake.llm.mixing import mix_report
 from citelake.llm.near_dedup import near_duplicates
 from citelake.llm.sharding import shard_records
 
+#: Vocabulary files; the operators take any path.
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -66,6 +70,15 @@ def op8_shard_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(_documents(spark, sf_dir))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_encode.encode(_documents(spark, sf_dir), sp_encode.load(SENTENCEPIECE_MODEL))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = token_counts.read_ranks(BYTE_RANKS)
+    return token_counts.count_edited(_documents(spark, sf_dir), token_counts.sample_edits(F.col("text")), ranks)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
@@ -75,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_shard_records": op8_shard_records,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
