@@ -10,8 +10,8 @@ Candidates: documents that agree in all ``rows`` coordinates of one of ``bands``
 of similarity 0.8 shares no band with probability (1 - 0.8^5)^36 < 1e-6.
 
 Links: documents with the same set are one class, told by 128 bits of sums over the set, and only one member
-of each class goes on.  Each bucket (band value) has a leader L, the member that is in most buckets, and each
-member x is compared with it: ``r`` elements of L are missing in x and ``u`` are new, together its difference D.
+of each class goes on.  Each bucket (band value) has a leader L (from the member that is in most buckets on to the one
+that leads it in another bucket, and so on up), and each member x is compared with it: ``r`` elements of L are missing in x and ``u`` are new, together its difference D.
 Members that link to L are connected through it and need no other pair.  What is left are pairs with a member
 that does not link to L, and for two members under the same leader
 
@@ -128,9 +128,22 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _components(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Components of the links between members of the same bucket: ``node, component``."""
     busy = members.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("id", "_id")
-    rank = F.struct(-F.col("_n"), F.xxhash64("id"), F.col("id").alias("id"))
-    leaders = members.join(busy, F.col("id") == F.col("_id")).groupBy("bucket").agg(F.min(rank)["id"].alias("lead"))
-    led = members.join(leaders.withColumnRenamed("bucket", "_b"), F.col("bucket") == F.col("_b")).where("id <> lead").select("lead", "id").distinct()
+    rank = F.struct((-F.col("_n")).alias("n"), F.xxhash64("id").alias("h"), F.col("id").alias("id"))
+    leaders = members.join(busy, F.col("id") == F.col("_id")).groupBy("bucket").agg(F.min(rank).alias("lead"))
+    leaders = scratch.keep(leaders.withColumnRenamed("bucket", "_b"), "leaders")
+    in_bucket = F.col("bucket") == F.col("_b")
+    # from leader to leader's leader, as far as it goes: the comparison holds for any L, and a central one differs least
+    up = scratch.keep(members.join(leaders, in_bucket).groupBy("id").agg(F.min("lead").alias("lead")), "up-0")
+    step = 0
+    while True:
+        step += 1
+        over = up.join(up.toDF("_id", "_lead"), F.col("lead.id") == F.col("_id")).select("id", F.col("_lead").alias("lead"), (F.col("lead") != F.col("_lead")).alias("moved"))
+        over = scratch.keep(over, f"up-{step}")
+        up = over.select("id", "lead")
+        if not over.where("moved").take(1):
+            break
+    leaders = leaders.join(up.toDF("_id", "_lead"), F.col("lead.id") == F.col("_id")).select("_b", F.col("_lead.id").alias("lead"))
+    led = members.join(leaders, in_bucket).where("id <> lead").select("lead", "id").distinct()
     one, other = sets.toDF("_lead", "ls"), sets.toDF("_id", "xs")
     compared = led.join(one, F.col("lead") == F.col("_lead")).join(other, F.col("id") == F.col("_id"))
     compared = compared.select("lead", "id", F.size("ls").alias("size"), F.array_except("ls", "xs").alias("gone"), F.array_except("xs", "ls").alias("new"))
