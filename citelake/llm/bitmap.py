@@ -9,30 +9,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 1 MB of broadcast.
+#: 131,072 rows of two longs at most.
 BITS = 1 << 23
-_BLOCK = 32_768  # bits that bitmap_construct_agg gathers in one value
 
 
 def bitmap_of(keys: DataFrame, key: Column, bits: int = BITS) -> DataFrame:
-    """At most ``bits`` / 32,768 rows of 4 KB each."""
+    """The bitmap as words of 64 bits: at most ``bits`` / 64 rows."""
     slots = keys.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("slot"))
-    return slots.groupBy((F.col("slot") / _BLOCK).cast("int").alias("_bm_block")).agg(
-        F.bitmap_construct_agg(F.col("slot") % _BLOCK).alias("_bm_bits")
-    )
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
+    return slots.groupBy(F.shiftright("slot", 6).alias("_bm_word")).agg(F.bit_or(bit).alias("_bm_bits"))
 
 
 def flag(rows: DataFrame, key: Column, bitmap: DataFrame, bits: int = BITS) -> DataFrame:
     """``rows`` with ``_maybe``: whether the hashed key has its bit set."""
-    at = F.col("_bm_slot") % _BLOCK
-    byte = F.conv(F.hex(F.substring(F.col("_bm_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1
+    at = F.col("_bm_slot").bitwiseAND(F.lit(63)).cast("int")
+    is_set = F.call_function("shiftrightunsigned", F.col("_bm_bits"), at).bitwiseAND(F.lit(1)) == 1
     return (
         rows.withColumn("_bm_slot", F.pmod(F.xxhash64(key), F.lit(bits)))
-        .withColumn("_bm_at", (F.col("_bm_slot") / _BLOCK).cast("int"))
-        .join(F.broadcast(bitmap), F.col("_bm_at") == F.col("_bm_block"), "left")
+        .withColumn("_bm_at", F.shiftright("_bm_slot", 6))
+        .join(F.broadcast(bitmap), F.col("_bm_at") == F.col("_bm_word"), "left")
         .withColumn("_maybe", F.coalesce(is_set, F.lit(False)))
-        .drop("_bm_slot", "_bm_at", "_bm_block", "_bm_bits")
+        .drop("_bm_slot", "_bm_at", "_bm_word", "_bm_bits")
     )
 
 

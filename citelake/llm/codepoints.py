@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 _SPAN = 0x10000  # the tables cover the basic plane; letters beyond it keep their case
 
 

@@ -2,8 +2,8 @@
 
 Pass 1 reads lengths and keeps the lengths that occur more than once; pass 2 hashes a prefix of the rows
 whose length survived; pass 3 hashes the full text of the rows whose (length, prefix hash) survived.  What
-survived a pass is told to the next one by a bitmap of a fixed number of bits (``filter_bits`` / 8 bytes,
-1 MB by default, whatever the corpus holds).  A bit that two keys share only lets a row into the next pass,
+survived a pass is told to the next one by a bitmap of a fixed number of bits (1 MB by default, whatever the
+corpus holds).  A bit that two keys share only lets a row into the next pass,
 where it is told apart, so results are exact; texts never leave the task that scanned them.
 """
 
@@ -50,14 +50,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     times: each is reported with the same decision.  An empty table gives an empty result.  Other columns
     of ``docs`` are not read, so their names cannot clash.
     """
-    groups = duplicate_groups(docs, id_col, text_col, **refinement).withColumnsRenamed(
-        {"n_bytes": "_g_bytes", "text_sha256": "_g_sha"}
-    )
+    groups = duplicate_groups(docs, id_col, text_col, **refinement).withColumnRenamed("text_sha256", "_g_sha")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).alias("_id"), F.octet_length(text).alias("n_bytes"), F.sha2(text, 256).alias("text_sha256")
-    )
-    joined = rows.join(groups, (F.col("text_sha256") == F.col("_g_sha")) & (F.col("n_bytes") == F.col("_g_bytes")), "left")
+    rows = docs.select(F.col(id_col).alias("_id"), F.sha2(text, 256).alias("text_sha256"))
+    # a key of its own makes Spark deal both sides for this join, so that it can split the rows of a hot text
+    groups = groups.withColumn("_g_key", F.unhex("_g_sha"))
+    joined = rows.join(groups, F.unhex("text_sha256") == F.col("_g_key"), "left")
     in_group = F.col("group_size").isNotNull()
     return joined.select(
         F.col("_id").alias(id_col),
