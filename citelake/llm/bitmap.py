@@ -17,32 +17,32 @@ def bitmap_of(keys: DataFrame, key: Column, bits: int = BITS) -> DataFrame:
     """The bitmap as words of 64 bits: at most ``bits`` / 64 rows."""
     slots = keys.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("slot"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
-    return slots.groupBy(F.shiftright("slot", 6).alias("_bm_word")).agg(F.bit_or(bit).alias("_bm_bits"))
+    return slots.groupBy(F.shiftright("slot", 6).alias("__cl_bm_word")).agg(F.bit_or(bit).alias("__cl_bm_bits"))
 
 
 def flag(rows: DataFrame, key: Column, bitmap: DataFrame, bits: int = BITS) -> DataFrame:
-    """``rows`` with ``_maybe``: whether the hashed key has its bit set."""
-    at = F.col("_bm_slot").bitwiseAND(F.lit(63)).cast("int")
-    is_set = F.call_function("shiftrightunsigned", F.col("_bm_bits"), at).bitwiseAND(F.lit(1)) == 1
+    """``rows`` with ``__cl_maybe``: whether the hashed key has its bit set."""
+    at = F.col("__cl_bm_slot").bitwiseAND(F.lit(63)).cast("int")
+    is_set = F.call_function("shiftrightunsigned", F.col("__cl_bm_bits"), at).bitwiseAND(F.lit(1)) == 1
     return (
-        rows.withColumn("_bm_slot", F.pmod(F.xxhash64(key), F.lit(bits)))
-        .withColumn("_bm_at", F.shiftright("_bm_slot", 6))
-        .join(F.broadcast(bitmap), F.col("_bm_at") == F.col("_bm_word"), "left")
-        .withColumn("_maybe", F.coalesce(is_set, F.lit(False)))
-        .drop("_bm_slot", "_bm_at", "_bm_word", "_bm_bits")
+        rows.withColumn("__cl_bm_slot", F.pmod(F.xxhash64(key), F.lit(bits)))
+        .withColumn("__cl_bm_at", F.shiftright("__cl_bm_slot", 6))
+        .join(F.broadcast(bitmap), F.col("__cl_bm_at") == F.col("__cl_bm_word"), "left")
+        .withColumn("__cl_maybe", F.coalesce(is_set, F.lit(False)))
+        .drop("__cl_bm_slot", "__cl_bm_at", "__cl_bm_word", "__cl_bm_bits")
     )
 
 
 def possible(rows: DataFrame, key: Column, bitmap: DataFrame, bits: int = BITS) -> DataFrame:
     """The rows whose key may be in the set."""
-    return flag(rows, key, bitmap, bits).where("_maybe").drop("_maybe")
+    return flag(rows, key, bitmap, bits).where("__cl_maybe").drop("__cl_maybe")
 
 
 def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str, bits: int = BITS) -> DataFrame:
     """``docs`` less the rows whose id is in ``dropped`` (one column); only rows that may be dropped are shuffled."""
     key = F.col(id_col)
-    dropped = dropped.toDF("_drop_id")
-    flagged = flag(docs, key, bitmap_of(dropped, F.col("_drop_id"), bits), bits)
-    sure = flagged.where(~F.col("_maybe")).drop("_maybe")
-    rest = flagged.where("_maybe").drop("_maybe")
-    return sure.unionByName(rest.join(dropped, F.col(id_col) == F.col("_drop_id"), "left_anti"))
+    dropped = dropped.toDF("__cl_drop_id")
+    flagged = flag(docs, key, bitmap_of(dropped, F.col("__cl_drop_id"), bits), bits)
+    sure = flagged.where(~F.col("__cl_maybe")).drop("__cl_maybe")
+    rest = flagged.where("__cl_maybe").drop("__cl_maybe")
+    return sure.unionByName(rest.join(dropped, F.col(id_col) == F.col("__cl_drop_id"), "left_anti"))

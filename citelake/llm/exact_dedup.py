@@ -50,11 +50,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     times: each is reported with the same decision.  An empty table gives an empty result.  Other columns
     of ``docs`` are not read, so their names cannot clash.
     """
-    groups = duplicate_groups(docs, id_col, text_col, **refinement).withColumnRenamed("text_sha256", "_g_sha")
+    groups = duplicate_groups(docs, id_col, text_col, **refinement).withColumnRenamed("text_sha256", "__cl_g_sha")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.sha2(text, 256).alias("text_sha256"))
     # a key of its own makes Spark deal both sides for this join, so that it can split the rows of a hot text
-    groups = groups.withColumn("_g_key", F.unhex("_g_sha"))
+    groups = groups.withColumn("_g_key", F.unhex("__cl_g_sha"))
     joined = rows.join(groups, F.unhex("text_sha256") == F.col("_g_key"), "left")
     in_group = F.col("group_size").isNotNull()
     return joined.select(
@@ -76,15 +76,15 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     columns = docs.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
     groups = duplicate_groups(docs, id_col, text_col, **refinement)
-    groups = groups.select(F.col("text_sha256").alias("_g_sha"), F.col("keep_id").alias("_keep_id"))
-    bitmap = bitmap_of(groups, F.col("_g_sha"), bits)
-    flagged = flag(docs.withColumn("_sha", F.sha2(text, 256)), F.col("_sha"), bitmap, bits)
-    single = flagged.where(~F.col("_maybe")).select(columns)
-    maybe = flagged.where("_maybe").join(groups, F.col("_sha") == F.col("_g_sha"), "left")
-    lone = maybe.where("_g_sha is null").select(columns)
+    groups = groups.select(F.col("text_sha256").alias("__cl_g_sha"), F.col("keep_id").alias("__cl_keep_id"))
+    bitmap = bitmap_of(groups, F.col("__cl_g_sha"), bits)
+    flagged = flag(docs.withColumn("__cl_sha", F.sha2(text, 256)), F.col("__cl_sha"), bitmap, bits)
+    single = flagged.where(~F.col("__cl_maybe")).select(columns)
+    maybe = flagged.where("__cl_maybe").join(groups, F.col("__cl_sha") == F.col("__cl_g_sha"), "left")
+    lone = maybe.where("__cl_g_sha is null").select(columns)
     stay = (
-        maybe.where(F.col("_g_sha").isNotNull() & F.col(id_col).eqNullSafe(F.col("_keep_id")))
-        .dropDuplicates(["_sha"])
+        maybe.where(F.col("__cl_g_sha").isNotNull() & F.col(id_col).eqNullSafe(F.col("__cl_keep_id")))
+        .dropDuplicates(["__cl_sha"])
         .select(columns)
     )
     return single.unionByName(lone).unionByName(stay)

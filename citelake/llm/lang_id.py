@@ -50,7 +50,9 @@ def _symbols(points: np.ndarray, offsets: np.ndarray, tables, to_symbol: np.ndar
 def automaton(text: list[int], alphabet: int) -> np.ndarray:
     """Suffix automaton of ``text`` as a table: states x alphabet of next states, negative (~state) where a phrase ends.
 
-    The state after a phrase end is the one that the symbol has as a phrase start (the root if it has none).
+    The state after a phrase end is the one that the symbol has as a phrase start.  A symbol that the text does not hold
+    is a phrase of its own: it leads to the last state but one, from which every symbol ends a phrase.  A parse begins in
+    the last state, which no phrase has led to.
     """
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -77,13 +79,15 @@ def automaton(text: list[int], alphabet: int) -> np.ndarray:
                     at = link[at]
                 link[to] = link[new] = copy
         last = new
-    root = np.zeros(alphabet, np.int32)
+    dead = len(step)
+    opening = np.full(alphabet, dead, np.int32)
     for symbol, to in step[0].items():
-        root[symbol] = to
-    table = np.tile(~root, (len(step), 1))
+        opening[symbol] = to
+    table = np.tile(~opening, (len(step) + 2, 1))
     for state, moves in enumerate(step):
         if moves:
             table[state, list(moves)] = list(moves.values())
+    table[-1] = opening
     return table
 
 
@@ -139,7 +143,7 @@ def build(samples: dict[str, list[str]]) -> dict:
         base += len(table)
     return {
         "langs": list(streams),
-        "roots": np.cumsum([0, *[len(t) for t in built[:-1]]]) if built else np.zeros(0, np.int64),
+        "starts": np.cumsum([len(t) for t in built]) - 1 if built else np.zeros(0, np.int64),
         "table": np.concatenate(built).reshape(-1) if built else np.zeros(0, np.int32),
         "to_symbol": to_symbol,
     }
@@ -156,7 +160,7 @@ def phrase_counts(model: dict, code: np.ndarray, offsets: np.ndarray, window: in
     size = np.minimum(window, offsets[1:][row] - start)
     order = np.argsort(-size, kind="stable")
     row, start, size = row[order], start[order], size[order]
-    state = np.repeat(model["roots"][:, None], len(row), 1).astype(np.int64)
+    state = np.repeat(model["starts"][:, None], len(row), 1).astype(np.int64)
     ended = np.zeros((langs, len(row)), np.int32)
     table = model["table"]
     alive = np.searchsorted(-size, -np.arange(window), "left") if len(row) else np.zeros(window, int)

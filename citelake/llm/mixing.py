@@ -171,14 +171,14 @@ def curriculum(
     columns = docs.columns
     plan = plan_mix(docs, schedules=schedules, max_repeat=max_repeat, id_col=id_col, text_col=text_col, **settings)
     plan = plan.where("taken > 0").select(
-        F.col(id_col).alias("_p_id"), F.col("tie").alias("_p_tie"), "start", "source_size", "target", "turn"
-    ).dropDuplicates(["_p_id", "_p_tie"])
-    copies = plan.withColumn("_pass", F.explode(F.array(*[F.lit(k) for k in range(max_repeat)])))
-    token = F.col("start") + F.col("_pass") * F.col("source_size")
+        F.col(id_col).alias("__cl_p_id"), F.col("tie").alias("__cl_p_tie"), "start", "source_size", "target", "turn"
+    ).dropDuplicates(["__cl_p_id", "__cl_p_tie"])
+    copies = plan.withColumn("__cl_pass", F.explode(F.array(*[F.lit(k) for k in range(max_repeat)])))
+    token = F.col("start") + F.col("__cl_pass") * F.col("source_size")
     copies = copies.where(token < F.floor("target")).select(
-        "_p_id", "_p_tie", position(token / F.col("target"), F.col("turn"), schedules).alias("_position")
+        "__cl_p_id", "__cl_p_tie", position(token / F.col("target"), F.col("turn"), schedules).alias("__cl_position")
     )
-    tied = docs.withColumn("_tie", F.xxhash64(F.col(text_col)))
-    joined = tied.join(copies, F.col(id_col).eqNullSafe(F.col("_p_id")) & (F.col("_tie") == F.col("_p_tie")))
-    ordered = joined.orderBy("_position", id_col)
-    return ordered.select(*columns, *([F.col("_position").alias(position_col)] if position_col else []))
+    tied = docs.withColumn("__cl_tie", F.xxhash64(F.col(text_col)))
+    joined = tied.join(copies, F.col(id_col).eqNullSafe(F.col("__cl_p_id")) & (F.col("__cl_tie") == F.col("__cl_p_tie")))
+    ordered = joined.orderBy("__cl_position", id_col)
+    return ordered.select(*columns, *([F.col("__cl_position").alias(position_col)] if position_col else []))

@@ -11,7 +11,7 @@ of similarity 0.8 shares no band with probability (1 - 0.8^5)^36 < 1e-6.
 
 Links: documents with the same set are one class, told by 128 bits of sums over the set, and only one member
 of each class goes on.  Each bucket (band value) has a leader L (from the member that is in most buckets on to the one
-that leads it in another bucket, and so on up), and each member x is compared with it: ``r`` elements of L are missing in x and ``u`` are new, together its difference D.
+that leads it in several others, and so on up), and each member x is compared with it: ``r`` elements of L are missing in x and ``u`` are new, together its difference D.
 Members that link to L are connected through it and need no other pair.  What is left are pairs with a member
 that does not link to L, and for two members under the same leader
 
@@ -41,6 +41,8 @@ SHINGLE = 5
 PERCENT = 80
 BANDS = 36
 ROWS = 5
+#: Buckets that two documents share when one may lead the other's buckets elsewhere.
+CLIMB = 4
 
 
 def sketch(hashes: np.ndarray, begins: np.ndarray, bins: int) -> np.ndarray:
@@ -133,16 +135,18 @@ def _components(scratch: Scratch, members: DataFrame, sets: DataFrame, percent:
     leaders = scratch.keep(leaders.withColumnRenamed("bucket", "_b"), "leaders")
     in_bucket = F.col("bucket") == F.col("_b")
     # from leader to leader's leader, as far as it goes: the comparison holds for any L, and a central one differs least
-    up = scratch.keep(members.join(leaders, in_bucket).groupBy("id").agg(F.min("lead").alias("lead")), "up-0")
+    shares = members.join(leaders, in_bucket).groupBy("id", "lead").agg(F.count(F.lit(1)).alias("times"))
+    up = scratch.keep(shares.where((F.col("times") >= CLIMB) | (F.col("lead.id") == F.col("id"))).groupBy("id").agg(F.min("lead").alias("lead")), "up-0")
     step = 0
     while True:
         step += 1
-        over = up.join(up.toDF("_id", "_lead"), F.col("lead.id") == F.col("_id")).select("id", F.col("_lead").alias("lead"), (F.col("lead") != F.col("_lead")).alias("moved"))
+        over = up.join(up.toDF("_id", "_lead"), F.col("lead.id") == F.col("_id"), "left")
+        over = over.select("id", F.coalesce("_lead", "lead").alias("lead"), F.coalesce(F.col("lead") != F.col("_lead"), F.lit(False)).alias("moved"))
         over = scratch.keep(over, f"up-{step}")
         up = over.select("id", "lead")
         if not over.where("moved").take(1):
             break
-    leaders = leaders.join(up.toDF("_id", "_lead"), F.col("lead.id") == F.col("_id")).select("_b", F.col("_lead.id").alias("lead"))
+    leaders = leaders.join(up.toDF("_id", "_lead"), F.col("lead.id") == F.col("_id"), "left").select("_b", F.coalesce("_lead", "lead")["id"].alias("lead"))
     led = members.join(leaders, in_bucket).where("id <> lead").select("lead", "id").distinct()
     one, other = sets.toDF("_lead", "ls"), sets.toDF("_id", "xs")
     compared = led.join(one, F.col("lead") == F.col("_lead")).join(other, F.col("id") == F.col("_id"))
@@ -154,8 +158,8 @@ def _components(scratch: Scratch, members: DataFrame, sets: DataFrame, percent:
         F.concat(F.array_sort("new"), F.array_sort("gone")).alias("diff"),
     )
     compared = scratch.keep(compared, "compared")
-    near = compared.where("adds <= off").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    first = connected_components(near, scratch, "first")
+    tied = compared.where("adds <= off").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    first = connected_components(tied, scratch, "first")
 
     unit = 100 + percent
     rest = compared.where("adds > off")
@@ -164,18 +168,29 @@ def _components(scratch: Scratch, members: DataFrame, sets: DataFrame, percent:
     in_doubt = in_doubt.join(first.toDF("_node", "_comp"), F.col("id") == F.col("_node"), "left").withColumn("comp", F.coalesce("_comp", "id"))
     in_doubt = in_doubt.withColumn("n", F.size("diff"))
 
-    def heads(rows: DataFrame, least) -> DataFrame:
-        """The first differences of each row, such that a partner with ``least`` common ones or more has one of them."""
+    # the least that a partner on either side adds, under each leader
+    is_far = F.col("adds") > F.col("off")
+    bounds = in_doubt.groupBy(F.col("lead").alias("_l")).agg(
+        F.min(F.when(is_far, F.col("adds"))).alias("far_adds"), F.min(F.when(~is_far, F.col("adds"))).alias("near_adds")
+    )
+    in_doubt = scratch.keep(in_doubt.join(bounds, F.col("lead") == F.col("_l")).drop("_l", "_lead", "_node", "_comp"), "in-doubt")
+
+    def heads(rows: DataFrame, partner_adds: str) -> DataFrame:
+        """The first differences of each row, such that any partner it can link to has one of them among its own."""
+        least = F.greatest(F.lit(1), F.ceil((F.col("adds") + F.col(partner_adds) - F.col("off")) / unit).cast("int"))
         rows = rows.withColumn("_least", least).where("_least <= n")
         return rows.select("lead", "id", "adds", "off", "n", "comp", F.explode(F.slice("diff", F.lit(1), F.col("n") - F.col("_least") + 1)).alias("d"))
 
-    any_member = heads(in_doubt, F.floor(F.col("adds") / unit).cast("int") + 1)
-    far_member = heads(in_doubt.where("adds > off"), F.greatest(F.lit(1), F.ceil((F.col("adds") - F.col("off")) / unit).cast("int")))
-    far_member = far_member.toDF("lead_", "id_", "adds_", "off_", "n_", "comp_", "d_")
-    needed = F.col("adds") + F.col("adds_") - F.col("off")
-    both = (F.col("lead") == F.col("lead_")) & (F.col("d") == F.col("d_"))
-    may_link = (F.col("comp") != F.col("comp_")) & (needed <= F.least("n", "n_") * unit)
-    pairs = any_member.join(far_member, both & may_link).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+    def meeting(one: DataFrame, other: DataFrame, apart) -> DataFrame:
+        other = other.toDF("lead_", "id_", "adds_", "off_", "n_", "comp_", "d_")
+        needed = F.col("adds") + F.col("adds_") - F.col("off")
+        may_link = (F.col("comp") != F.col("comp_")) & (needed <= F.least("n", "n_") * unit) & apart
+        found = one.join(other, (F.col("lead") == F.col("lead_")) & (F.col("d") == F.col("d_")) & may_link)
+        return found.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"))
+
+    far, near = in_doubt.where(is_far), in_doubt.where(~is_far)
+    pairs = meeting(heads(far, "far_adds"), heads(far, "far_adds"), F.col("id") < F.col("id_"))
+    pairs = pairs.union(meeting(heads(near, "far_adds"), heads(far, "near_adds"), F.lit(True))).distinct()
     links = scratch.keep(_links(pairs, sets, percent), "links")
     if not links.take(1):
         return first
