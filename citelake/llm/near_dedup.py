@@ -10,7 +10,7 @@ Candidates: documents that agree in all ``rows`` coordinates of one of ``bands``
 of similarity 0.8 shares no band with probability (1 - 0.8^5)^36 < 1e-6.
 
 Links: documents with the same set are one class, told by 128 bits of sums over the set, and only one member
-of each class goes on.  Each bucket (band value) has a leader L (from the member that is in most buckets on to the one
+of each class goes on.  Each bucket (band value) has a leader L (from the member whose buckets are largest on to the one
 that leads it in several others, and so on up), and each member x is compared with it: ``r`` elements of L are missing in x and ``u`` are new, together its difference D.
 Members that link to L are connected through it and need no other pair.  What is left are pairs with a member
 that does not link to L, and for two members under the same leader
@@ -129,7 +129,8 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _components(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Components of the links between members of the same bucket: ``node, component``."""
-    busy = members.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("id", "_id")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).withColumnRenamed("bucket", "_sized")
+    busy = members.join(sizes, F.col("bucket") == F.col("_sized")).groupBy("id").agg(F.sum("_size").alias("_n")).withColumnRenamed("id", "_id")
     rank = F.struct((-F.col("_n")).alias("n"), F.xxhash64("id").alias("h"), F.col("id").alias("id"))
     leaders = members.join(busy, F.col("id") == F.col("_id")).groupBy("bucket").agg(F.min(rank).alias("lead"))
     leaders = scratch.keep(leaders.withColumnRenamed("bucket", "_b"), "leaders")
@@ -179,12 +180,15 @@ def _components(scratch: Scratch, members: DataFrame, sets: DataFrame, percent:
         """The first differences of each row, such that any partner it can link to has one of them among its own."""
         least = F.greatest(F.lit(1), F.ceil((F.col("adds") + F.col(partner_adds) - F.col("off")) / unit).cast("int"))
         rows = rows.withColumn("_least", least).where("_least <= n")
-        return rows.select("lead", "id", "adds", "off", "n", "comp", F.explode(F.slice("diff", F.lit(1), F.col("n") - F.col("_least") + 1)).alias("d"))
+        first = F.slice("diff", F.lit(1), F.col("n") - F.col("_least") + 1)
+        each = rows.select("lead", "id", "adds", "off", "n", "comp", F.posexplode(first).alias("at", "d"))
+        return each.select("lead", "id", "adds", "off", (F.col("n") - F.col("at")).alias("rest"), "comp", "d")
 
     def meeting(one: DataFrame, other: DataFrame, apart) -> DataFrame:
-        other = other.toDF("lead_", "id_", "adds_", "off_", "n_", "comp_", "d_")
+        other = other.toDF("lead_", "id_", "adds_", "off_", "rest_", "comp_", "d_")
         needed = F.col("adds") + F.col("adds_") - F.col("off")
-        may_link = (F.col("comp") != F.col("comp_")) & (needed <= F.least("n", "n_") * unit) & apart
+        # differences stand in one order, so a pair's first common one is followed by what is left in both at most
+        may_link = (F.col("comp") != F.col("comp_")) & (needed <= F.least("rest", "rest_") * unit) & apart
         found = one.join(other, (F.col("lead") == F.col("lead_")) & (F.col("d") == F.col("d_")) & may_link)
         return found.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"))
 
