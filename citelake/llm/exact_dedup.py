@@ -81,10 +81,5 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     flagged = flag(docs.withColumn("__cl_sha", F.sha2(text, 256)), F.col("__cl_sha"), bitmap, bits)
     single = flagged.where(~F.col("__cl_maybe")).select(columns)
     maybe = flagged.where("__cl_maybe").join(groups, F.col("__cl_sha") == F.col("__cl_g_sha"), "left")
-    lone = maybe.where("__cl_g_sha is null").select(columns)
-    stay = (
-        maybe.where(F.col("__cl_g_sha").isNotNull() & F.col(id_col).eqNullSafe(F.col("__cl_keep_id")))
-        .dropDuplicates(["__cl_sha"])
-        .select(columns)
-    )
-    return single.unionByName(lone).unionByName(stay)
+    stays = F.col("__cl_g_sha").isNull() | F.col(id_col).eqNullSafe(F.col("__cl_keep_id"))
+    return single.unionByName(maybe.where(stays).dropDuplicates(["__cl_sha"]).select(columns))
