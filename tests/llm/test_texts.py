@@ -231,6 +231,25 @@ def test_line_groups(spark):
     assert cleaned[1000] is None
 
 
+def _groups_of(spark, lines):
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["group_doc"] for r in group_lines(docs).collect()}
+    return [got[k] for k in range(len(lines))]
+
+
+def test_lines_with_one_word_replaced_are_linked(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    lines = []
+    for n in (8, 12, 20, 40) * 15:
+        words = [word() for _ in range(n)]
+        changed = list(words)
+        changed[rng.randrange(n)] = word()
+        lines += [" ".join(words), " ".join(changed)]
+    heads = _groups_of(spark, lines)
+    assert sum(heads[k + 1] == k for k in range(0, len(lines), 2)) >= 58
+
+
 def test_line_edge_cases(spark):
     got = group_lines(frame(spark)).collect()
     assert len(got) == sum(r[1].count("\n") + 1 for r in documents() if r[1] is not None)
