@@ -250,6 +250,20 @@ def test_lines_with_one_word_replaced_are_linked(spark):
     assert sum(heads[k + 1] == k for k in range(0, len(lines), 2)) >= 58
 
 
+def test_lines_of_short_words_with_a_typo_are_linked(spark):
+    rng = random.Random(22)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    lines = []
+    for _ in range(40):
+        words = [word(rng.randint(2, 4)) for _ in range(25)]
+        for k in (3, 11, 19):
+            words[k] = word(8)
+        typo = [*words[:11], words[11][:4] + "z" + words[11][5:], *words[12:]]
+        lines += [" ".join(words), " ".join(typo)]
+    heads = _groups_of(spark, lines)
+    assert all(heads[k + 1] == k for k in range(0, len(lines), 2))
+
+
 def test_line_edge_cases(spark):
     got = group_lines(frame(spark)).collect()
     assert len(got) == sum(r[1].count("\n") + 1 for r in documents() if r[1] is not None)
