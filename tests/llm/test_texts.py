@@ -264,6 +264,12 @@ def test_lines_of_short_words_with_a_typo_are_linked(spark):
     assert all(heads[k + 1] == k for k in range(0, len(lines), 2))
 
 
+def test_short_and_unspaced_lines_are_linked(spark):
+    pairs = [("are.", "anre."), ("two words", "two word"), ("a line of four", "a lime of four"), ("日本語のテキスト", "日本語のテキス"), ("一" * 3 + "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏", "一" * 3 + "天地玄黃宇宙洪荒日月盈昃辰宿列星寒來暑往秋收冬藏")]
+    heads = _groups_of(spark, [line for pair in pairs for line in pair])
+    assert heads == [k - k % 2 for k in range(2 * len(pairs))]
+
+
 def test_line_edge_cases(spark):
     got = group_lines(frame(spark)).collect()
     assert len(got) == sum(r[1].count("\n") + 1 for r in documents() if r[1] is not None)
