@@ -33,12 +33,12 @@ class ReplayProvider:
         return self.replies.get(prompt)
 
 
-def window_table(pages: DataFrame, budget: int, most: int = 4) -> DataFrame:
-    """``url, window, text`` for pages (``url, markdown``)."""
+def window_table(pages: DataFrame, budget: int, most: int | None = None) -> DataFrame:
+    """``url, window, text`` for pages (``url, markdown``): all windows of a page, or its first ``most``."""
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: citations.windows(t, budget, most=most))
+        return texts.map(lambda t: citations.windows(t, budget, most=len(t or "") + 1 if most is None else most))
 
     return pages.select("url", F.posexplode(cut("markdown")).alias("window", "text"))
 
@@ -74,6 +74,13 @@ def verify_replies(rows: DataFrame, schema: dict | None = None) -> DataFrame:
     return rows.withColumn("_s", verified("reply", "page", "url")).select(*rows.columns, "_s.*")
 
 
+def first_windows(windows: DataFrame, most: int = 4) -> DataFrame:
+    """The first ``most`` windows of each page (at least one) for ``extract``, with the page's ``windows_skipped``."""
+    most = max(1, most)
+    totals = windows.groupBy(F.col("url").alias("_url")).agg(F.greatest(F.max("window") + 1 - most, F.lit(0)).alias("windows_skipped"))
+    return windows.where(F.col("window") < most).join(totals, F.col("url").eqNullSafe(F.col("_url"))).drop("_url")
+
+
 def extract(windows: DataFrame, provider: Provider, instruction: str, schema: dict) -> DataFrame:
     """``url, window`` and the structured result of each window; a reply that breaks the schema is asked for once more,
     with the errors, and the second is used if it has no more of them."""

@@ -246,6 +246,14 @@ def test_structured_flow(spark):
     assert {r["data"] for r in structured.verify_replies(replies).collect()} == {"{}"}
 
 
+def test_all_windows_are_returned(spark):
+    pages = spark.createDataFrame([("u", "\n\n".join(f"w{k} a b" for k in range(12))), ("v", "one"), ("w", None)], "url string, markdown string")
+    cut = structured.window_table(pages, 3)
+    assert [r["text"] for r in cut.where("url = 'u'").orderBy("window").collect()] == [f"w{k} a b" for k in range(12)]
+    first = {(r["url"], r["window"], r["windows_skipped"]) for r in structured.first_windows(cut).collect()}
+    assert first == {("u", 0, 8), ("u", 1, 8), ("u", 2, 8), ("u", 3, 8), ("v", 0, 0)}
+
+
 def test_quotes_on_pages(spark):
     quotes = spark.createDataFrame([(1, "the “Pro” plan"), (1, "absent"), (2, "x")], "k int, quote string")
     pages = spark.createDataFrame([(1, 'The **"Pro"** plan')], "k int, text string")
