@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citelake.functions import citations, jsonx
@@ -144,14 +144,31 @@ def leaf_table(rows: DataFrame, json_col: str, id_col: str) -> DataFrame:
     return rows.select(id_col, F.posexplode(found(json_col)).alias("position", "leaf")).select(id_col, "position", "leaf.pointer", "leaf.value")
 
 
-def quotes_on_page(quotes: DataFrame, pages: DataFrame, on: str) -> DataFrame:
-    """Quotes (``on, quote``) with ``found``: whether the page with the same key holds them, ignoring form and markup."""
-
+def _folded(column: str) -> Column:
     @F.pandas_udf("string")
     def folded(texts: pd.Series) -> pd.Series:
         from citelake.functions.text import fold
 
         return texts.map(lambda t: fold(t or ""))
 
-    plain = pages.select(on, folded("text").alias("_page"))
-    return quotes.join(plain, on, "left").withColumn("found", F.coalesce(F.contains("_page", folded("quote")), F.lit(False))).drop("_page")
+    return folded(column)
+
+
+def quotes_on_page(quotes: DataFrame, pages: DataFrame, on: str) -> DataFrame:
+    """Quotes (``on, quote``) with ``found``: whether the page with the same key holds them, ignoring form and markup."""
+
+    plain = pages.select(on, _folded("text").alias("_page"))
+    return quotes.join(plain, on, "left").withColumn("found", F.coalesce(F.contains("_page", _folded("quote")), F.lit(False))).drop("_page")
+
+
+def quotes_on_all_pages(quotes: DataFrame, pages: DataFrame, quote_id: str, page_id: str, block: int = 64) -> DataFrame:
+    """``quote_id, page_id, found`` for every quote (``quote_id, quote``) and page (``page_id, text``), as ``quotes_on_page`` compares them.
+
+    Quotes go out in blocks of ``block``, each broadcast as one array; a page is folded once.  A quote that
+    is null or has no text is on no page.
+    """
+    blocks = max(1, -(-quotes.count() // block))
+    told = quotes.select(F.struct(F.col(quote_id).alias("id"), _folded("quote").alias("q")).alias("_q"), F.pmod(F.xxhash64(quote_id), F.lit(blocks)).alias("_b"))
+    packed = told.groupBy("_b").agg(F.collect_list("_q").alias("_qs")).drop("_b")
+    pairs = pages.select(page_id, _folded("text").alias("_page")).crossJoin(F.broadcast(packed))
+    return pairs.select(page_id, "_page", F.explode("_qs").alias("_q")).select(F.col("_q.id").alias(quote_id), page_id, (F.contains("_page", "_q.q") & (F.col("_q.q") != "")).alias("found"))
