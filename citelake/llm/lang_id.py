@@ -216,13 +216,22 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
 
 def drop_undetermined(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text has no language, all columns kept; texts pass through once, unshuffled."""
+    """``docs`` without the rows whose text has no language, all columns kept; texts pass through once, unshuffled.
+
+    When no language was learned, only null texts and those without a letter go.
+    """
     columns = docs.columns
     place = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = _predict(model)
+        judge, tables = _predict(model), letter_tables()
         for batch in batches:
+            if not model["langs"]:
+                # nothing to compare with: only whether there is a letter tells
+                for a, b, points, offsets in code_point_chunks(batch.column(place).to_pylist()):
+                    letters = _symbols(points, offsets, tables, None)[2]
+                    yield batch.slice(a, b - a).filter(pa.array(letters > 0))
+                continue
             pair = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(place)], names=["id", "text"])
             verdicts = pa.Table.from_batches(judge([pair])) if batch.num_rows else None
             if verdicts is not None:

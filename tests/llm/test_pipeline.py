@@ -37,3 +37,11 @@ def test_empty_table(spark, tmp_path):
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "ids", "n_tokens", "decoded_sha256", "round_trip"] and out.count() > 100
+
+
+def test_documents_stay_when_no_language_was_learned(spark):
+    from citelake.llm import lang_id
+
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12 !", None), (3, None, None), (4, "Über", None), (5, "", None)], "doc_id long, text string, lang string")
+    kept = lang_id.drop_undetermined(docs, lang_id.fit(docs))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4] and kept.columns == docs.columns
