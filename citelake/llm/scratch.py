@@ -8,6 +8,7 @@ executor's local disk, so a lost executor costs a task retry and never a failed
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -54,6 +55,15 @@ class Scratch:
         frame.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let the driver forget the plans of tables that are written, so that executors delete their shuffle files.
+
+        Spark's cleaner deletes a shuffle's files once the driver's garbage collector has found its plan
+        unreachable, by itself every half hour; a job of many passes would hold the files of all of them.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         delete_path(self.spark, f"{self.base}/{name}")
 
