@@ -79,7 +79,14 @@ def greedy_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def exact_keep(docs: DataFrame, text_col: str = "text", order: str = "doc_id") -> DataFrame:
-    """The first row of each distinct text, all columns kept."""
-    keyed = docs.withColumn("_digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    first = keyed.groupBy("_digest").agg(F.min(order).alias("_first")).withColumnRenamed("_digest", "_d")
-    return keyed.join(first, (F.col("_digest") == F.col("_d")) & (F.col(order) == F.col("_first"))).drop("_digest", "_d", "_first")
+    """The first row of each distinct text by ``order``, all columns kept; null counts as the empty text.
+
+    Rows without an order value come last, and of rows that share the first one the one with the least hash of its
+    columns stays, so exactly one row remains of each text.  Column names that begin with ``_exact_`` are the operator's.
+    """
+    hashable = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    place = F.struct(F.col(order).isNull().alias("none"), F.col(order).alias("order"), F.xxhash64(*hashable).alias("hash"))
+    keyed = docs.withColumn("_exact_digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).withColumn("_exact_place", place)
+    first = keyed.groupBy(F.col("_exact_digest").alias("_exact_d")).agg(F.min("_exact_place").alias("_exact_first"))
+    kept = keyed.join(first, (F.col("_exact_digest") == F.col("_exact_d")) & F.col("_exact_place").eqNullSafe(F.col("_exact_first")))
+    return kept.dropDuplicates(["_exact_digest"]).select(docs.columns)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from citelake.functions.text import relationship_type
@@ -13,15 +15,18 @@ NEIGHBOURS = 25
 NAME_CHARS = 200
 
 
+@F.pandas_udf(StringType())
+def folded(name: pd.Series) -> pd.Series:
+    """Stripped and case-folded, as names are compared: ``Straße`` is ``STRASSE``."""
+    return name.str.strip().str.casefold()
+
+
 def mentions(pages: DataFrame) -> DataFrame:
     """Names in the order in which pages (``seq, url, entities, triples``) give them: ``key, label, entity_type, at``.
 
     A page's entities come first, then subject and object of each relation; those take the type that the page's own
     entities give the name.
     """
-    def folded(name):
-        return F.lower(F.trim(name))
-
     entities = pages.select("seq", F.posexplode("entities").alias("n", "e")).select(
         "seq", F.lit(0).alias("kind"), F.col("n"), F.lit(0).alias("part"), F.trim("e.name").alias("label"),
         F.upper(F.coalesce(F.nullif(F.trim("e.type"), F.lit("")), F.lit("ENTITY"))).alias("entity_type"),
@@ -50,7 +55,7 @@ def edges(pages: DataFrame, found: DataFrame) -> DataFrame:
     """``source, target, type, source_url``: relations between nodes, each once with its first spelling and page."""
     flat = pages.select("seq", "url", F.posexplode("triples").alias("n", "t"))
     keys = flat.select(
-        F.lower(F.trim("t.subject")).alias("s"), F.lower(F.trim("t.object")).alias("o"), F.trim("t.predicate").alias("p"), "url", F.struct("seq", "n").alias("at")
+        folded(F.col("t.subject")).alias("s"), folded(F.col("t.object")).alias("o"), F.trim("t.predicate").alias("p"), "url", F.struct("seq", "n").alias("at")
     ).where("p <> ''")
     once = keys.groupBy("s", "o", F.upper("p").alias("P")).agg(F.min_by("p", "at").alias("type"), F.min_by("url", "at").alias("source_url"))
     source, target = found.select(F.col("key").alias("s"), F.col("id").alias("source")), found.select(F.col("key").alias("o"), F.col("id").alias("target"))
@@ -70,6 +75,29 @@ def store_edges(triples: DataFrame) -> DataFrame:
     return typed.groupBy("subject", "rel", "object").agg(F.min("at").alias("created"), F.max("at").alias("updated"), props)
 
 
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """Pages (``url, title, at``) as stored nodes: ``url, title, first_at, last_at``; the last title that says something stays.
+
+    Rows without a URL go; a repeated URL is one node.
+    """
+    named = pages.where("trim(url) <> ''")
+    told = F.when(F.trim("title") != "", F.col("title"))
+    return named.groupBy("url").agg(F.max_by(told, F.when(told.isNotNull(), F.col("at"))).alias("title"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+
+
+def mention_edges(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored entities and the pages that mention them, out of pages' entities (``url, entities, at``).
+
+    Entities: ``name, type, first_at, last_at`` by exact trimmed name, the last type given stays.  Edges:
+    ``url, name, mentions, last_at``, one for each page and entity however often the page was stored.
+    """
+    rows = pages.where("trim(url) <> ''").select("url", "at", F.posexplode("entities").alias("n", "e"))
+    rows = rows.select("url", "at", "n", F.trim("e.name").alias("name"), F.upper(F.coalesce(F.nullif(F.trim("e.type"), F.lit("")), F.lit("ENTITY"))).alias("type")).where("name <> ''")
+    entities = rows.groupBy("name").agg(F.max_by("type", F.struct("at", "n")).alias("type"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    edge_rows = rows.groupBy("url", "name").agg(F.count_distinct("at").alias("mentions"), F.max("at").alias("last_at"))
+    return entities, edge_rows
+
+
 def neighbours(edge_rows: DataFrame, key: str, limit: int = NEIGHBOURS) -> DataFrame:
     """Nodes one step from ``key`` in either direction, with the relation."""
     out = edge_rows.where(F.col("src") == key).select("rel", F.col("dst").alias("neighbour"))
@@ -84,7 +112,7 @@ def stats(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
 
 def entities_by_pages(entity_rows: DataFrame) -> DataFrame:
     """Entities (``name, type, url, at``) by the number of pages that name them: ``key, name, type, pages``."""
-    named = entity_rows.where(F.trim("name") != "").withColumn("key", F.lower(F.trim("name")))
+    named = entity_rows.where(F.trim("name") != "").withColumn("key", folded(F.col("name")))
     return (
         named.groupBy("key")
         .agg(F.min_by(F.trim("name"), "at").alias("name"), F.min_by("type", "at").alias("type"), F.countDistinct("url").alias("pages"))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Queries that are compared with all rows at a time.
-BLOCK = 64
+from citelake.operators.shared import written
+
+#: Queries that are compared with all rows at a time, and rows of a task that they are multiplied with at a time.
+BLOCK, ROWS = 4096, 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,25 +49,70 @@ def search(
 
 
 def search_many(rows: DataFrame, queries: DataFrame, limit: int = 5, id_col: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """``query_id, id, score, rank`` for every row of ``queries`` against all others of ``rows``.
+    """``query_id, id, score, rank`` for every row of ``queries`` against all others of ``rows`` (ties by id).
 
-    Queries go out in blocks of bounded size, each broadcast as one array; a task keeps the best of its rows for each
-    query before anything is shuffled, so the result of a task is at most ``limit`` rows for each query and block.
+    Queries are taken in blocks of about ``block`` rows, one after the other: a block is a matrix that every task
+    multiplies with its rows, batch by batch, keeping the best ``limit`` of each query; only those are shuffled, and each
+    block's result is written before the next block begins.  Vectors without a length, and pairs of different widths,
+    have no score.  Repeated ids are rows of their own; a row never finds one of its own id.
     """
-    numbered = queries.select(F.struct(F.col(id_col).alias("id"), F.col(vector).alias("v")).alias("q"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("h"))
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    packed = numbered.groupBy((F.col("h") % blocks).alias("block")).agg(F.collect_list("q").alias("qs"))
-    pairs = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).join(F.broadcast(packed))
-    flat = pairs.select("id", "v", F.explode("qs").alias("q")).where(F.col("q.id") != F.col("id"))
-    scored = flat.select(F.col("q.id").alias("query_id"), "id", F.round(cosine(F.col("q.v"), F.col("v")), 6).alias("score")).where("score is not null")
-    best = scored.groupBy("query_id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")).agg(_best(limit))
-    best = best.select("query_id", F.explode("best").alias("b")).select("query_id", F.col("b.id").alias("id"), (-F.col("b.less")).alias("score"))
-    best = best.groupBy("query_id").agg(_best(limit))
-    return best.select("query_id", F.posexplode("best").alias("rank", "b")).select(
-        "query_id", F.col("b.id").alias("id"), (-F.col("b.less")).alias("score"), (F.col("rank") + 1).alias("rank")
-    )
-
-
-def _best(limit: int) -> Column:
-    return F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "id"))), 1, limit).alias("best")
+    kind = rows.schema[id_col].dataType.simpleString()
+    blocks = max(1, -(-queries.count() // block))
+    asked = queries.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    found = rows.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    out = None
+    for k in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toPandas()
+        best = found.mapInArrow(_multiplied(list(own["id"]), list(own["v"]), limit), f"query_id {kind}, id {kind}, score double")
+        best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "id", "score", "rank")
+        best = written(best, f"neighbours-{k}") if blocks > 1 else best
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def _multiplied(ids: list, vectors: list, limit: int):
+    """A function over Arrow batches (id, v): each task's best rows for each query."""
+    widths: dict[int, list[int]] = {}
+    for n, v in enumerate(vectors):
+        if len(v):
+            widths.setdefault(len(v), []).append(n)
+
+    def unit(matrix: np.ndarray) -> np.ndarray:
+        lengths = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+        return np.divide(matrix, lengths, out=np.full_like(matrix, np.nan), where=lengths > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = {width: (np.array(own), unit(np.array([vectors[n] for n in own], np.float64))) for width, own in widths.items()}
+        place: dict = {}
+        for n, i in enumerate(ids):
+            place.setdefault(i, []).append(n)
+        best = pd.DataFrame({"q": pd.Series(dtype="int64"), "id": pd.Series(dtype="object"), "score": pd.Series(dtype="float64")})
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                part_ids, part_vectors = part.column(0).to_pylist(), part.column(1)
+                sizes = pc.list_value_length(part_vectors).to_numpy(zero_copy_only=False)
+                for width, (own, matrix) in asked.items():
+                    rows = np.flatnonzero(sizes == width)
+                    if not len(rows):
+                        continue
+                    values = part_vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                    scores = np.nan_to_num(matrix @ unit(values).T, nan=-np.inf)
+                    at = {n: k for k, n in enumerate(own.tolist())}
+                    for k, r in enumerate(rows.tolist()):
+                        for n in place.get(part_ids[r], ()):
+                            if n in at:
+                                scores[at[n], k] = -np.inf
+                    kth = np.partition(scores, -min(limit, len(rows)), axis=1)[:, -min(limit, len(rows))]
+                    q, k = np.nonzero((scores >= kth[:, None] - 2e-6) & np.isfinite(scores))
+                    fresh = pd.DataFrame({"q": own[q], "id": pd.Series([part_ids[r] for r in rows[k].tolist()], dtype="object"), "score": np.round(scores[q, k], 6)})
+                    best = pd.concat([best, fresh]) if len(best) else fresh
+                    best = best.sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q", sort=False).head(limit)
+        if kind is not None and len(best):
+            asked_ids = pa.array([ids[n] for n in best["q"].tolist()], kind)
+            yield pa.RecordBatch.from_arrays([asked_ids, pa.array(best["id"].tolist(), kind), pa.array(best["score"].to_numpy(), pa.float64())], names=["query_id", "id", "score"])
+
+    return run

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from citelake.functions import text as T
 from citelake.functions.registry import register
-from citelake.operators import apis, chunking, dedup, evaluation, export, frontier, graph, markdown, structured, vectors
+from citelake.operators import apis, chunking, dedup, evaluation, export, frontier, graph, markdown, page_agent, structured, vectors
 from citelake.plans.pages import page_terms
 from citelake.sources import catalogue, upserts
 from citelake.sources.tables import counts, recent, table
@@ -200,7 +200,10 @@ def normalized_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.call_function("normalize_text", F.col("text")).alias("folded"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), c AS (SELECT doc_id, (unnest(range(0, len(w), 150)) // 150)::INTEGER AS chunk_index FROM w),
+        h AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(doc_id || '#' || chunk_index)) AS h FROM c)
+        SELECT doc_id, chunk_index, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1)::INTEGER % 4 + 1, 1)
+               || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM h""")
 def point_ids(spark, d):
     rows = chunking.chunk_table(table(spark, d, "documents"))
     return rows.select("doc_id", "chunk_index", T.point_id(F.col("doc_id").cast("string"), F.col("chunk_index"), "6ba7b811-9dad-11d1-80b4-00c04fd430c8").alias("id"))
@@ -360,6 +363,31 @@ def triple_merge(spark, d):
     return graph.store_edges(rows).select("subject", "rel", "object", "created", "updated", F.lit(None).cast("string").alias("note"))
 
 
+@query("""SELECT 'https://shop/' || o_orderkey AS url, 'Order ' || o_orderstatus AS title, o_orderkey AS first_at, o_orderkey AS last_at FROM orders""")
+def page_nodes(spark, d):
+    orders = table(spark, d, "orders").select(F.concat(F.lit("https://shop/"), "o_orderkey").alias("url"), F.concat(F.lit("Order "), "o_orderstatus").alias("title"), F.col("o_orderkey").alias("at"))
+    return graph.page_nodes(orders)
+
+
+def _part_mentions(spark, d):
+    """Orders' lines as pages: each names its part's brand, typed by its line status."""
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    entity = F.struct(F.col("p_brand").alias("name"), F.col("l_linestatus").alias("type"))
+    return rows.select(F.col("l_orderkey").cast("string").alias("url"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), F.array(entity).alias("entities"))
+
+
+@query("""SELECT l_orderkey::VARCHAR AS url, trim(p_brand) AS name, count(*) AS mentions, max(l_orderkey * 10 + l_linenumber) AS last_at
+        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""")
+def mention_edges(spark, d):
+    return graph.mention_edges(_part_mentions(spark, d))[1]
+
+
+@query("""SELECT trim(p_brand) AS name, arg_max(upper(l_linestatus), l_orderkey * 10 + l_linenumber) AS type, min(l_orderkey * 10 + l_linenumber) AS first_at,
+        max(l_orderkey * 10 + l_linenumber) AS last_at FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+def mentioned_entities(spark, d):
+    return graph.mention_edges(_part_mentions(spark, d))[0]
+
+
 @query("""SELECT lower(trim(p_brand)) AS key, arg_min(trim(p_brand), l_orderkey * 10 + l_linenumber) AS name, 'BRAND' AS type, count(DISTINCT l_orderkey) AS pages
         FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def entity_page_counts(spark, d):
@@ -381,9 +409,9 @@ def schema_inference(spark, d):
     return apis.schemas(table(spark, d, "events"), "props", "event_type")
 
 
-@query("SELECT item_id, doc_id, contains(d.text, b.text) AS found FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40")
+@query("SELECT item_id, doc_id, contains(d.text, b.text) AS found FROM benchmark b CROSS JOIN documents d")
 def quote_verification(spark, d):
-    """Every benchmark item against every document.  The SQL tests a fortieth of these pairs, so it gives fewer rows."""
+    """Every benchmark item against every document."""
     quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
     return structured.quotes_on_all_pages(quotes, table(spark, d, "documents"), "item_id", "doc_id")
 
@@ -421,11 +449,14 @@ def split_windows(spark, d):
     return structured.window_table(pages, 120)
 
 
-@query()
+@query("""SELECT c_custkey, trim(c_name) AS name, 'ENTITY' AS type, trim(c_name) AS subject, 'buys' AS predicate, trim(c_mktsegment) AS object, trim(c_mktsegment) AS topic, '' AS summary
+        FROM customer WHERE c_name IS NOT NULL""")
 def knowledge_rows(spark, d):
     customers = table(spark, d, "customer").where("c_name is not null")
     reply = F.to_json(F.struct(F.array(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("type"))).alias("entities"), F.array(F.struct(F.col("c_name").alias("subject"), F.lit("buys").alias("predicate"), F.col("c_mktsegment").alias("object"))).alias("triples"), F.array("c_mktsegment").alias("topics")))
-    return structured.knowledge(customers.select("c_custkey", reply.alias("reply"))).drop("reply")
+    found = structured.knowledge(customers.select("c_custkey", reply.alias("reply")))
+    one = lambda c, field: F.col(c)[0][field].alias(field)
+    return found.select("c_custkey", one("entities", "name"), one("entities", "type"), one("triples", "subject"), one("triples", "predicate"), one("triples", "object"), F.col("topics")[0].alias("topic"), "summary")
 
 
 # --- API intelligence ----------------------------------------------------------------------------------------------
@@ -473,7 +504,22 @@ def api_categories(spark, d):
     return catalogue.categories(catalogue.catalogue(spark))
 
 
-@query()
+@query("""SELECT id, name, url FROM (VALUES
+        ('api-weather-01', 'Open-Meteo API', 'https://api.open-meteo.com/v1/forecast'),
+        ('api-finance-02', 'CoinGecko API', 'https://api.coingecko.com/api/v3/ping'),
+        ('api-news-03', 'HackerNews API', 'https://hacker-news.firebaseio.com/v0/topstories.json'),
+        ('api-education-04', 'Universities List API', 'http://universities.hipolabs.com/search'),
+        ('api-gov-05', 'Data USA API', 'https://datausa.io/api/data'),
+        ('api-scientific-06', 'NASA APOD API', 'https://api.nasa.gov/planetary/apod'),
+        ('api-ai-07', 'Ollama API', 'http://localhost:11434/api/generate'),
+        ('api-mapping-08', 'OSM Nominatim API', 'https://nominatim.openstreetmap.org/search'),
+        ('api-health-09', 'OpenFDA API', 'https://api.fda.gov/drug/label.json'),
+        ('api-geo-10', 'USGS Earthquake API', 'https://earthquake.usgs.gov/fdsnws/event/1/query'),
+        ('api-opendata-11', 'REST Countries API', 'https://restcountries.com/v3.1/all'),
+        ('api-trans-12', 'Transitland API', 'https://transit.land/api/v2/operators'),
+        ('api-astro-13', 'NASA SSCWeb API', 'https://sscweb.gsfc.nasa.gov/WS/ssc/2/observatories'),
+        ('api-chain-14', 'Blockchain.info API', 'https://blockchain.info/rawblock/00000000000000000003c2ffb514c3a9f0e1fb719eb7664d6fa9e1d88cc2e37f'),
+        ('api-sec-15', 'HaveIBeenPwned API', 'https://haveibeenpwned.com/api/v3/breaches')) AS t(id, name, url)""")
 def probe_targets(spark, d):
     return catalogue.probe_targets(catalogue.catalogue(spark))
 
@@ -488,17 +534,22 @@ def prf_by_lang(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
     gold, guess = F.col("quality") == 1, F.col("n_chars") >= 1000
     counted = rows.groupBy("lang").agg(F.count_if(gold & guess).alias("tp"), F.count_if(guess & ~gold).alias("fp"), F.count_if(gold & ~guess).alias("fn"))
-    share = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 4)
-    return counted.select("lang", "tp", "fp", "fn", share(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), share(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
+    rates = evaluation.rates(F.col("tp"), F.col("fp"), F.col("fn"))
+    return counted.select("lang", "tp", "fp", "fn", rates["precision"].alias("precision"), rates["recall"].alias("recall"))
 
 
 @query("""SELECT o_orderpriority, quantile_disc(o_totalprice, 0.5) AS p50, quantile_disc(o_totalprice, 0.95) AS p95 FROM orders GROUP BY o_orderpriority""")
 def percentile_nearest_rank(spark, d):
-    rank = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY o_totalprice)")
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(rank(0.5).alias("p50"), rank(0.95).alias("p95"))
+    rank = evaluation.nearest_rank
+    return table(spark, d, "orders").groupBy("o_orderpriority").agg(rank("o_totalprice", 0.5).alias("p50"), rank("o_totalprice", 0.95).alias("p95"))
 
 
-@query()
+_SCORES = """part_scores AS (SELECT p_brand AS fixture, p_partkey % 64 AS slot, count(*) AS n, count(*) FILTER (p_partkey % 10 = 0) AS wrong FROM part GROUP BY ALL),
+        scores AS (SELECT fixture, slot, 2 * n - wrong AS tp, wrong AS fp, wrong AS fn, round((2 * n - wrong) / (2 * n), 4) AS precision, round((2 * n - wrong) / (2 * n), 4) AS recall,
+                   round((2 * n - wrong) / (2 * n), 4) AS f1, n AS gold_records, n AS predicted_records, n AS matched_records, 0::BIGINT AS invented_records FROM part_scores)"""
+
+
+@query(f"WITH {_SCORES} SELECT * FROM scores")
 def score_records(spark, d):
     """Each brand's parts as gold records, and the same parts with prices that some tolerance admits as predictions."""
     task = json.dumps({"records_field": "parts", "key": "name", "fields": ["name", "price"]})
@@ -510,11 +561,44 @@ def score_records(spark, d):
     return evaluation.score_fixtures(fixtures.withColumn("task", F.lit(task)))
 
 
-@query()
+@query(f"""WITH {_SCORES} SELECT count(*) AS fixtures, round(sum(tp) / sum(tp + fp), 4) AS precision, round(sum(tp) / sum(tp + fn), 4) AS recall,
+        round(sum(tp) / sum(tp + fp), 4) AS f1, round(avg(f1), 4) AS macro_f1, 0::BIGINT AS invented_records FROM scores""")
 def score_summary(spark, d):
     return evaluation.summarise(score_records(spark, d))
 
 
+_ELEMENTS = """e AS (SELECT user_id AS run, date_trunc('day', ts) AS step, event_id AS pos, event_type AS text, CASE WHEN event_type = 'view' THEN 'textbox' END AS role FROM events)"""
+
+
+def _elements(spark, d):
+    role = F.when(F.col("event_type") == "view", "textbox")
+    return table(spark, d, "events").select(
+        F.col("user_id").alias("run"), F.date_trunc("day", "ts").alias("step"), F.col("event_id").alias("pos"), F.col("event_id").alias("id"), role.alias("role"),
+        F.col("event_type").alias("text"), (F.col("event_id") % 100).alias("x"), (F.col("event_id") % 70).alias("y"),
+    )
+
+
+@query(f"""WITH {_ELEMENTS}, r AS (SELECT run, step, min(pos) FILTER (role = 'textbox') AS fill, min(pos) AS any_one FROM e GROUP BY run, step)
+        SELECT run, CASE WHEN fill IS NULL THEN 'click' ELSE 'type' END AS type, coalesce(fill, any_one) AS element_id, coalesce(fill, any_one) % 100 AS x, coalesce(fill, any_one) % 70 AS y,
+               CASE WHEN fill IS NULL THEN NULL ELSE 'buy' END AS value FROM r""")
+def planned_actions(spark, d):
+    elements = _elements(spark, d)
+    goals = elements.select("run", "step").distinct().select("run", "step", F.lit("buy").alias("goal"), F.lit("").alias("typed"))
+    return page_agent.planned(goals, elements).select("run", "type", "element_id", "x", "y", "value")
+
+
+@query(f"""WITH {_ELEMENTS}, r AS (SELECT run, step, max(pos) AS wanted FROM e GROUP BY run, step)
+        SELECT run, CASE WHEN wanted % 7 = 0 THEN 'stop' ELSE 'click' END AS type, CASE WHEN wanted % 7 <> 0 THEN wanted END AS element_id,
+               CASE WHEN wanted % 7 <> 0 THEN wanted % 100 END AS x, wanted % 7 = 0 AS failed FROM r""")
+def resolved_actions(spark, d):
+    """Replies that choose a step's last element by its id; every seventh asks for an action that does not exist."""
+    elements = _elements(spark, d)
+    last = elements.groupBy("run", "step").agg(F.max("pos").alias("wanted"))
+    kind = F.when(F.col("wanted") % 7 == 0, "fly").otherwise("Click")
+    replies = last.select("run", "step", F.to_json(F.array(F.struct(F.struct(kind.alias("type"), F.col("wanted").cast("string").alias("id")).alias("action")))).alias("reply"))
+    return page_agent.actions(replies, elements).select("run", "type", "element_id", "x", F.col("error").isNotNull().alias("failed"))
+
+
 @query("""SELECT 'c' || c_custkey AS url, 1 AS entities, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS triples, 1 AS verified, 0 AS unverified FROM customer""")
 def page_summary(spark, d):
     pages = table(spark, d, "customer").select(
