@@ -2,13 +2,14 @@
 
 A document's pre-tokens stand in slots at the leaves of a segment tree whose nodes sum characters and tokens.  An
 edit descends to the slot it starts in, re-splits from the first pre-token that can see the edit (the pattern looks
-two characters past the end of a match, never behind its start) until a boundary coincides with an old one behind
+one character past the end of a match, never behind its start) until a boundary coincides with an old one behind
 the edit, counts only those pre-tokens, replaces them in the slots they were in and updates the sums above.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -168,18 +169,29 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file) if token}
 
 
+def _digest(ranks: dict[bytes, int], pattern: str) -> str:
+    """What tells a vocabulary and its pattern from all others."""
+    found = hashlib.sha256(pattern.encode())
+    for token, rank in sorted(ranks.items()):
+        found.update(b"%d %d " % (rank, len(token)) + token)
+    return found.hexdigest()
+
+
 def count_edited(
     docs: DataFrame, edits: Column, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN
 ) -> DataFrame:
     """``id, n_chars, n_tokens, edited_chars, edited_tokens, recounted_chars`` for every row.
 
     ``edits`` is an array of (start long, length long, insert string), applied in order, each to the text that the
-    ones before it left; a null array or element changes nothing.  A null text counts as empty.  Rows are counted
-    where they were scanned, without a shuffle.
+    ones before it left; a null array or element changes nothing.  A null text counts as empty, an empty one has no
+    token.  Every row is counted by itself, so repeated rows and ids give a row each, ties cannot occur and an empty
+    table gives an empty result; other columns are not read, so clashing names do no harm.  Rows are counted where they
+    were scanned, without a shuffle.  Each edit re-splits its surroundings only, but copies the text once.
     """
+    name = f"counter {_digest(ranks, pattern)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = once(f"counter {len(ranks)} {pattern}", lambda: Counter(ranks, pattern))
+        counter = once(name, lambda: Counter(ranks, pattern))
         for batch in batches:
             out = []
             for text, changes in zip(batch.column(1), batch.column(2), strict=True):
