@@ -105,7 +105,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_mix_sources": r"""
         WITH rows AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT AS h
+                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS h
             FROM documents),
         sizes AS (SELECT source, sum(size)::DOUBLE AS source_size FROM rows GROUP BY source),
         ranked AS (
