@@ -12,15 +12,18 @@ of similarity 0.8 shares no band with probability (1 - 0.8^5)^36 < 1e-6.
 Links: documents with the same set are one class, told by 128 bits of sums over the set, and only one member
 of each class goes on.  Each bucket (band value) has a leader L (from the member whose buckets are largest on to the one
 that leads it in several others, and so on up), and each member x is compared with it: ``r`` elements of L are missing in x and ``u`` are new, together its difference D.
-Members that link to L are connected through it and need no other pair.  What is left are pairs with a member
-that does not link to L, and for two members under the same leader
+Members that link to L are connected through it and need no other pair.  Those of a bucket that do not link to it
+elect leaders among themselves, for a few rounds, so that a second or third family is connected at one comparison a
+member too.  What is left are pairs of different components with a member that does not link to L, and for two members
+under the same leader
 
     shared(x, y) = |L| - r(x) - r(y) + |D(x) & D(y)|
 
 so linking takes a number of common differences that follows from sizes alone.  Only pairs that can reach it and
 have an element in common among the first differences (new ones first, as many as the needed number leaves) are
 looked at.  That is exact, and since differences are rare where a group's text is common, a large group of copies
-costs a few pairs per member.  Every link is confirmed on the full sets.
+costs a few pairs per member; the members outside the largest component of those with a difference meet all others, so one
+that holds nearly all of them is not paired with itself.  Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ BANDS = 36
 ROWS = 5
 #: Buckets that two documents share when one may lead the other's buckets elsewhere.
 CLIMB = 4
+#: Rounds of leaders among members that do not link to their bucket's first leader.
+MORE_LEADERS = 3
 
 
 def sketch(hashes: np.ndarray, begins: np.ndarray, bins: int) -> np.ndarray:
@@ -160,6 +165,21 @@ def _components(scratch: Scratch, members: DataFrame, sets: DataFrame, percent:
     )
     compared = scratch.keep(compared, "compared")
     tied = compared.where("adds <= off").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    apart = compared.where("adds > off").select(F.col("lead").alias("_l"), F.col("id").alias("_i"))
+    left = members.join(leaders, in_bucket).join(apart, (F.col("lead") == F.col("_l")) & (F.col("id") == F.col("_i"))).select("bucket", "id")
+    for turn in range(MORE_LEADERS):
+        left = scratch.keep(left, f"left-{turn}")
+        rank = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id"))
+        elected = left.groupBy("bucket").agg(F.min(rank)["id"].alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        led = left.join(elected.select(F.col("bucket").alias("_b"), "lead"), in_bucket).where("id <> lead")
+        led = scratch.keep(led.select("bucket", "id", "lead"), f"led-{turn}")
+        if not led.take(1):
+            break
+        pairs = led.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+        found = scratch.keep(_links(pairs, sets, percent), f"tied-{turn}")
+        tied = tied.union(found)
+        told = (F.least("id", "lead") == F.col("a")) & (F.greatest("id", "lead") == F.col("b"))
+        left = led.join(found, told, "left_anti").select("bucket", "id")
     first = connected_components(tied, scratch, "first")
 
     unit = 100 + percent
@@ -172,9 +192,10 @@ def _components(scratch: Scratch, members: DataFrame, sets: DataFrame, percent:
     # the least that a partner on either side adds, under each leader
     is_far = F.col("adds") > F.col("off")
     bounds = in_doubt.groupBy(F.col("lead").alias("_l")).agg(
-        F.min(F.when(is_far, F.col("adds"))).alias("far_adds"), F.min(F.when(~is_far, F.col("adds"))).alias("near_adds")
-    )
-    in_doubt = scratch.keep(in_doubt.join(bounds, F.col("lead") == F.col("_l")).drop("_l", "_lead", "_node", "_comp"), "in-doubt")
+        F.min(F.when(is_far, F.col("adds"))).alias("far_adds"), F.min(F.when(~is_far, F.col("adds"))).alias("near_adds"),
+        F.min("comp").alias("_lo"), F.max("comp").alias("_hi"),
+    ).where("_lo <> _hi")
+    in_doubt = scratch.keep(in_doubt.join(bounds, F.col("lead") == F.col("_l")).drop("_l", "_lead", "_node", "_comp", "_lo", "_hi"), "in-doubt")
 
     def heads(rows: DataFrame, partner_adds: str) -> DataFrame:
         """The first differences of each row, such that any partner it can link to has one of them among its own."""
@@ -185,7 +206,7 @@ def _components(scratch: Scratch, members: DataFrame, sets: DataFrame, percent:
         return each.select("lead", "id", "adds", "off", (F.col("n") - F.col("at")).alias("rest"), "comp", "d")
 
     def meeting(one: DataFrame, other: DataFrame, apart) -> DataFrame:
-        other = other.toDF("lead_", "id_", "adds_", "off_", "rest_", "comp_", "d_")
+        other = other.toDF(*[f"{c}_" for c in other.columns])
         needed = F.col("adds") + F.col("adds_") - F.col("off")
         # differences stand in one order, so a pair's first common one is followed by what is left in both at most
         may_link = (F.col("comp") != F.col("comp_")) & (needed <= F.least("rest", "rest_") * unit) & apart
@@ -193,7 +214,12 @@ def _components(scratch: Scratch, members: DataFrame, sets: DataFrame, percent:
         return found.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"))
 
     far, near = in_doubt.where(is_far), in_doubt.where(~is_far)
-    pairs = meeting(heads(far, "far_adds"), heads(far, "far_adds"), F.col("id") < F.col("id_"))
+    among = heads(far, "far_adds")
+    parts = among.groupBy("lead", "d", "comp").count().groupBy(F.col("lead").alias("_l"), F.col("d").alias("_d"))
+    largest = parts.agg(F.max(F.struct("count", "comp"))["comp"].alias("_largest"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
+    among = among.join(largest, (F.col("lead") == F.col("_l")) & (F.col("d") == F.col("_d"))).withColumn("most", F.col("comp") == F.col("_largest"))
+    among = scratch.keep(among.drop("_l", "_d", "_largest", "_parts"), "among")
+    pairs = meeting(among, among, ~F.col("most") & (F.col("most_") | (F.col("id") < F.col("id_"))))
     pairs = pairs.union(meeting(heads(near, "far_adds"), heads(far, "near_adds"), F.lit(True))).distinct()
     links = scratch.keep(_links(pairs, sets, percent), "links")
     if not links.take(1):
@@ -258,6 +284,11 @@ def near_duplicates(
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """``docs`` with one document of each group, all columns kept."""
+    """``docs`` with one document of each group, all columns kept.
+
+    Of a group the row with the smallest id stays.  Rows without an id, with a null or empty text, and repeated rows of
+    an id that stays are kept; an empty table gives an empty one.  The operator's own columns begin with ``__cl_``, so
+    other names cannot clash.
+    """
     dropped = near_duplicates(docs, id_col=id_col, **settings).where("not kept").select(id_col)
     return without_ids(docs, Scratch(docs.sparkSession, "near-dropped").keep(dropped.distinct(), "ids"), id_col)
