@@ -100,6 +100,42 @@ def test_groups_that_leaders_do_not_connect(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {d: groups.find(d) for d in sets}
 
 
+def test_a_second_family_under_one_leader(spark, monkeypatch):
+    """Variants of a text and of another that is far from it but shares buckets: candidates stay linear in their number."""
+    import random
+
+    from citelake.llm import near_dedup as module
+
+    rng = random.Random(9)
+    base = [f"w{n}" for n in range(400)]
+    second = [w if n % 400 < 330 else f"v{n}" for n, w in enumerate(base)]
+    asked = {}
+
+    def run(n):
+        texts = []
+        for k in range(40 + n):
+            own = list(base if k < 40 else second)
+            own[rng.randrange(400)] = f"x{k}"
+            texts.append((k, " ".join(own)))
+        seen = []
+        plain = module._links
+        monkeypatch.setattr(module, "_links", lambda pairs, sets, percent: (seen.append(pairs.count()), plain(pairs, sets, percent))[1])
+        got = {r["doc_id"]: r["component_id"] for r in module.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), shingle=2).collect()}
+        monkeypatch.setattr(module, "_links", plain)
+        asked[n] = sum(seen)
+        sets = {d: shingles(t, 2) for d, t in texts}
+        groups = Groups(sets)
+        for a, b in combinations(sets, 2):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                groups.join(a, b)
+        assert got == {d: groups.find(d) for d in sets} and len(set(got.values())) == 2
+
+    for n in (40, 120):
+        run(n)
+    assert asked[120] / 160 < 2 * max(1, asked[40] / 80)
+
+
 def test_sketches_fill_every_coordinate_and_agree_with_similarity():
     import numpy as np
 
@@ -166,16 +202,30 @@ def test_water_level_with_empty_sources(spark):
 
 def test_curriculum_rows(spark):
     got = curriculum(frame(spark), position_col="_at")
-    plan = {(r["doc_id"], r["tie"]): r for r in plan_mix(frame(spark)).where("doc_id <> 92 or doc_id is null").collect()}
-    seen = Counter((r["doc_id"]) for r in got.collect())
-    for (doc_id, _), r in plan.items():
-        if doc_id is not None:
-            copies = sum(r["start"] + k * r["source_size"] < int(r["target"]) for k in range(2)) if r["taken"] else 0
-            assert seen[doc_id] == copies
+    copies = Counter()
+    for r in plan_mix(frame(spark)).collect():
+        copies[r["doc_id"]] += sum(r["start"] + k * r["source_size"] < int(r["target"]) for k in range(2)) if r["taken"] else 0
+    assert Counter(r["doc_id"] for r in got.collect()) == +copies
     at = [r["_at"] for r in got.collect()]
     assert at == sorted(at) and curriculum(frame(spark)).columns == frame(spark).columns
 
 
+def test_curriculum_with_one_id_in_two_sources_and_repeated_rows(spark):
+    rows = [(1, "a b c d", "s1", 1), (1, "a b c d", "s2", 2), *[(2, "e f g", "s2", 3)] * 5, (None, "h i", "s1", 4), (None, "j k", "s1", 5), (None, "j k", None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    plan = plan_mix(docs).collect()
+    want = Counter()
+    for r in plan:
+        want[(r["doc_id"], r["source"], r["size"])] += sum(r["start"] + k * r["source_size"] < int(r["target"]) for k in range(2)) if r["taken"] else 0
+    got = [tuple(r) for r in curriculum(docs, position_col="at").collect()]
+    assert Counter((r[0], r[2], len(r[1].split())) for r in got) == +want
+    assert got == [tuple(r) for r in curriculum(docs.repartition(5), position_col="at").collect()]
+    by_source = Counter()
+    for r in plan:
+        by_source[r["source"]] += r["taken"]
+    assert all(by_source[r["source"]] == int(r["target"]) for r in plan) and len(plan) == len(rows)
+
+
 def test_shards(spark, tmp_path):
     rows = documents()
     got = shard_records(frame(spark)).collect()
