@@ -102,7 +102,11 @@ def containment(own: np.ndarray, other: np.ndarray) -> float:
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fingerprint`` for every row, in one pass without a shuffle; a null text counts as empty."""
+    """``id, fingerprint`` for every row, in one pass without a shuffle; a null text counts as empty.
+
+    Equal texts have equal fingerprints, so repeated rows are told alike; an empty text has the empty fingerprint and an
+    empty table an empty result.  Only the named columns are read, so clashing names do no harm.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()

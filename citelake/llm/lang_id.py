@@ -24,10 +24,10 @@ from citelake.llm.codepoints import code_point_chunks, letter_tables, letters_lo
 
 #: Bounds of the labelled sample that automata are built from: documents and symbols per language, and languages.
 SAMPLE_DOCS = 64
-SAMPLE_SYMBOLS = 12_000
+SAMPLE_SYMBOLS = 20_000
 MAX_LANGUAGES = 200
 #: Distinct symbols: one for any run of non-letters, one for letters beyond the most frequent ones.
-ALPHABET = 64
+ALPHABET = 96
 WINDOW = 256
 UNDETERMINED = "und"
 
@@ -208,7 +208,8 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text when no language was
     learned.  Equal phrase counts go to the first language in order.  ``score`` is the winner's share when each
-    phrase more than the fewest divides a language's weight by e.
+    phrase more than the fewest divides a language's weight by e.  Every row is judged by itself: repeated rows and
+    ids give a row each, a null id is kept as it is, an empty table gives an empty result, and only the named columns are read.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = named.schema["id"].dataType.simpleString()
@@ -218,7 +219,8 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 def drop_undetermined(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text has no language, all columns kept; texts pass through once, unshuffled.
 
-    When no language was learned, only null texts and those without a letter go.
+    When no language was learned, only null texts and those without a letter go.  Rows are judged each by itself, repeated
+    ones alike; no column is added, so names cannot clash, and an empty table gives an empty one.
     """
     columns = docs.columns
     place = columns.index(text_col)

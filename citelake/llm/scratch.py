@@ -9,29 +9,13 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOTS: dict[str, str] = {}
+from citelake.operators.shared import shared_folder
 
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share.
-
-    The session's ``spark.checkpoint.dir`` decides; where it is unset, a local master (one machine, so a
-    local folder is shared) gets a temporary folder, and any other master raises ``ValueError``.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="citelake-")
-    return _LOCAL_ROOTS[context.applicationId]
+shared_root = shared_folder
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

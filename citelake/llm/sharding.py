@@ -92,7 +92,11 @@ def shard_records(
 def write_shards(docs: DataFrame, path: str, weights: Sequence[float] = (1.0,) * 16, id_col: str = "doc_id") -> None:
     """Write ``docs`` as Parquet below ``path``, one ``_shard=N`` folder for each shard.
 
-    Each task writes the records of the shards it meets, so no shard is gathered in one task.
+    Each task writes the records of the shards it meets, so no shard is gathered in one task.  A null id is a key like any
+    other, repeated ids go to one shard, texts may be null or empty, and an empty table writes no record.  ``_shard`` is the
+    operator's own column: a table that has one already raises ``ValueError``.
     """
+    if "_shard" in docs.columns:
+        raise ValueError("the table has a column _shard, which names the folders")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     docs.withColumn("_shard", rendezvous_shard(key, weights)).write.partitionBy("_shard").mode("overwrite").parquet(path)

@@ -299,7 +299,9 @@ def encode(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     """``id, ids, n_tokens, decoded_sha256, round_trip`` for every row.
 
     Null and empty texts have no ids.  ``round_trip`` says whether decoding gives the text back; it does unless
-    the text itself holds word marks or, without byte pieces, unknown characters.
+    the text itself holds word marks or, without byte pieces, unknown characters.  Rows are encoded each by itself:
+    repeated rows and ids give a row each, a null id is kept, and an empty table gives an empty result.  Ties between
+    segmentations go to the piece that the library takes too.  Only the named columns are read, so clashing names do no harm.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +328,10 @@ def encode(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 
 def decode(rows: DataFrame, model: dict, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``id, text`` from a column of piece ids; null counts as no ids, and bytes that are not UTF-8 become U+FFFD."""
+    """``id, text`` from a column of piece ids; null counts as no ids, and bytes that are not UTF-8 become U+FFFD.
+
+    Repeated rows give a row each, an empty table an empty result; only the named columns are read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -215,7 +215,9 @@ def fit(
     """The model, from rows of ``labels`` (id, label 0 or 1) whose documents are in ``docs``.
 
     Labels of each kind fall into ``fit_docs`` hashed bins and the least hash of a bin is taken.  Without labels
-    of both kinds no word is known and every document gets the same low score.
+    of both kinds no word is known and every document gets the same low score; so it is where ``docs`` is empty.
+    Rows without an id or with another label are not used.  A label told several times is drawn once; where an id has
+    several texts all of them are read, and ties between equal hashes fall to the lesser id.  Only the named columns are read.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     h = F.xxhash64(F.col("_i"), F.lit("fit"))
@@ -271,7 +273,9 @@ def fit(
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, score, n_words, passages`` for every row; passages are the significant segments, in code points.
 
-    Null and empty texts have no words and get the score of a text without evidence.
+    Null and empty texts have no words and get the score of a text without evidence.  Every row is scored by itself, so
+    repeated rows and ids give a row each, ties cannot occur and an empty table gives an empty result; only the named columns
+    are read, so clashing names do no harm.
     """
     found = find_segments(docs, model, id_col, text_col)
     chance = F.log(F.greatest(F.lit(_TOP), F.lit(float(model["K"])) * F.greatest(F.lit(1), F.col("n_words"))))

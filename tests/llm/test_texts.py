@@ -60,6 +60,48 @@ def test_chunks_are_bounded_and_resist_shifts():
     assert containment(batch[1], batch[1]) == 1.0 and containment(batch[1], plain[0]) == 0.0
 
 
+def scalar_chunks(text: bytes) -> list[bytes]:
+    """Chunks byte by byte, from the definition."""
+    mask = (1 << 64) - 1
+
+    def spread(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    gear = [spread(n + 1) >> 32 for n in range(256)]
+    out, start, h = [], 0, 0
+    for at, byte in enumerate(text):
+        h = ((h << 1) + gear[byte]) & 0xFFFFFFFF  # a byte is shifted out after 32 steps
+        size = at + 1 - start
+        bits = 8 if size < 96 else 5
+        if size >= 384 or (size >= 32 and not h >> (32 - bits)):
+            out.append(text[start : at + 1])
+            start = at + 1
+    return [*out, text[start:]] if start < len(text) else out
+
+
+def test_fingerprints_equal_a_scalar_chunker(spark):
+    rng = random.Random(12)
+    base = " ".join("".join(rng.choice("abcdefghij é漢") for _ in range(rng.randint(1, 9))) for _ in range(3000))
+    texts = [base, base[:9000] + " an insertion " + base[9000:], "", "short", base[500:700], "z" * 5000, base[:100] * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in compare_with_edits(docs).collect()}
+
+    def alike(a, b):
+        mine, theirs = (set(scalar_chunks(t.encode())) for t in (a, b))
+        return sum(len(c) for c in mine if c in theirs) / sum(map(len, mine)) if mine and theirs else float(not mine and not theirs)
+
+    for n, text in enumerate(texts):
+        after, half = texts[(n + 1) % len(texts)], len(text) // 2
+        print_ = got[n]["fingerprint"]
+        sizes = sorted(int(print_[k + 12 : k + 16], 16) for k in range(0, len(print_), 16))
+        assert sizes == sorted(map(len, set(scalar_chunks(text.encode()))))
+        assert got[n]["near_next"] == pytest.approx(alike(text, after)) and got[n]["near_edited"] == pytest.approx(alike(text, text[: len(text) - half] + after[:half]))
+
+
 def reference_phrases(sample: list[int], text: list[int], window: int) -> int:
     count = 0
     whole = "".join(map(chr, sample))
@@ -157,6 +199,35 @@ def test_toxicity_held_out(spark):
     assert cut.startswith(("vile", "grunt"))
 
 
+def test_scores_equal_the_definition(spark):
+    """Words, their longest known prefixes, maximal segments, evidence and the curve, all in plain Python."""
+    docs, labels = toxic_table(spark)
+    model = toxicity.fit(docs, labels)
+    known = dict(zip(model["keys"].tolist(), model["scores"].tolist(), strict=True))
+    spans = toxicity._Spans()
+
+    def worth(word):
+        found = [known[k] for k in (spans.key(word[:n]) for n in toxicity.PREFIXES if n <= len(word)) if k in known]
+        whole = known.get(spans.key(word + "$"))
+        return whole if whole is not None else found[-1] if found else 0.0
+
+    def segments(scores):
+        sums = np.concatenate([[0.0], np.cumsum(scores)])
+        worths = np.triu(sums[None, :] - sums[:, None], 1)
+        i, j = np.unravel_index(int(np.argmax(worths)), worths.shape)
+        return [worths[i, j], *segments(scores[:i]), *segments(scores[j:])] if worths[i, j] > 1e-12 else []
+
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.limit(120).collect())
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for doc_id, text in rows:
+        words = text.lower().split()
+        scores = [worth(w) or -model["gap"] for w in words]
+        chance = np.log(max(1e-9, model["K"] * max(1, len(words))))
+        evidence = sum(e for e in (model["lambda"] * x - chance for x in segments(scores)) if e > 0)
+        assert got[doc_id] == pytest.approx(1 / (1 + np.exp(-min(500.0, model["a"] + model["b"] * evidence))), abs=1e-9)
+    assert max(got.values()) > 0.9 > 0.1 > min(got.values())
+
+
 def test_toxicity_edge_cases(spark):
     docs, labels = toxic_table(spark)
     for model in (toxicity.fit(docs, labels), toxicity.fit(docs, labels.limit(0)), toxicity.fit(docs.limit(0), labels)):
