@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from citelake.functions import jsonx
 from citelake.functions.text import is_document, is_static_asset
+from citelake.operators.files import write_text
 
 
 def match_responses(events: DataFrame, key: str = "url", seq: str = "seq") -> DataFrame:
@@ -76,6 +77,11 @@ def openapi_operations(calls: DataFrame, skip_documents: bool = True) -> DataFra
     return last.select("path", F.col("verb").alias("method"), operation("c.method", "c.host", "c.request", "c.response").alias("operation"))
 
 
+def write_openapi(operations: DataFrame, title: str, path: str, version: str = "1.0.0") -> None:
+    """The description as one file."""
+    write_text(operations.sparkSession.createDataFrame([(openapi_document(operations, title, version),)], "value string"), path)
+
+
 def openapi_document(operations: DataFrame, title: str, version: str = "1.0.0") -> str:
     """The description as JSON text; it holds one entry for each distinct endpoint of one site."""
     rows = operations.orderBy("path", "method").toLocalIterator()

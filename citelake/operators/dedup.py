@@ -6,41 +6,70 @@ connected group.  Texts of fewer than 40 characters or without a shingle are alw
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citelake.functions.text import SHINGLE, shingles
+from citelake.functions.text import SHINGLE, bound, words
 from citelake.operators.shared import written
 
 PERCENT = 85
 LEAST_CHARS = 40
+#: Counts of the sketch that tells common members from rare ones.
+SLOTS = 1 << 16
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """``id, members, digest`` of the comparable texts; equal sets have equal digests."""
-    hashed = F.array_sort(F.array_distinct(F.transform(shingles(F.col(text_col), k), lambda s: F.xxhash64(s))))
-    rows = docs.where(F.length(text_col) >= LEAST_CHARS).select(F.col(id_col).alias("id"), hashed.alias("members"))
-    digest = F.sha2(F.array_join(F.transform("members", lambda h: F.hex(h)), ""), 256)
-    return rows.where(F.size("members") > 0).withColumn("digest", digest)
+    """``id, members, digest`` of the comparable texts; members are hashes in order, and equal sets have equal digests."""
+
+    def hashed(tokens: Column) -> Column:
+        n = F.size(tokens)
+        each = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(tokens, i + j) for j in range(k)]))
+        return F.when(n >= k, F.array_sort(F.array_distinct(each)))
+
+    rows = docs.where(F.length(text_col) >= LEAST_CHARS).select(F.col(id_col).alias("id"), bound(words(F.lower(F.col(text_col))), hashed).alias("members"))
+    digest = F.struct(F.xxhash64("members").alias("x"), F.xxhash64(F.lit(1), "members").alias("y"))
+    return rows.where("members is not null").withColumn("digest", digest)
+
+
+def _heads(frequency: np.ndarray, percent: int):
+    """A function over Arrow batches (id, members): each set's least frequent members, as many as no partner can avoid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            members = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            order = np.lexsort((members, frequency[members & (len(frequency) - 1)], row))
+            first = np.cumsum(sizes) - sizes
+            rank = np.arange(len(members)) - np.repeat(first, sizes)
+            kept = rank < (sizes - -(-sizes * percent // 100) + 1)[row]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[kept])), pa.array(sizes[row[kept]]), pa.array(members[order][kept])], names=["id", "n", "m"])
+
+    return run
 
 
 def similar_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``a, b, shared, total`` (a < b) of the representatives whose sets have a Jaccard similarity of ``percent`` or more.
 
-    Representatives are the smallest ids of equal sets.  Sets are indexed by the rarest of their members, as many as a
-    partner of that similarity cannot avoid all of, and partners of other sizes are left out, so common members make
-    no pairs; what is left is compared in full.  The result is exact.
+    Representatives are the smallest ids of equal sets.  Members are ranked by how often their slot of a sketch of
+    ``SLOTS`` counts occurs, over all sets, and each set is indexed by the rarest of its members, as many as a partner of
+    that similarity cannot avoid all of; partners of other sizes are left out.  So common members make no pairs and only
+    the index is shuffled; what is left is compared in full.  The result is exact, whatever the counts are.
     """
     reps = sets.groupBy("digest").agg(F.min("id").alias("id"), F.first("members").alias("members")).select("id", "members")
-    reps = written(reps.withColumn("n", F.size("members")), "reps")
-    flat = reps.select("id", "n", F.explode("members").alias("m"))
-    often = flat.groupBy("m").agg(F.count(F.lit(1)).alias("f")).where("f > 1").withColumnRenamed("m", "_m")
-    # a member of one set only pairs with nothing: it counts for the length of the index but is not in it
-    ranked = flat.join(often, F.col("m") == F.col("_m")).select("id", "n", F.struct("f", "m").alias("r"))
-    ordered = ranked.groupBy("id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("r")).alias("rs"))
-    needed = F.ceil(F.col("n") * percent / 100).cast("int")
-    index = F.greatest(F.lit(0), F.size("rs") - needed + 1)
-    heads = ordered.select("id", "n", F.explode(F.slice("rs", F.lit(1), index)).alias("r")).select("id", "n", F.col("r.m").alias("m"))
+    reps = written(reps, "reps")
+    counted = reps.select(F.explode("members").alias("m")).groupBy(F.col("m").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).count().collect()  # SLOTS rows at most
+    frequency = np.zeros(SLOTS, np.int64)
+    for slot, count in counted:
+        frequency[slot] = count
+    kind = reps.schema["id"].dataType.simpleString()
+    heads = reps.mapInArrow(_heads(frequency, percent), f"id {kind}, n long, m long")
+    heads = written(heads, "heads")
     other = heads.toDF("id_", "n_", "m_")
     size_fits = (F.col("n") * 100 >= F.col("n_") * percent) & (F.col("n_") * 100 >= F.col("n") * percent)
     found = heads.join(other, (F.col("m") == F.col("m_")) & (F.col("id") < F.col("id_")) & size_fits).select(F.col("id").alias("a"), F.col("id_").alias("b")).distinct()

@@ -53,6 +53,19 @@ def results(rows: DataFrame, job_id: str) -> dict[str, DataFrame]:
     return {"pages": pages.orderBy("id"), "structured": structured.merge(parts, "job_id", "id"), "nodes": nodes, "edges": graph.edges(told, nodes), "truncated": graph.truncated(told)}
 
 
+def results_or_archived(live: DataFrame, stored: DataFrame, job_id: str) -> dict[str, DataFrame]:
+    """``results`` of a job out of the rows held for running jobs, else out of the stored ones; with ``job``: its id, state
+    (``archived`` where only stored rows are left) and first URL.  ``KeyError`` if neither knows the job."""
+    own = live.where(F.col("job_id") == job_id)
+    known = bool(own.take(1))
+    rows = own if known else stored.where(F.col("job_id") == job_id)
+    if not known and not rows.take(1):
+        raise KeyError(job_id)
+    state = F.lit("held" if known else "archived")
+    job = rows.groupBy("job_id").agg(F.min_by("url", "id").alias("url")).select("job_id", state.alias("status"), "url")
+    return results(rows, job_id) | {"job": job}
+
+
 def to_ask(prompts: DataFrame, cache: DataFrame, provider: str, base_url: str, model: str, temperature: float = 0.0) -> DataFrame:
     """Prompts (column ``prompt``) that the cache (``key, reply``) has no reply for, each once, with their ``key``."""
     key = cache_key(F.lit(provider), F.lit(base_url), F.lit(model), F.lit(temperature), F.col("prompt"))

@@ -22,7 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="citelake-"))
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -35,5 +35,5 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/citelake/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return spark.read.schema(rows.schema).parquet(path)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from citelake.functions import citations, jsonx
 from citelake.functions.knowledge import parse_knowledge
+from citelake.operators.shared import written
 from citelake.schemas import KNOWLEDGE, STRUCTURED
 
 MOST_RETRIES = 1
@@ -106,6 +107,25 @@ def extract(windows: DataFrame, provider: Provider, instruction: str, schema: di
     return windows.select("url", "window", "text").mapInPandas(run, f"url STRING, window INT, {STRUCTURED}")
 
 
+def extract_pages(pages: DataFrame, provider: Provider, instruction: str, schema: dict, budget: int = 6000, most: int = 4) -> DataFrame:
+    """``url``, the structured result of each page (``url, markdown``), ``windows`` asked for and ``windows_skipped``.
+
+    A page's windows are extracted and folded in order; where there were several, the folded data is held against the
+    schema anew, since parts that fit need not fit together.
+    """
+    asked = written(first_windows(window_table(pages, budget), most), "windows")
+    parts = extract(asked, provider, instruction, schema)
+    counts = asked.groupBy(F.col("url").alias("_url")).agg(F.count(F.lit(1)).cast("int").alias("windows"), F.max("windows_skipped").alias("windows_skipped"))
+
+    @F.pandas_udf("array<string>")
+    def checked(data: pd.Series) -> pd.Series:
+        return data.map(lambda text: jsonx.schema_errors(json.loads(text), schema))
+
+    merged = merge(parts, "url", "window").join(counts, F.col("url") == F.col("_url"))
+    errors = F.when(F.col("windows") > 1, checked("data")).otherwise(F.col("schema_errors"))
+    return merged.select("url", "data", "citations", "unverified", errors.alias("schema_errors"), "windows", "windows_skipped")
+
+
 def _as_part(row) -> dict:
     found = row.citations or {}
     found = dict(found) if not isinstance(found, dict) else found

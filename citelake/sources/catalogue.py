@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citelake.functions import catalogue_text
+from citelake.operators.files import write_text
 from citelake.schemas import CATALOGUE
 
 # Id, category, name, base URL, authentication, description, and endpoints as method, path, description.
@@ -141,6 +143,15 @@ def probe_targets(apis: DataFrame) -> DataFrame:
     return apis.select("id", "name", F.concat("base_url", path).alias("url"))
 
 
+def write_texts(apis: DataFrame, folder: str) -> None:
+    """A client (``<id>.py``) and a reference page (``<id>.md``) for each API; a catalogue is a short list."""
+    spark = apis.sparkSession
+    for row in apis.toLocalIterator():
+        api = row.asDict(recursive=True)
+        for ending, text in (("py", catalogue_text.connector(api)), ("md", catalogue_text.reference_page(api))):
+            write_text(spark.createDataFrame([(text,)], "value string"), f"{folder}/{api['id']}.{ending}")
+
+
 def checked(apis: DataFrame, probes: DataFrame) -> DataFrame:
     """The reports of a round over all APIs (``id``): those of ``probes`` (``api_id, failed`` and any report columns) that
     came back.  A probe that failed to run is dropped from the round, as are probes of APIs that are not listed."""

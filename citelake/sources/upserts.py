@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from citelake.functions.text import sample_value
 
@@ -25,6 +26,35 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], order: str)
     return latest(stored.unionByName(incoming, allowMissingColumns=True), keys, order)
 
 
+def upsert_pages(stored: DataFrame, incoming: DataFrame, order: str = "crawled_at") -> DataFrame:
+    """Stored pages (``id, url_hash`` and more) with ``incoming`` (the same columns without ``id``) merged in by URL hash.
+
+    The last write of a hash decides every column but the id, which stays what it was; new hashes get the ids after the
+    largest one, in order of their first write.  Rows without a hash go; columns that ``incoming`` lacks become null.
+    """
+    rest = [c for c in stored.columns if c != "id"]
+    fresh = latest(incoming.where("url_hash is not null"), ["url_hash"], order)
+    fresh = stored.select(*rest).limit(0).unionByName(fresh, allowMissingColumns=True).select(*rest)
+    held = stored.select(F.col("id"), F.col("url_hash").alias("_held"))
+    known = fresh.join(held, F.col("url_hash") == F.col("_held")).select("id", *rest)
+    kept = stored.join(fresh.select("url_hash"), "url_hash", "left_anti").select("id", *rest)
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]
+    begun = incoming.groupBy(F.col("url_hash").alias("_h")).agg(F.min(order).alias("_first"))
+    new = fresh.join(stored.select("url_hash"), "url_hash", "left_anti").join(begun, F.col("url_hash") == F.col("_h"))
+    # one batch of pages is numbered at a time
+    new = new.withColumn("id", F.row_number().over(Window.orderBy("_first", "url_hash")) + F.lit(top)).select("id", *rest)
+    return kept.unionByName(known).unionByName(new)
+
+
+def update_sessions(sessions: DataFrame, changes: DataFrame) -> DataFrame:
+    """``sessions`` with the cookies and headers of ``changes`` (``session_id, seq, cookies, headers``), the last of each id;
+    changes of sessions that are not there do nothing."""
+    last = changes.groupBy(F.col("session_id").alias("_id")).agg(F.max_by(F.struct("cookies", "headers"), "seq").alias("_new"))
+    joined = sessions.join(last, F.col("session_id") == F.col("_id"), "left")
+    new = {c: F.when(F.col("_id").isNull(), F.col(c)).otherwise(F.col(f"_new.{c}")).alias(c) for c in ("cookies", "headers")}
+    return joined.select(*[new.get(c, F.col(c)) for c in sessions.columns])
+
+
 def delete(stored: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return stored.join(keys.select(*on).distinct(), on, "left_anti")
 

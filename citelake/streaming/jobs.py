@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from citelake.functions import citations, html
+from citelake.functions.text import is_static_asset
 
 CAPACITY = 2000
 
@@ -102,13 +103,39 @@ def request_queue(events: DataFrame, retries: int = 3, lease_seconds: float = 12
     )
 
 
+def _attach(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    open_seq = state.get[0] if state.exists else None
+    found = []
+    for row in pd.concat(list(batches)).sort_values("seq").itertuples():
+        if row.kind == "request":
+            open_seq = int(row.seq)
+        elif row.kind == "response":
+            found.append((key[0], int(row.seq), open_seq, row.content_type, row.body))
+    state.update((open_seq,))
+    yield pd.DataFrame(found, columns=["url", "seq", "request_seq", "content_type", "body"]).astype({"request_seq": "Int64"})
+
+
+def captured_calls(events: DataFrame) -> DataFrame:
+    """Traffic (``url, seq, kind, content_type, body``) as responses with the number of the latest request of their URL
+    before them, if any; a URL's state is that one number.  Static assets are left out."""
+    kept = events.where(~is_static_asset(F.col("url")))
+    return kept.groupBy("url").applyInPandasWithState(
+        _attach, "url string, seq long, request_seq long, content_type string, body string", "request_seq long", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def progress(events: DataFrame, job_id: str, after: int = -1) -> DataFrame:
     """A job's events that come after number ``after``, each told once."""
     return events.where((F.col("job_id") == job_id) & (F.col("seq") > after))
 
 
 def publish(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str):
-    """Start writing ``stream`` to versions of a table with one row per key, the newest by ``order``."""
+    """Start writing ``stream`` to versions of a table with one row per key, the newest by ``order``.
+
+    Each micro-batch writes the whole table anew, so this is for tables of jobs and calls, not of pages; the version before
+    the last one stays for readers that still hold it, older ones are deleted.
+    """
+    from citelake.operators.shared import remove
     from citelake.sources.upserts import latest
 
     def write(batch: DataFrame, number: int) -> None:
@@ -117,5 +144,7 @@ def publish(stream: DataFrame, path: str, checkpoint: str, keys: list[str], orde
         if number:
             rows = spark.read.parquet(f"{path}/batch={number - 1}").unionByName(batch, allowMissingColumns=True)
         latest(rows, keys, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number > 1:
+            remove(spark, f"{path}/batch={number - 2}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
