@@ -376,7 +376,7 @@ def _part_mentions(spark, d):
     return rows.select(F.col("l_orderkey").cast("string").alias("url"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), F.array(entity).alias("entities"))
 
 
-@query("""SELECT l_orderkey::VARCHAR AS url, trim(p_brand) AS name, count(*) AS mentions, max(l_orderkey * 10 + l_linenumber) AS last_at
+@query("""SELECT l_orderkey::VARCHAR AS url, trim(p_brand) AS name, count(DISTINCT l_orderkey * 10 + l_linenumber) AS mentions, max(l_orderkey * 10 + l_linenumber) AS last_at
         FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""")
 def mention_edges(spark, d):
     return graph.mention_edges(_part_mentions(spark, d))[1]
