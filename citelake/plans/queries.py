@@ -158,7 +158,15 @@ def near_dup_pairs(spark, d):
     return dedup.similar_pairs(dedup.shingle_sets(table(spark, d, "documents")))
 
 
-@query()
+@query(f"""{_SHINGLES.replace("WITH w", "WITH RECURSIVE w")}, c AS (SELECT doc_id, list_sort(s) AS s FROM s WHERE chars >= 40 AND len(s) > 0),
+        u AS (SELECT min(doc_id) AS id, s FROM c GROUP BY s), f AS (SELECT id, len(s) AS n, unnest(s) AS m FROM u),
+        p AS (SELECT x.id AS a, y.id AS b FROM f x JOIN f y ON x.m = y.m AND x.id < y.id GROUP BY ALL HAVING count(*) * 100 >= (any_value(x.n) + any_value(y.n) - count(*)) * 85),
+        v AS (SELECT id, row_number() OVER (ORDER BY id) AS i, coalesce((SELECT list(a) FROM p WHERE b = id), []) AS earlier FROM (SELECT a AS id FROM p UNION SELECT b FROM p)),
+        r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept
+              UNION ALL SELECT v.i, CASE WHEN len(list_intersect(r.kept, v.earlier)) = 0 THEN list_append(r.kept, v.id) ELSE r.kept END FROM r JOIN v ON v.i = r.i + 1),
+        k AS (SELECT kept FROM r ORDER BY i DESC LIMIT 1)
+        SELECT d.doc_id, coalesce(c.doc_id IS NULL OR (u.id IS NOT NULL AND (d.doc_id NOT IN (SELECT id FROM v) OR list_contains((SELECT kept FROM k), d.doc_id))), FALSE) AS kept
+        FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN u ON u.id = d.doc_id""")
 def doc_dedup_kept(spark, d):
     return dedup.greedy_keep(table(spark, d, "documents"))
 
@@ -436,14 +444,28 @@ def structured_merge(spark, d):
     return structured.merge(parts, "conv_id", "turn").select("conv_id", "data", F.size("citations").alias("n_cited"), "unverified")
 
 
-@query()
+@query("""SELECT event_id, '{"id": ' || event_id || ', "props": ' || props || ', "ok": true}' AS value FROM events""")
 def lenient_json(spark, d):
     register(spark)
     text = F.concat(F.lit("Sure! {id: "), F.col("event_id").cast("string"), F.lit(", 'props': "), "props", F.lit(", ok: True,} Hope it helps."))
     return table(spark, d, "events").select("event_id", F.call_function("loads_lenient", text).alias("value"))
 
 
-@query()
+@query(f"""WITH RECURSIVE lines AS (SELECT doc_id AS url, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+        p AS (SELECT url, line, len({_WORDS.format("line")}) AS cost, row_number() OVER (PARTITION BY url ORDER BY pos) AS i FROM lines WHERE trim(line, chr(32) || chr(9) || chr(13)) <> ''),
+        w AS (SELECT p.url, 0::BIGINT AS i, 0::BIGINT AS win, 0::BIGINT AS closed, 0::BIGINT AS load, FALSE AS open FROM p WHERE i = 1
+              UNION ALL
+              SELECT w.url, p.i,
+                     CASE WHEN w.open AND (p.cost > 120 OR w.load + p.cost > 120) THEN w.closed + 1 ELSE w.closed END,
+                     CASE WHEN p.cost > 120 THEN w.closed + w.open::INTEGER + (length(p.line) + 479) // 480
+                          WHEN w.open AND w.load + p.cost > 120 THEN w.closed + 1 ELSE w.closed END,
+                     CASE WHEN p.cost > 120 THEN 0 WHEN w.open AND w.load + p.cost > 120 THEN p.cost ELSE w.load + p.cost END, p.cost <= 120
+              FROM w JOIN p ON p.url = w.url AND p.i = w.i + 1),
+        placed AS (SELECT p.*, w.win FROM p JOIN w ON p.url = w.url AND p.i = w.i)
+        SELECT url, win::INTEGER AS "window", string_agg(line, chr(10) || chr(10) ORDER BY i) AS text FROM placed WHERE cost <= 120 GROUP BY url, win
+        UNION ALL
+        SELECT url, (win + j)::INTEGER AS "window", substr(line, 1 + 480 * j, 480) AS text
+        FROM (SELECT *, unnest(range(0, (length(line) + 479) // 480)) AS j FROM placed WHERE cost > 120)""")
 def split_windows(spark, d):
     pages = table(spark, d, "documents").select(F.col("doc_id").alias("url"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("markdown"))
     return structured.window_table(pages, 120)
