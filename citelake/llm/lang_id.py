@@ -24,10 +24,10 @@ from citelake.llm.codepoints import code_point_chunks, letter_tables, letters_lo
 
 #: Bounds of the labelled sample that automata are built from: documents and symbols per language, and languages.
 SAMPLE_DOCS = 64
-SAMPLE_SYMBOLS = 20_000
+SAMPLE_SYMBOLS = 12_000
 MAX_LANGUAGES = 200
 #: Distinct symbols: one for any run of non-letters, one for letters beyond the most frequent ones.
-ALPHABET = 96
+ALPHABET = 64
 WINDOW = 256
 UNDETERMINED = "und"
 
