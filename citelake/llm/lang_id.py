@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citelake.llm.codepoints import code_point_chunks, letter_tables, letters_lowered
+from citelake.llm.worker import tidy
 
 #: Bounds of the labelled sample that automata are built from: documents and symbols per language, and languages.
 SAMPLE_DOCS = 64
@@ -213,7 +214,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = named.schema["id"].dataType.simpleString()
-    return named.mapInArrow(_predict(model), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return named.mapInArrow(tidy(_predict(model)), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def drop_undetermined(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
@@ -240,4 +241,4 @@ def drop_undetermined(docs: DataFrame, model: dict, text_col: str = "text") -> D
                 mask = np.array(verdicts["lang_pred"].to_pylist(), object) != UNDETERMINED
                 yield batch.filter(pa.array(mask))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -39,6 +39,7 @@ from citelake.llm.bitmap import bitmap_of, possible, without_ids
 from citelake.llm.components import connected_components
 from citelake.llm.scratch import Scratch
 from citelake.llm.words import WordHasher, mix, row_sums, shingle_hashes, text_chunks
+from citelake.llm.worker import tidy
 
 SHINGLE = 5
 PERCENT = 80
@@ -249,7 +250,7 @@ def near_duplicates(
     scratch = Scratch(spark, "near")
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n long, d1 long, d2 long, bands array<long>"
-    sketches = scratch.keep(named.mapInArrow(_sketch_batches(shingle, percent, bands, rows), schema), "sketches")
+    sketches = scratch.keep(named.mapInArrow(tidy(_sketch_batches(shingle, percent, bands, rows)), schema), "sketches")
 
     linkable = sketches.where("n > 0 and id is not null")
     classes = scratch.keep(linkable.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes")
@@ -266,7 +267,7 @@ def near_duplicates(
 
     wanted = scratch.keep(members.select("id").distinct(), "wanted").withColumnRenamed("id", "_w")
     texts = possible(named.where("id is not null"), F.col("id"), bitmap_of(wanted, F.col("_w")))
-    sets = texts.mapInArrow(_set_batches(shingle), "id long, members array<long>")
+    sets = texts.mapInArrow(tidy(_set_batches(shingle)), "id long, members array<long>")
     sets = scratch.keep(sets.join(wanted, F.col("id") == F.col("_w"), "left_semi"), "sets")
 
     reached = _components(scratch, members, sets, percent)

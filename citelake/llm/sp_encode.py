@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from citelake.llm.codepoints import code_point_chunks
 from citelake.llm.words import WordHasher, mix
+from citelake.llm.worker import tidy
 
 MARK = 0x2581
 #: A BPE word that is longer is merged by a heap, which does not take a round for each merge.
@@ -324,7 +325,7 @@ def encode(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = named.schema["id"].dataType.simpleString()
     schema = f"id {kind}, ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean"
-    return named.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return named.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, model: dict, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
