@@ -82,3 +82,10 @@ def test_publish_keeps_one_row_per_key(spark, tmp_path):
 def test_progress(spark):
     events = spark.createDataFrame([("j", 0), ("j", 1), ("k", 2)], "job_id string, seq long")
     assert [r["seq"] for r in jobs.progress(events, "j", 0).collect()] == [1]
+
+
+def test_captured_calls(spark, tmp_path):
+    rows = [(0, "http://s/a", "response", None), (1, "http://s/a", "request", None), (2, "http://s/b", "request", None), (3, "http://s/a", "response", "x"), (4, "http://s/a", "response", "y"), (5, "http://s/i.png", "response", "z")]
+    events = spark.createDataFrame([(u, n, k, "application/json", b) for n, u, k, b in rows], "url string, seq long, kind string, content_type string, body string")
+    got = run(jobs.captured_calls(source(spark, events, tmp_path / "c", files=3)), "captured", "append")
+    assert sorted((r["seq"], r["request_seq"], r["body"]) for r in got) == [(0, None, None), (3, 1, "x"), (4, 1, "y")]
