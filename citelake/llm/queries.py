@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citelake.llm import lang_id, sp_encode, token_counts, toxicity
 from citelake.llm.exact_dedup import exact_dedup
+from citelake.llm.filter_audit import audit
 from citelake.llm.fingerprints import compare_with_edits
 from citelake.llm.line_dedup import group_lines
 from citelake.llm.mixing import mix_report
@@ -79,6 +80,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_edited(_documents(spark, sf_dir), token_counts.sample_edits(F.col("text")), ranks)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shard_records": op8_shard_records,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -102,6 +108,46 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op12_filter_audit": r"""
+        WITH read AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        told AS (
+            SELECT doc_id, part,
+                   CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+                   || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * len(regexp_extract_all(body, '[A-Z]')) > 3 * length(body) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY body) THEN 'E' ELSE '' END AS fails
+            FROM read),
+        marked AS (
+            SELECT t.part, t.fails, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic
+            FROM told t LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l
+            ON t.doc_id = l.doc_id),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        steps AS (
+            SELECT filter_order, s::INTEGER AS step, substr(filter_order, s, 1) AS filter, substr(filter_order, 1, s - 1) AS before
+            FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS s)),
+        replayed AS (
+            SELECT part, filter_order, step, filter, fails, good, toxic, contains(fails, filter) AS fails_here,
+                   length(translate(fails, before, '')) < length(fails) AS gone
+            FROM marked, steps),
+        summed AS (
+            SELECT part, filter_order, step, filter,
+                   count(*) FILTER (WHERE NOT gone AND NOT fails_here) AS kept,
+                   count(*) FILTER (WHERE NOT gone AND fails_here) AS removed,
+                   count(*) FILTER (WHERE gone AND fails_here) AS redundant,
+                   count(*) FILTER (WHERE fails = filter) AS unique_fails,
+                   count(*) FILTER (WHERE NOT gone AND fails_here AND good) AS good_lost,
+                   count(*) FILTER (WHERE NOT gone AND fails_here AND toxic) AS toxic_lost
+            FROM replayed GROUP BY ALL)
+        SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM summed
+    """,
     "op5_mix_sources": r"""
         WITH rows AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
