@@ -14,6 +14,7 @@ from citelake.llm.fingerprints import compare_with_edits
 from citelake.llm.line_dedup import group_lines
 from citelake.llm.mixing import mix_report
 from citelake.llm.near_dedup import near_duplicates
+from citelake.llm.periodic_runs import periodic_runs, repeat_tail
 from citelake.llm.sharding import shard_records
 
 #: Vocabulary files; the operators take any path.
@@ -80,6 +81,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_edited(_documents(spark, sf_dir), token_counts.sample_edits(F.col("text")), ranks)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document, by a hash of its id, is given a periodic tail first; a row without an id is not."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    tailed = repeat_tail(F.col("text"), lambda n: g % n, lambda n, a: 1 + F.floor((n - a) / (3 + g % 8)))
+    docs = _documents(spark, sf_dir).select("doc_id", F.when(h % 10 == 0, tailed).otherwise(F.col("text")).alias("text"))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = periodic_runs(docs).withColumn("longest", longest)
+    length, period = F.col("longest.length"), -F.col("longest.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -95,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shard_records": op8_shard_records,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_filter_audit": op12_filter_audit,
 }
 
