@@ -14,6 +14,7 @@ from citelake.llm.fingerprints import compare_with_edits
 from citelake.llm.line_dedup import group_lines
 from citelake.llm.mixing import mix_report
 from citelake.llm.near_dedup import near_duplicates
+from citelake.llm.ngram_join import ngram_join
 from citelake.llm.periodic_runs import periodic_runs, repeat_tail
 from citelake.llm.sharding import shard_records
 
@@ -102,6 +103,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_filter_audit": op12_filter_audit,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -167,6 +173,25 @@ ORACLE_SQL: dict[str, str] = {
             FROM replayed GROUP BY ALL)
         SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM summed
     """,
+    "op13_ngram_join": r"""
+        WITH RECURSIVE read AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        cut AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+            FROM read),
+        each AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS m FROM cut),
+        links AS (
+            SELECT x.doc_id AS a, y.doc_id AS b
+            FROM each x JOIN each y ON x.m = y.m AND x.doc_id <> y.doc_id
+            GROUP BY ALL HAVING count(*) * 100 >= (any_value(x.n) + any_value(y.n) - count(*)) * 80),
+        reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(l.b, doc_id)) AS component_id
+        FROM cut LEFT JOIN least l ON l.a = doc_id
+    """,
     "op5_mix_sources": r"""
         WITH rows AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
