@@ -12,11 +12,18 @@ from pyspark.sql import functions as F
 
 from citelake.functions import citations, jsonx
 from citelake.functions.knowledge import parse_knowledge
-from citelake.functions.text import fold
+from citelake.operators.merging import merge
+from citelake.operators.quotes import folded
 from citelake.operators.shared import written
-from citelake.schemas import KNOWLEDGE, STRUCTURED
+from citelake.schemas import KNOWLEDGE, QUOTE
 
 MOST_RETRIES = 1
+#: A reply as rows: its data, the data's leaves, the quotes it offers for them, and what does not fit the schema.
+REPLY = (
+    "data STRING, leaves ARRAY<STRUCT<pointer:STRING,value:STRING,folded:STRING>>,"
+    " offered ARRAY<STRUCT<pointer:STRING,quote:STRING,folded:STRING>>, schema_errors ARRAY<STRING>"
+)
+REPLY_COLUMNS = ("data", "leaves", "offered", "schema_errors")
 
 
 class Provider(Protocol):
@@ -55,25 +62,45 @@ def knowledge(replies: DataFrame, column: str = "reply") -> DataFrame:
     return replies.withColumn("_k", parsed(column)).select(*replies.columns, "_k.*")
 
 
-def _row(data, offered, page: str | None, url: str | None, errors: list[str]) -> dict:
-    cited, missing = citations.verify(data, offered, page, url or "")
-    return {"data": json.dumps(data, ensure_ascii=False), "citations": cited, "unverified": missing, "schema_errors": errors}
+def _reply(data, offered, errors: list[str]) -> tuple:
+    return json.dumps(data, ensure_ascii=False), citations.leaf_rows(data), citations.offered_rows(offered), errors
+
+
+def supported(rows: DataFrame, page: str, url: str) -> DataFrame:
+    """``rows`` whose reply columns are replaced by the structured result: each leaf's quotes that the page holds, and the leaves without any.
+
+    A leaf without such a quote is still supported if its own value is long enough and on the page.  Every leaf is in
+    exactly one of ``citations`` and ``unverified``.
+    """
+    at_url = F.coalesce(F.col(url), F.lit(""))
+    held = F.filter("offered", lambda o: (o["folded"] != "") & F.contains("_page", o["folded"]))
+
+    def evidence(leaf: Column) -> Column:
+        own = F.array_distinct(F.transform(F.filter("_held", lambda o: o["pointer"] == leaf["pointer"]), lambda o: o["quote"]))
+        shown = (F.length(leaf["folded"]) >= citations.SELF_EVIDENT_CHARS) & F.contains("_page", leaf["folded"])
+        found = F.when(F.size(own) > 0, own).when(shown, F.array(leaf["value"])).otherwise(F.array().cast("array<string>"))
+        return F.struct(leaf["pointer"].alias("pointer"), F.transform(found, lambda q: F.struct(q.alias("quote"), at_url.alias("url"))).alias("quotes"))
+
+    told = rows.withColumn("_page", folded(page)).withColumn("_held", held).withColumn("_leaves", F.transform("leaves", evidence))
+    cited = F.map_from_entries(F.filter("_leaves", lambda x: F.size(x["quotes"]) > 0)).cast(f"map<string,array<{QUOTE}>>")
+    missing = F.transform(F.filter("_leaves", lambda x: F.size(x["quotes"]) == 0), lambda x: x["pointer"])
+    keep = [c for c in rows.columns if c not in REPLY_COLUMNS]
+    return told.select(*keep, "data", cited.alias("citations"), missing.alias("unverified"), "schema_errors")
 
 
 def verify_replies(rows: DataFrame, schema: dict | None = None) -> DataFrame:
     """Rows with ``url, page, reply`` and the structured result that the reply gives: its data, the quotes that the page
     holds, the values that nothing supports, and what does not fit ``schema``.  An unusable reply gives an empty one."""
 
-    @F.pandas_udf(STRUCTURED)
-    def verified(reply: pd.Series, page: pd.Series, url: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(REPLY)
+    def read(reply: pd.Series) -> pd.DataFrame:
         out = []
-        for r, p, u in zip(reply, page, url, strict=True):
+        for r in reply:
             data, offered = citations.unwrap_reply(jsonx.loads_lenient(r))
-            errors = jsonx.schema_errors(data, schema) if schema and data is not None else []
-            out.append(_row(data or {}, offered, p, u, errors))
-        return pd.DataFrame(out, columns=["data", "citations", "unverified", "schema_errors"])
+            out.append(_reply(data or {}, offered, jsonx.schema_errors(data, schema) if schema and data is not None else []))
+        return pd.DataFrame(out, columns=list(REPLY_COLUMNS))
 
-    return rows.withColumn("_s", verified("reply", "page", "url")).select(*rows.columns, "_s.*")
+    return supported(rows.withColumn("_r", read("reply")).select(*rows.columns, "_r.*"), "page", "url")
 
 
 def first_windows(windows: DataFrame, most: int = 4) -> DataFrame:
@@ -102,10 +129,11 @@ def extract(windows: DataFrame, provider: Provider, instruction: str, schema: di
                     again = ask(prompt + "\nThe last answer did not fit the schema:\n" + "\n".join(errors))
                     if again[0] is not None and len(again[2]) <= len(errors):
                         data, offered, errors = again
-                out.append({"url": url, "window": window} | _row(data or {}, offered, text, url, errors))
-            yield pd.DataFrame(out, columns=["url", "window", "data", "citations", "unverified", "schema_errors"])
+                out.append((url, window, text, *_reply(data or {}, offered, errors)))
+            yield pd.DataFrame(out, columns=["url", "window", "text", *REPLY_COLUMNS])
 
-    return windows.select("url", "window", "text").mapInPandas(run, f"url STRING, window INT, {STRUCTURED}")
+    replies = windows.select("url", "window", "text").mapInPandas(run, f"url STRING, window INT, text STRING, {REPLY}")
+    return supported(replies, "text", "url").drop("text")
 
 
 def extract_pages(pages: DataFrame, provider: Provider, instruction: str, schema: dict, budget: int = 6000, most: int = 4) -> DataFrame:
@@ -127,30 +155,6 @@ def extract_pages(pages: DataFrame, provider: Provider, instruction: str, schema
     return merged.select("url", "data", "citations", "unverified", errors.alias("schema_errors"), "windows", "windows_skipped")
 
 
-def _as_part(row) -> dict:
-    found = row.citations or {}
-    found = dict(found) if not isinstance(found, dict) else found
-    cited = {k: [q if isinstance(q, dict) else q.asDict() for q in v] for k, v in found.items()}
-    listed = [list(x) if x is not None else [] for x in (row.unverified, row.schema_errors)]
-    return {"data": json.loads(row.data), "citations": cited, "unverified": listed[0], "schema_errors": listed[1]}
-
-
-def merge(parts: DataFrame, key: str, *order: str) -> DataFrame:
-    """``key`` and one structured result: its parts folded in the order of ``order``.
-
-    A key's parts are one ordered fold, so they meet in one task; they are the windows and pages of one crawl, whose
-    number a crawl's page cap bounds.
-    """
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        merged = citations.merge(_as_part(r) for r in group.sort_values(list(order)).itertuples())
-        merged["data"] = json.dumps(merged["data"], ensure_ascii=False)
-        return pd.DataFrame([{key: group[key].iloc[0]} | merged], columns=[key, "data", "citations", "unverified", "schema_errors"])
-
-    kind = parts.schema[key].dataType.simpleString()
-    return parts.groupBy(key).applyInPandas(fold, f"{key} {kind}, {STRUCTURED}")
-
-
 def leaf_table(rows: DataFrame, json_col: str, id_col: str) -> DataFrame:
     """``id, position, pointer, value`` for the leaves of a JSON column, in document order; text that is no JSON has none."""
 
@@ -163,31 +167,3 @@ def leaf_table(rows: DataFrame, json_col: str, id_col: str) -> DataFrame:
         return texts.map(of)
 
     return rows.select(id_col, F.posexplode(found(json_col)).alias("position", "leaf")).select(id_col, "position", "leaf.pointer", "leaf.value")
-
-
-def _folded(column: str) -> Column:
-    @F.pandas_udf("string")
-    def folded(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: fold(t or ""))
-
-    return folded(column)
-
-
-def quotes_on_page(quotes: DataFrame, pages: DataFrame, on: str) -> DataFrame:
-    """Quotes (``on, quote``) with ``found``: whether the page with the same key holds them, ignoring form and markup."""
-
-    plain = pages.select(on, _folded("text").alias("_page"))
-    return quotes.join(plain, on, "left").withColumn("found", F.coalesce(F.contains("_page", _folded("quote")), F.lit(False))).drop("_page")
-
-
-def quotes_on_all_pages(quotes: DataFrame, pages: DataFrame, quote_id: str, page_id: str, block: int = 64) -> DataFrame:
-    """``quote_id, page_id, found`` for every quote (``quote_id, quote``) and page (``page_id, text``), as ``quotes_on_page`` compares them.
-
-    Quotes go out in blocks of ``block``, each broadcast as one array; a page is folded once.  A quote that
-    is null or has no text is on no page.
-    """
-    blocks = max(1, -(-quotes.count() // block))
-    told = quotes.select(F.struct(F.col(quote_id).alias("id"), _folded("quote").alias("q")).alias("_q"), F.pmod(F.xxhash64(quote_id), F.lit(blocks)).alias("_b"))
-    packed = told.groupBy("_b").agg(F.collect_list("_q").alias("_qs")).drop("_b")
-    pairs = pages.select(page_id, _folded("text").alias("_page")).crossJoin(F.broadcast(packed))
-    return pairs.select(page_id, "_page", F.explode("_qs").alias("_q")).select(F.col("_q.id").alias(quote_id), page_id, (F.contains("_page", "_q.q") & (F.col("_q.q") != "")).alias("found"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from citelake.functions import text as T
 from citelake.functions.registry import register
-from citelake.operators import apis, chunking, dedup, evaluation, export, frontier, graph, markdown, page_agent, structured, vectors
+from citelake.operators import apis, chunking, dedup, evaluation, export, frontier, graph, markdown, merging, page_agent, quotes, structured, vectors
 from citelake.plans.pages import page_terms
 from citelake.sources import catalogue, upserts
 from citelake.sources.tables import counts, recent, table
@@ -417,31 +417,95 @@ def schema_inference(spark, d):
     return apis.schemas(table(spark, d, "events"), "props", "event_type")
 
 
-@query("SELECT item_id, doc_id, contains(d.text, b.text) AS found FROM benchmark b CROSS JOIN documents d")
+#: How folding looks in SQL for the letters and marks that the tables hold (no Markdown links, no composed forms).
+_FOLDED = r"trim(regexp_replace(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[*_`#>|]+', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"""WITH q AS (SELECT item_id, {_FOLDED.format("text")} AS q FROM benchmark), p AS (SELECT doc_id, {_FOLDED.format("text")} AS p FROM documents)
+        SELECT item_id, doc_id, (unnest(list_filter(range(1, length(p) + 1), lambda i: substr(p, i, length(q)) = q)) - 1)::INTEGER AS "at"
+        FROM q JOIN p ON q <> '' AND contains(p, q)""")
 def quote_verification(spark, d):
-    """Every benchmark item against every document."""
-    quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    return structured.quotes_on_all_pages(quotes, table(spark, d, "documents"), "item_id", "doc_id")
+    """Where documents hold benchmark items."""
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return quotes.quote_hits(items, table(spark, d, "documents"), "item_id", "doc_id")
 
 
 def _conversation_parts(spark, d):
-    """Turns as extraction replies whose citations quote the turn itself."""
+    """Turns as extraction replies that cite the turn itself; two topics in three are cited with words that it does not hold."""
     rows = table(spark, d, "conversations").where("text is not null")
-    data = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("role").alias("role"), F.substring("text", 1, 60).alias("line"))).alias("turns")).alias("data"), F.create_map(F.lit("turns[0].line"), F.array(F.substring("text", 1, 60))).alias("citations")))
-    return rows.select(F.col("conv_id"), "turn", F.concat(F.lit("https://chat/"), "conv_id").alias("url"), F.col("text").alias("page"), F.concat(F.lit("Here it is:\n```json\n"), data, F.lit("\n```")).alias("reply"))
+    topic = F.regexp_extract("text", "[^ \\n]+", 0)
+    turns = F.array(F.struct("role", F.col("text").alias("line")))
+    data = F.struct(turns.alias("turns"), topic.alias("topic"), F.col("turn").alias("upto"))
+    cited = F.create_map(F.lit("turns[0].line"), F.array("text"), F.lit("topic"), F.array(F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise("never said")))
+    reply = F.to_json(F.struct(data.alias("data"), cited.alias("citations")))
+    return rows.select("conv_id", "turn", F.concat(F.lit("https://chat/"), "conv_id").alias("url"), F.col("text").alias("page"), F.concat(F.lit("Here it is:\n```json\n"), reply, F.lit("\n```")).alias("reply"))
 
 
-@query()
+#: Turns with what a reply about them says: whether the page holds the role, and whether its topic is left unsupported.
+_TURNS = rf"""t AS (SELECT conv_id, turn, role, text, word, contains(page, role) AS role_held, turn % 3 <> 0 AND length({_FOLDED.format("word")}) < 4 AS doubt
+        FROM (SELECT *, {_FOLDED.format("text")} AS page, regexp_extract(text, '[^ \n]+') AS word FROM conversations WHERE text IS NOT NULL))"""
+
+
+@query(f"""WITH {_TURNS} SELECT conv_id, turn,
+        '{{"turns": [{{"role": "' || role || '", "line": ' || to_json(text)::VARCHAR || '}}], "topic": "' || word || '", "upto": ' || turn || '}}' AS data,
+        concat_ws(' ', CASE WHEN role_held THEN '/turns/0/role' END, '/turns/0/line', CASE WHEN NOT doubt THEN '/topic' END) AS cited,
+        concat_ws(' ', CASE WHEN NOT role_held THEN '/turns/0/role' END, CASE WHEN doubt THEN '/topic' END, '/upto') AS unverified, '' AS schema_errors FROM t""")
 def verify_citations(spark, d):
     schema = {"type": "object", "properties": {"turns": {"type": "array", "items": {"type": "object", "required": ["role", "line"]}}}, "required": ["turns"]}
     found = structured.verify_replies(_conversation_parts(spark, d), schema)
-    return found.select("conv_id", "turn", "data", F.map_keys("citations").alias("cited"), "unverified", "schema_errors")
+    listed = [F.array_join(x, " ").alias(name) for x, name in ((F.map_keys("citations"), "cited"), (F.col("unverified"), "unverified"), (F.col("schema_errors"), "schema_errors"))]
+    return found.select("conv_id", "turn", "data", *listed)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TURNS},
+        e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM t),
+        s AS (SELECT conv_id, i, word AS topic, doubt AS missing, NOT doubt AS cited, turn AS upto FROM e WHERE i = 1
+              UNION ALL
+              SELECT s.conv_id, e.i, CASE WHEN word <> topic AND missing AND NOT doubt THEN word ELSE topic END,
+                     CASE WHEN word = topic THEN missing OR (doubt AND NOT cited) ELSE missing AND doubt END,
+                     CASE WHEN word = topic THEN cited OR NOT doubt ELSE cited OR (missing AND NOT doubt) END, upto
+              FROM s JOIN e ON e.conv_id = s.conv_id AND e.i = s.i + 1),
+        done AS (SELECT conv_id, arg_max(topic, i) AS topic, arg_max(cited, i) AS cited, any_value(upto) AS upto FROM s GROUP BY conv_id),
+        items AS (SELECT conv_id, role, text, bool_or(role_held) AS held, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn)) - 1 AS place FROM t GROUP BY conv_id, role, text),
+        lists AS (SELECT conv_id, string_agg('{{"role": "' || role || '", "line": ' || to_json(text)::VARCHAR || '}}', ', ' ORDER BY place) AS turns,
+                         count(*) + count(*) FILTER (WHERE held) AS n, list('/turns/' || place || '/role') FILTER (WHERE NOT held) AS missing FROM items GROUP BY conv_id)
+        SELECT conv_id, '{{"turns": [' || turns || '], "topic": "' || topic || '", "upto": ' || upto || '}}' AS data, (n + cited::INTEGER)::INTEGER AS n_cited,
+               array_to_string(list_sort(list_concat(list_concat(coalesce(missing, []), CASE WHEN cited THEN [] ELSE ['/topic'] END), ['/upto'])), ' ') AS unverified
+        FROM lists JOIN done USING (conv_id)""")
 def structured_merge(spark, d):
     parts = structured.verify_replies(_conversation_parts(spark, d))
-    return structured.merge(parts, "conv_id", "turn").select("conv_id", "data", F.size("citations").alias("n_cited"), "unverified")
+    return merging.merge(parts, "conv_id", "turn").select("conv_id", "data", F.size("citations").alias("n_cited"), F.array_join("unverified", " ").alias("unverified"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_orderstatus AS st, o_orderpriority AS pr, 'order ' || o_orderkey AS q, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+        e AS (SELECT o_custkey, i, '/status' AS pointer, st AS v, o_orderkey % 4 = 0 AS c, o_orderkey % 4 IN (1, 2) AS d, q FROM o
+              UNION ALL SELECT o_custkey, i, '/contact/priority', pr, o_orderkey % 11 = 0, o_orderkey % 2 = 1, q FROM o),
+        s AS (SELECT o_custkey, pointer, i, v, d AND NOT c AS missing, c AS cited, CASE WHEN c THEN q ELSE '' END AS quotes FROM e WHERE i = 1
+              UNION ALL
+              SELECT e.o_custkey, e.pointer, e.i, CASE WHEN missing AND NOT d AND e.v <> s.v THEN e.v ELSE s.v END,
+                     CASE WHEN e.v = s.v THEN missing OR (d AND NOT c AND NOT cited) ELSE missing AND d END,
+                     CASE WHEN e.v = s.v THEN cited OR c WHEN missing AND NOT d THEN c ELSE cited END,
+                     CASE WHEN e.v = s.v THEN quotes || CASE WHEN c THEN '|' || q ELSE '' END WHEN missing AND NOT d THEN CASE WHEN c THEN q ELSE '' END ELSE quotes END
+              FROM s JOIN e ON e.o_custkey = s.o_custkey AND e.pointer = s.pointer AND e.i = s.i + 1),
+        scalars AS (SELECT o_custkey, pointer, arg_max(v, i) AS v, ltrim(arg_max(quotes, i), '|') AS quotes, arg_max(missing AND NOT cited, i) AS unverified FROM s GROUP BY ALL),
+        places AS (SELECT o_custkey, st, pr, row_number() OVER (PARTITION BY o_custkey ORDER BY min(o_orderkey)) - 1 AS place,
+                          coalesce(string_agg(q, '|' ORDER BY o_orderkey) FILTER (WHERE o_orderkey % 7 = 0), '') AS quotes,
+                          bool_or(o_orderkey % 5 = 0) AND NOT bool_or(o_orderkey % 7 = 0) AS unverified FROM o GROUP BY o_custkey, st, pr)
+        SELECT o_custkey, pointer, '"' || v || '"' AS value, quotes, unverified FROM scalars
+        UNION ALL SELECT o_custkey, '/orders/' || place || '/status', '"' || st || '"', quotes, unverified FROM places
+        UNION ALL SELECT o_custkey, '/orders/' || place || '/priority', '"' || pr || '"', '', FALSE FROM places""")
+def merged_leaves(spark, d):
+    """What a customer's orders say of them, order by order: values that some orders support and others doubt."""
+    o = table(spark, d, "orders")
+    key, said = F.col("o_orderkey"), F.array(F.struct(F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("quote"), F.lit("").alias("url")))
+    given = lambda on, pointer: F.when(on, F.struct(F.lit(pointer).alias("key"), said.alias("value")))
+    data = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("o_orderpriority").alias("priority")).alias("contact"),
+                              F.array(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))).alias("orders")))
+    cited = F.map_from_entries(F.array_compact(F.array(given(key % 4 == 0, "/status"), given(key % 11 == 0, "/contact/priority"), given(key % 7 == 0, "/orders/0/status"))))
+    doubtful = F.array_compact(F.array(*[F.when(on, F.lit(p)) for on, p in (((key % 4).isin(1, 2), "/status"), (key % 2 == 1, "/contact/priority"), (key % 5 == 0, "/orders/0/status"))]))
+    parts = o.select("o_custkey", "o_orderkey", data.alias("data"), cited.alias("citations"), doubtful.alias("unverified"))
+    found = merging.merged_leaves(parts, "o_custkey", "o_orderkey")
+    return found.select("o_custkey", "pointer", "value", F.array_join(F.transform("quotes", lambda x: x["quote"]), "|").alias("quotes"), "unverified")
 
 
 @query("""SELECT event_id, '{"id": ' || event_id || ', "props": ' || props || ', "ok": true}' AS value FROM events""")

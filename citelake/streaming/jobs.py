@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from citelake.functions import citations, html
+from citelake.functions import html
 from citelake.functions.text import is_static_asset
+from citelake.operators.merging import place_rows
 
 CAPACITY = 2000
 
@@ -54,19 +55,13 @@ def deduplicate(pages: DataFrame, threshold: float = html.DEDUP_THRESHOLD, capac
     )
 
 
-def _merge_more(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    merged = [json.loads(state.get[0])] if state.exists else []
-    rows = pd.concat(list(batches)).sort_values("seq")
-    merged = citations.merge(merged + [json.loads(p) for p in rows["part"]])
-    state.update((json.dumps(merged),))
-    yield pd.DataFrame({"job_id": [key[0]], "upto": [int(rows["seq"].max())], "merged": [json.dumps(merged, ensure_ascii=False)]})
+def part_rows(parts: DataFrame) -> DataFrame:
+    """Structured parts (``job_id, seq, data, citations, unverified``) as the rows that they merge by.
 
-
-def merge_parts(parts: DataFrame) -> DataFrame:
-    """Structured parts (``job_id, seq, part`` as JSON) merged into what the job has so far: ``job_id, upto, merged``."""
-    return parts.groupBy("job_id").applyInPandasWithState(
-        _merge_more, "job_id string, upto long, merged string", "merged string", "update", GroupStateTimeout.NoTimeout
-    )
+    Append these to a table: :func:`citelake.operators.merging.merged_values` of all its rows is what each job has so far, whatever
+    the order and grouping in which they came.
+    """
+    return place_rows(parts, "job_id", "seq")
 
 
 def _queue(retries: int, lease_seconds: float, clock):

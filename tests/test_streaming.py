@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
 import time
 
 from pyspark.sql import functions as F
 
-from citelake.functions.citations import merge
 from citelake.functions.html import jaccard, shingle_set
 from citelake.streaming import jobs
 
@@ -48,13 +46,6 @@ def test_incremental_deduplication(spark, tmp_path):
     assert got == want and not want[60] and want[62]
 
 
-def test_incremental_merge(spark, tmp_path):
-    parts = [{"data": {"items": [{"n": n // 2}], "t": n}, "citations": {"/items/0/n": [{"quote": str(n), "url": "u"}]}, "unverified": ["/t"]} for n in range(6)]
-    frame = spark.createDataFrame([("j", n, json.dumps(p)) for n, p in enumerate(parts)], "job_id string, seq long, part string")
-    got = run(jobs.merge_parts(source(spark, frame, tmp_path / "m")), "merged", "update")
-    assert json.loads(max(got, key=lambda r: r["upto"])["merged"]) == merge(parts)
-
-
 def test_queue_states(spark, tmp_path):
     data = [("a", 0, "add"), ("b", 1, "add"), ("a", 2, "take"), ("b", 3, "take"), ("a", 4, "complete")] + [("b", 5 + n, "fail") for n in range(4)]
     events = spark.createDataFrame(data, "url string, seq long, event string")
