@@ -116,6 +116,30 @@ def parse(html: str | None, keep_comments: bool = True) -> Element:
     return tree.root
 
 
+def numbered(source: str | None) -> list[dict]:
+    """The page's nodes in document order: number, number of the last descendant, depth, name, text or target, and the elements around."""
+    out: list[dict] = []
+    stack: list[tuple[Iterator[Element | str], int]] = [(iter(parse(source).children), -1)]
+    around: list[int] = []
+    while stack:
+        children, holder = stack[-1]
+        child = next(children, None)
+        if child is None:
+            stack.pop()
+            if holder >= 0:
+                out[holder]["last"] = len(out) - 1
+                around.pop()
+            continue
+        pre, is_element = len(out), isinstance(child, Element)
+        name = child.tag if is_element else "#note" if isinstance(child, Note) else "#text"
+        target = child.attrs.get("href") if is_element else None
+        out.append({"pre": pre, "last": pre, "depth": len(around), "tag": name, "text": None if is_element else str(child), "href": target, "above": list(around)})
+        if is_element:
+            around.append(pre)
+            stack.append((iter(child.children), pre))
+    return out
+
+
 def _prune(element: Element, tags: frozenset[str]) -> None:
     stack = [element]
     while stack:

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citelake.functions import text as T
 from citelake.functions.registry import register
-from citelake.operators import apis, chunking, dedup, evaluation, export, frontier, graph, markdown, merging, page_agent, quotes, structured, vectors
+from citelake.operators import apis, chunking, dedup, evaluation, export, frontier, graph, markdown, merging, page_agent, quotes, shared, structured, tree, vectors
 from citelake.plans.pages import page_terms
 from citelake.sources import catalogue, upserts
 from citelake.sources.tables import counts, recent, table
@@ -202,7 +202,11 @@ def truncate_to_budget(spark, d):
     return table(spark, d, "documents").select("doc_id", T.truncate(F.col("text"), 100).alias("cut"))
 
 
-@query()
+#: How folding looks in SQL for the letters and marks that the tables hold (no Markdown links, no composed forms).
+_FOLDED = r"trim(regexp_replace(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[*_`#>|]+', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"""SELECT doc_id, {_FOLDED.format("text")} AS folded FROM documents""")
 def normalized_text(spark, d):
     register(spark)
     return table(spark, d, "documents").select("doc_id", F.call_function("normalize_text", F.col("text")).alias("folded"))
@@ -225,6 +229,66 @@ def page_markdown(spark, d):
     return markdown.page_markdown(table(spark, d, "pages"))
 
 
+def _record_pages(spark, d):
+    """A page for each customer, made of its row and its orders, with every kind of block and things that must not show."""
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("_k")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("orders"))
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(orders, F.col("c_custkey") == F.col("_k"), "left")
+    none = F.array().cast("array<struct<o_orderkey:bigint,o_orderstatus:string,o_orderpriority:string>>")
+    each = lambda render: F.array_join(F.transform(F.coalesce("orders", none), render), "")
+    cells = each(lambda o: F.concat(F.lit("<tr><td>"), o["o_orderkey"].cast("string"), F.lit("</td><td> "), o["o_orderstatus"], F.lit("|<b>"), o["o_orderpriority"], F.lit("</b></td></tr>")))
+    items = each(lambda o: F.concat(F.lit("<li>order <i>"), o["o_orderkey"].cast("string"), F.lit("</i><ol><li>"), o["o_orderstatus"], F.lit("</li><li> </li><li>x</li></ol></li>")))
+    text = lambda words: F.lit(words)
+    key, name, nation, said = F.col("c_custkey").cast("string"), F.col("c_name"), F.col("n_name"), F.concat(F.col("c_name"), F.lit(" is a customer that said the very same thing twice in one page"))
+    page = F.concat(
+        text("<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li>menu</li></ul></nav><header><h1>no</h1></header><!-- note "), key,
+        text(" --><script>var x = '</p>'</script><h1> "), name, text("\n page</h1>"), F.col("c_mktsegment"), text("<p>Lives in <strong>"), nation, text("</strong>, see <a href=' /n/"),
+        F.col("c_nationkey").cast("string"), text("'>its <em>page</em></a> &amp; <code> k"), key, text(" </code><br>now<svg>z</svg></p><h3></h3><p>"), said, text("</p><table><thead><tr><th>order</th><th>is</th><th>note</th></tr></thead>"),
+        cells, text("</table><div><section><ul>"), items, text("</ul></section><h2>Said &lt;"), key, text("&gt;</h2><p>"), said, text("</p></div><hr><blockquote><p>first</p><p>"), nation, text("</p></blockquote><pre>  a\n   "),
+        key, text("\n</pre><b>loose</b><footer>end</footer></body></html>"),
+    )
+    return rows.select("c_custkey", page.alias("html"))
+
+
+@query(r"""WITH o AS (SELECT o_custkey, string_agg(chr(10) || '| ' || o_orderkey || ' | ' || o_orderstatus || '\|**' || o_orderpriority || '** |  |', '' ORDER BY o_orderkey) AS cells,
+                string_agg('- order *' || o_orderkey || '*' || chr(10) || '  1. ' || o_orderstatus || chr(10) || '  2. x', chr(10) ORDER BY o_orderkey) AS items FROM orders GROUP BY o_custkey)
+        SELECT c_custkey, concat_ws(chr(10) || chr(10), 'note ' || c_custkey, '# ' || c_name || ' page', c_mktsegment,
+               'Lives in **' || n_name || '**, see [its *page*](/n/' || c_nationkey || ') & `k' || c_custkey || '` now', c_name || ' is a customer that said the very same thing twice in one page',
+               '| order | is | note |' || chr(10) || '| --- | --- | --- |' || coalesce(cells, ''), items, '## Said <' || c_custkey || '>', '---',
+               '> first' || chr(10) || '> ' || n_name, '```' || chr(10) || 'a' || chr(10) || '   ' || c_custkey || chr(10) || '```', '**loose**') AS markdown
+        FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN o ON o_custkey = c_custkey""")
+def record_markdown(spark, d):
+    """Pages made from records as Markdown, which SQL can write from the records."""
+    return markdown.page_markdown(_record_pages(spark, d))
+
+
+@query(r"""WITH h AS (SELECT c_custkey, 'heading' AS kind, 1 AS a, 0::BIGINT AS b, 1 AS c, c_name || ' page' AS text FROM customer UNION ALL SELECT c_custkey, 'heading', 2, 0, 2, 'Said <' || c_custkey || '>' FROM customer),
+        o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders)
+        SELECT c_custkey, kind, a::INTEGER AS a, b, c::INTEGER AS c, text FROM h
+        UNION ALL SELECT o_custkey, 'item', 0, i, 0, 'order ' || o_orderkey FROM o
+        UNION ALL SELECT o_custkey, 'item', 1, 1, 1, o_orderstatus FROM o UNION ALL SELECT o_custkey, 'item', 1, 2, 1, 'x' FROM o
+        UNION ALL SELECT c_custkey, 'cell', 1, 1, c, ['order', 'is', 'note'][c] FROM customer, (SELECT unnest([1, 2, 3]) AS c)
+        UNION ALL SELECT o_custkey, 'cell', 1, i + 1, c, [o_orderkey::VARCHAR, o_orderstatus || '|' || o_orderpriority][c] FROM o, (SELECT unnest([1, 2]) AS c)""")
+def record_outline(spark, d):
+    """Headings (level), list items (level, number, ordered) and table cells (table, row, column) of the same pages, by joins of node rows."""
+    nodes = shared.written(tree.shown(shared.written(tree.node_rows(_record_pages(spark, d), "c_custkey"), "nodes"), "c_custkey"), "shown")
+    level = F.row_number().over(Window.partitionBy("c_custkey").orderBy("pre"))
+    heads = tree.headings(nodes, "c_custkey").select("c_custkey", F.lit("heading").alias("kind"), "level", F.lit(0).cast("long").alias("b"), level.alias("c"), "text")
+    items = tree.list_items(nodes, "c_custkey").select("c_custkey", F.lit("item"), "level", F.col("number").cast("long"), F.col("ordered").cast("int"), "text")
+    cells = tree.table_cells(nodes, "c_custkey").select("c_custkey", F.lit("cell"), "table", F.col("row").cast("long"), "column", "text")
+    return heads.union(items).union(cells).toDF("c_custkey", "kind", "a", "b", "c", "text")
+
+
+@query(r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h1|li)>(.*?)</(?:h1|li)>', 1)) AS tag, unnest(regexp_extract_all(html, '<(h1|li)>(.*?)</(?:h1|li)>', 2)) AS inner_html,
+                generate_subscripts(regexp_extract_all(html, '<(h1|li)>(.*?)</(?:h1|li)>', 1), 1) AS i FROM pages)
+        SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS n, tag,
+               trim(regexp_replace(replace(replace(regexp_replace(inner_html, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM t""")
+def page_outline(spark, d):
+    """Headings and list items of the pages as they stand, menus too."""
+    nodes = shared.written(tree.node_rows(table(spark, d, "pages"), "page_id"), "nodes")
+    found = tree.texts_of(nodes, "page_id", "h1", "li")
+    return found.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("pre")).cast("long").alias("n"), "tag", "text")
+
+
 @query(r"""WITH h AS (SELECT url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hs FROM pages),
         f AS (SELECT url, origin || regexp_replace(unnest(hs), '#.*$', '') AS link FROM h)
         SELECT DISTINCT url, link FROM f""")
@@ -417,10 +481,6 @@ def schema_inference(spark, d):
     return apis.schemas(table(spark, d, "events"), "props", "event_type")
 
 
-#: How folding looks in SQL for the letters and marks that the tables hold (no Markdown links, no composed forms).
-_FOLDED = r"trim(regexp_replace(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[*_`#>|]+', ' ', 'g'), '\s+', ' ', 'g'))"
-
-
 @query(f"""WITH q AS (SELECT item_id, {_FOLDED.format("text")} AS q FROM benchmark), p AS (SELECT doc_id, {_FOLDED.format("text")} AS p FROM documents)
         SELECT item_id, doc_id, (unnest(list_filter(range(1, length(p) + 1), lambda i: substr(p, i, length(q)) = q)) - 1)::INTEGER AS "at"
         FROM q JOIN p ON q <> '' AND contains(p, q)""")
