@@ -7,31 +7,19 @@ executor's local disk, so a lost executor costs a task retry and never a failed
 
 from __future__ import annotations
 
-import atexit
 import gc
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citelake.operators.shared import shared_folder
-
-shared_root = shared_folder
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove ``path`` from its file system if it is there."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+from citelake.operators.shared import remove, scratch
 
 
 class Scratch:
-    """A set of written tables of one operator call; they are removed when the driver ends."""
+    """A set of written tables of one operator call; they are removed when the session is stopped, at the latest when the driver ends."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
-        self.base = f"{shared_root(spark)}/citelake/{tag}-{uuid.uuid4().hex}"
-        atexit.register(self.close)
+        self.base = scratch(spark, tag)
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         """Write ``frame`` once and return the written table."""
@@ -49,13 +37,7 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, name: str) -> None:
-        delete_path(self.spark, f"{self.base}/{name}")
-
-    def close(self) -> None:
-        try:
-            delete_path(self.spark, self.base)
-        except Exception:  # noqa: BLE001  the session may be gone; the folder is the cluster's scratch space
-            return
+        remove(self.spark, f"{self.base}/{name}")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
