@@ -13,6 +13,7 @@ from citelake.functions.registry import register
 from citelake.operators import apis, chunking, dedup, evaluation, export, frontier, graph, markdown, merging, page_agent, quotes, shared, structured, tree, vectors
 from citelake.plans.pages import page_terms
 from citelake.sources import catalogue, upserts
+from citelake.sources.keyed import KeyedTable
 from citelake.sources.tables import counts, recent, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +97,19 @@ def seen_count_upsert(spark, d):
     return upserts.seen_apis(calls).withColumnsRenamed({"first_seen_at": "first_id", "last_seen_at": "last_id"})
 
 
+@query("""WITH c AS (SELECT *, event_id % 3 AS part FROM events WHERE event_id % 3 <> 1 OR event_type = 'error'),
+        last AS (SELECT user_id, max(event_id) AS event_id FROM c GROUP BY user_id)
+        SELECT c.user_id, c.event_id, c.event_type, c.value FROM c JOIN last USING (user_id, event_id) WHERE part <> 1""")
+def keyed_changes(spark, d):
+    """A table of users that is written, loses those with an error, is written again and merged in between."""
+    events = table(spark, d, "events").withColumn("part", F.col("event_id") % 3)
+    users = KeyedTable.create(spark, shared.scratch(spark, "users"), "user_id bigint, event_id bigint, event_type string, value double", ["user_id"], ["event_id"], buckets=8)
+    users.upsert(events.where("part = 2"))
+    users.delete(events.where("part = 1 and event_type = 'error'"))
+    users.upsert(events.where("part = 0"))
+    return users.read()
+
+
 @query("""SELECT o.o_orderkey, o.o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_acctbal < 0)""")
 def cascade_delete(spark, d):
     gone = table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))

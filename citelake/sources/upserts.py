@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citelake.functions.text import sample_value
+from citelake.operators.shared import written
 
 
 def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -41,11 +42,22 @@ def upsert_pages(stored: DataFrame, incoming: DataFrame, order: str = "crawled_a
     top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]
     begun = incoming.groupBy(F.col("url_hash").alias("_h")).agg(F.min(order).alias("_first"))
     new = fresh.join(stored.select("url_hash"), "url_hash", "left_anti").join(begun, F.col("url_hash") == F.col("_h"))
-    # one batch of pages is numbered at a time
-    new = new.withColumn("id", F.row_number().over(Window.orderBy("_first", "url_hash")) + F.lit(top)).select("id", *rest)
+    new = numbered(new, "id", "_first", "url_hash").withColumn("id", F.col("id") + F.lit(top)).select("id", *rest)
     return kept.unionByName(known).unionByName(new)
 
 
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """``rows`` with their number from 1 on by ``order`` in a column ``name``.
+
+    Ranges of the order are numbered each by themselves; only their sizes, one row a range, meet in one task.
+    """
+    ranged = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn(name, own).join(F.broadcast(before), F.col("_range") == F.col("_r")).withColumn(name, F.col(name) + F.col("_before")).select(*rows.columns, name)
+
+
 def update_sessions(sessions: DataFrame, changes: DataFrame) -> DataFrame:
     """``sessions`` with the cookies and headers of ``changes`` (``session_id, seq, cookies, headers``), the last of each id;
     changes of sessions that are not there do nothing."""

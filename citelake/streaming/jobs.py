@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from citelake.functions import html
 from citelake.functions.text import is_static_asset
 from citelake.operators.merging import place_rows
+from citelake.sources.keyed import KeyedTable
 
 CAPACITY = 2000
 
@@ -124,22 +125,16 @@ def progress(events: DataFrame, job_id: str, after: int = -1) -> DataFrame:
     return events.where((F.col("job_id") == job_id) & (F.col("seq") > after))
 
 
-def publish(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str):
-    """Start writing ``stream`` to versions of a table with one row per key, the newest by ``order``.
+def publish(stream: DataFrame, table: KeyedTable, checkpoint: str, most: int = 4):
+    """Start writing ``stream`` to a table of one row a key, the newest by the table's order.
 
-    Each micro-batch writes the whole table anew, so this is for tables of jobs and calls, not of pages; the version before
-    the last one stays for readers that still hold it, older ones are deleted.
+    A micro-batch writes its own rows only, and one that is told again (by its number, under the identity that Spark gives the
+    checkpoint) does nothing; a new checkpoint continues with what the table holds.  Buckets of more than ``most`` files are merged.
     """
-    from citelake.operators.shared import remove
-    from citelake.sources.upserts import latest
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number:
-            rows = spark.read.parquet(f"{path}/batch={number - 1}").unionByName(batch, allowMissingColumns=True)
-        latest(rows, keys, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        if number > 1:
-            remove(spark, f"{path}/batch={number - 2}")
+        told = batch.sparkSession.read.text(f"{checkpoint}/metadata").first()["value"]
+        table.upsert(batch, stream=json.loads(told)["id"], batch=number)
+        table.compact(most)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

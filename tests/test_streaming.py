@@ -7,6 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from citelake.functions.html import jaccard, shingle_set
+from citelake.sources.keyed import KeyedTable
 from citelake.streaming import jobs
 
 
@@ -61,13 +62,21 @@ def test_queue_states(spark, tmp_path):
 
 
 def test_publish_keeps_one_row_per_key(spark, tmp_path):
-    events = spark.createDataFrame([(n, f"k{n % 3}", n * 10) for n in range(9)], "seq long, k string, v long")
-    stream = source(spark, events, tmp_path / "s")
-    query = jobs.publish(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["k"], "seq").start()
-    query.processAllAvailable()
-    query.stop()
-    last = max(p.name for p in (tmp_path / "out").iterdir())
-    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out" / last)).collect()) == [("k0", 60), ("k1", 70), ("k2", 80)]
+    table = KeyedTable.create(spark, f"file://{tmp_path}/out", "k string, seq long, v long", ["k"], ["seq"], buckets=4)
+
+    def publish(rows, name, checkpoint):
+        stream = source(spark, spark.createDataFrame(rows, "seq long, k string, v long"), tmp_path / name)
+        query = jobs.publish(stream, table, str(tmp_path / checkpoint), most=1).start()
+        query.processAllAvailable()
+        query.stop()
+        return sorted((r["k"], r["v"]) for r in table.read().collect())
+
+    assert publish([(n, f"k{n % 3}", n * 10) for n in range(9)], "s", "cp") == [("k0", 60), ("k1", 70), ("k2", 80)]
+    version = table.versions()[-1]
+    table.upsert(spark.createDataFrame([("k9", 0, 0)], "k string, seq long, v long"), stream=next(iter(table.manifest().done)), batch=0)
+    assert table.versions()[-1] == version  # a batch that is told again
+    # a new checkpoint begins at batch 0 and loses nothing
+    assert publish([(0, "k4", 0), (1, "k0", 1), (2, "k3", 3)], "s2", "cp2") == [("k0", 60), ("k1", 70), ("k2", 80), ("k3", 3), ("k4", 0)]
 
 
 def test_progress(spark):
