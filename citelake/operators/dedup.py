@@ -23,15 +23,20 @@ LEAST_CHARS = 40
 SLOTS = 1 << 16
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """``id, members, digest`` of the comparable texts; members are hashes in order, and equal sets have equal digests."""
+def shingle_members(text: Column, k: int = SHINGLE) -> Column:
+    """Hashes of the text's distinct shingles, in order; null where it has none."""
 
     def hashed(tokens: Column) -> Column:
         n = F.size(tokens)
         each = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(tokens, i + j) for j in range(k)]))
         return F.when(n >= k, F.array_sort(F.array_distinct(each)))
 
-    rows = docs.where(F.length(text_col) >= LEAST_CHARS).select(F.col(id_col).alias("id"), bound(words(F.lower(F.col(text_col))), hashed).alias("members"))
+    return bound(words(F.lower(text)), hashed)
+
+
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
+    """``id, members, digest`` of the comparable texts; members are hashes in order, and equal sets have equal digests."""
+    rows = docs.where(F.length(text_col) >= LEAST_CHARS).select(F.col(id_col).alias("id"), shingle_members(F.col(text_col), k).alias("members"))
     digest = F.struct(F.xxhash64("members").alias("x"), F.xxhash64(F.lit(1), "members").alias("y"))
     return rows.where("members is not null").withColumn("digest", digest)
 

@@ -15,6 +15,7 @@ from citelake.plans.pages import page_terms
 from citelake.sources import catalogue, upserts
 from citelake.sources.keyed import KeyedTable
 from citelake.sources.tables import counts, recent, table
+from citelake.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -185,6 +186,24 @@ def doc_dedup_kept(spark, d):
     return dedup.greedy_keep(table(spark, d, "documents"))
 
 
+@query(f"""{_SHINGLES.replace("WITH w", "WITH RECURSIVE w")}, c AS (SELECT s.doc_id, s.s, lang, left(text, 256) AS head FROM s JOIN documents d ON d.doc_id = s.doc_id WHERE chars >= 40 AND len(s.s) > 0),
+        f AS (SELECT doc_id AS id, lang, len(s) AS n, unnest(s) AS m FROM c),
+        p AS (SELECT x.id AS a, y.id AS b FROM f x JOIN f y ON x.m = y.m AND x.lang = y.lang AND x.id < y.id GROUP BY ALL HAVING count(*) * 100 >= (any_value(x.n) + any_value(y.n) - count(*)) * 85),
+        v AS (SELECT doc_id AS id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i, coalesce((SELECT list(a) FROM p WHERE b = doc_id), []) AS earlier,
+                     list(doc_id) OVER (PARTITION BY lang, head ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS alike FROM c),
+        r AS (SELECT DISTINCT lang, 0::BIGINT AS i, NULL::BIGINT AS id, TRUE AS kept, []::BIGINT[] AS held FROM v
+              UNION ALL SELECT v.lang, v.i, v.id, len(list_intersect(r.held, v.earlier)) = 0,
+                  CASE WHEN len(list_intersect(r.held, v.earlier)) > 0 THEN r.held
+                       WHEN len(list_intersect(r.held, coalesce(v.alike, []))) > 0 THEN list_transform(r.held, lambda x: CASE WHEN list_contains(v.alike, x) THEN v.id ELSE x END)
+                       ELSE list_append(r.held, v.id)[-20:] END
+              FROM r JOIN v ON v.lang = r.lang AND v.i = r.i + 1)
+        SELECT d.lang, d.doc_id, coalesce(r.kept, TRUE) AS kept FROM documents d LEFT JOIN r ON r.id = d.doc_id""")
+def recent_dedup(spark, d):
+    """Each document against the 20 newest kept ones of its language."""
+    pages = table(spark, d, "documents").select(F.col("lang").alias("job_id"), F.col("doc_id").alias("seq"), "text")
+    return stateful.deduplicate(pages, capacity=20).toDF("lang", "doc_id", "kept")
+
+
 @query("SELECT doc_id, text, lang FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def exact_distinct(spark, d):
     return dedup.exact_keep(table(spark, d, "documents")).select("doc_id", "text", "lang")

@@ -1,13 +1,12 @@
-"""Streaming forms: upserts, seen counts, windows over events, incremental deduplication and merging, the queue.
+"""Streaming forms: windows over events, incremental merging, calls and their responses, events of a job, keyed tables as sinks.
 
-State that grows with a key is bounded (a dedup key holds its newest ``capacity`` fingerprints, as in the batch
-service), and every sink is idempotent by key and batch.
+Every sink is idempotent by key and batch.  Pages against the newest of their job and the request queue are in
+:mod:`citelake.streaming.stateful`.
 """
 
 from __future__ import annotations
 
 import json
-import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,14 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from citelake.functions import html
 from citelake.functions.text import is_static_asset
 from citelake.operators.merging import place_rows
 from citelake.sources.keyed import KeyedTable
 
-CAPACITY = 2000
-
-
 def event_counts(events: DataFrame, every: str = "5 minutes", late: str = "10 minutes", ts: str = "ts") -> DataFrame:
     """``start, event_type, n, total`` of tumbling windows; rows later than ``late`` are not waited for."""
     timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
@@ -30,32 +25,6 @@ def event_counts(events: DataFrame, every: str = "5 minutes", late: str = "10 mi
     return counted.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def _keep_new(threshold: float, capacity: int, least_chars: int):
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held: list[list] = json.loads(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("seq")
-        sets = [frozenset(s) for s in held]
-        kept = []
-        for text in rows["text"]:
-            own = html.shingle_set(text) if text and len(text) >= least_chars else frozenset()
-            fresh = not own or all(html.jaccard(own, other) < threshold for other in sets)
-            kept.append(fresh)
-            if own and fresh:
-                sets.append(own)
-                del sets[:-capacity]
-        state.update((json.dumps([sorted(s) for s in sets]),))
-        yield pd.DataFrame({"job_id": key[0], "seq": rows["seq"], "kept": kept})
-
-    return run
-
-
-def deduplicate(pages: DataFrame, threshold: float = html.DEDUP_THRESHOLD, capacity: int = CAPACITY, least_chars: int = html.DEDUP_LEAST_CHARS) -> DataFrame:
-    """Pages (``job_id, seq, text``) as ``job_id, seq, kept``: each against the job's newest kept pages, in order of arrival."""
-    return pages.groupBy("job_id").applyInPandasWithState(
-        _keep_new(threshold, capacity, least_chars), "job_id string, seq long, kept boolean", "held string", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def part_rows(parts: DataFrame) -> DataFrame:
     """Structured parts (``job_id, seq, data, citations, unverified``) as the rows that they merge by.
 
@@ -65,40 +34,6 @@ def part_rows(parts: DataFrame) -> DataFrame:
     return place_rows(parts, "job_id", "seq")
 
 
-def _queue(retries: int, lease_seconds: float, clock):
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, failures = state.get if state.exists else ("", 0)
-        if state.hasTimedOut:
-            status = "queued" if status == "locked" else status
-        else:
-            for event in pd.concat(list(batches)).sort_values("seq")["event"]:
-                if event == "add" and not status:
-                    status = "queued"
-                elif event == "take" and status == "queued":
-                    status = "locked"
-                elif event == "complete" and status:
-                    status = "completed"
-                elif event == "fail" and status in ("queued", "locked"):
-                    failures += 1
-                    status = "queued" if failures <= retries else "dropped"
-        state.update((status, failures))
-        if status == "locked":
-            state.setTimeoutDuration(int(lease_seconds * 1000))
-        yield pd.DataFrame({"url": [key[0]], "status": [status], "retries": [min(failures, retries)], "at": [clock()]})
-
-    return run
-
-
-def request_queue(events: DataFrame, retries: int = 3, lease_seconds: float = 120.0, clock=time.time) -> DataFrame:
-    """Queue events (``url, seq, event`` with add, take, complete, fail) as the state of each URL.
-
-    A lock that is older than the lease goes back to the queue; a request is dropped after ``retries`` retries.
-    """
-    return events.groupBy("url").applyInPandasWithState(
-        _queue(retries, lease_seconds, clock), "url string, status string, retries int, at double", "status string, failures int", "update", GroupStateTimeout.ProcessingTimeTimeout
-    )
-
-
 def _attach(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     open_seq = state.get[0] if state.exists else None
     found = []

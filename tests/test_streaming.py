@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from citelake.functions.html import jaccard, shingle_set
 from citelake.sources.keyed import KeyedTable
-from citelake.streaming import jobs
+from citelake.streaming import jobs, stateful
 
 
 def run(stream, name, mode):
@@ -33,24 +35,64 @@ def test_event_windows(spark, tmp_path):
     assert last == {(r["s"], r["event_type"]): r["count"] for r in want}
 
 
-def test_incremental_deduplication(spark, tmp_path):
-    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(60).collect()]
-    texts += [texts[3], "short", "short", texts[5] + " one more word"]
-    pages = spark.createDataFrame([("j", n, t) for n, t in enumerate(texts)], "job_id string, seq long, text string")
-    got = {r["seq"]: r["kept"] for r in run(jobs.deduplicate(source(spark, pages, tmp_path / "p")), "kept", "append")}
-    held, want = [], {}
-    for n, text in enumerate(texts):
-        own = shingle_set(text) if len(text) >= 40 else frozenset()
-        want[n] = not own or all(jaccard(own, o) < 0.85 for o in held)
-        if own and want[n]:
-            held.append(own)
-    assert got == want and not want[60] and want[62]
+def one_by_one(texts, capacity, threshold=0.85):
+    """The rule for pages in order: an ordered memory of kept pages, named by how they begin."""
+    held, out = {}, []
+    for text in texts:
+        own = shingle_set(text) if text and len(text) >= 40 else frozenset()
+        out.append(not own or all(jaccard(own, other) < threshold for other in held.values()))
+        if own and out[-1]:
+            held[text[:256]] = own
+            if len(held) > capacity:
+                del held[next(iter(held))]
+    return out
+
+
+def some_texts(rng, count):
+    """Texts of which many are copies of others, nearly, after a while, or with the same beginning."""
+    vocabulary = [f"w{n}" for n in range(40)]
+    out = [None, "", "short", "a b c d"]
+    while len(out) < count:
+        if len(out) > 5 and rng.random() < 0.7:
+            words = (out[-rng.choice([1, 1, 2, 4, 12])] if len(out) > 12 else out[-1] or "").split() or ["a", "b"]
+            if rng.random() < 0.3:
+                words = words[:80] + rng.choices(vocabulary, k=rng.randint(5, 60))
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        else:
+            words = rng.choices(vocabulary, k=rng.randint(3, 150))
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 10, 2000])
+def test_deduplication_against_the_newest(spark, tmp_path, capacity):
+    rng = random.Random(capacity)
+    jobs_of = {job: some_texts(rng, 60) for job in ("a", "b", "c")}
+    rows = [(job, n, text) for job, texts in jobs_of.items() for n, text in enumerate(texts)]
+    want = {(job, n): kept for job, texts in jobs_of.items() for n, kept in enumerate(one_by_one(texts, capacity))}
+    assert 5 < sum(not kept for kept in want.values()) < 150
+    pages = spark.createDataFrame(rows, "job_id string, seq long, text string")
+    whole = {(r["job_id"], r["seq"]): r["kept"] for r in stateful.deduplicate(pages.repartition(4), capacity=capacity).collect()}
+    assert whole == want
+    if capacity == 3:
+        for n in range(3):
+            pages.where((F.col("seq") % 60 >= n * 20) & (F.col("seq") % 60 < n * 20 + 20)).coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+        stream = stateful.deduplicate(spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "p")), capacity=capacity)
+        for again in (False, True):  # a second start goes on from the checkpoint
+            if again:
+                pages.where("seq < 10").withColumn("seq", F.col("seq") + 60).coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+            query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            assert query.awaitTermination(240)
+        got = {(r["job_id"], r["seq"]): r["kept"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+        assert got == {(job, n): kept for job, texts in jobs_of.items() for n, kept in enumerate(one_by_one(texts + texts[:10], capacity))}
+        assert stateful.deduplicate(pages.limit(0)).count() == 0
 
 
 def test_queue_states(spark, tmp_path):
     data = [("a", 0, "add"), ("b", 1, "add"), ("a", 2, "take"), ("b", 3, "take"), ("a", 4, "complete")] + [("b", 5 + n, "fail") for n in range(4)]
     events = spark.createDataFrame(data, "url string, seq long, event string")
-    stream = jobs.request_queue(source(spark, events, tmp_path / "q"))
+    stream = stateful.request_queue(source(spark, events, tmp_path / "q"))
     # leases are timeouts, so the query runs on; it is stopped once the states are as they must be
     query = stream.writeStream.format("memory").queryName("queue").outputMode("update").start()
     last, until = {}, time.time() + 60
@@ -61,6 +103,18 @@ def test_queue_states(spark, tmp_path):
     assert last == {"a": ("completed", 0), "b": ("dropped", 3)}
 
 
+def test_a_lease_ends(spark, tmp_path):
+    events = spark.createDataFrame([("a", 0, "add"), ("a", 1, "take"), ("b", 2, "add"), ("b", 3, "take"), ("b", 4, "complete")], "url string, seq long, event string")
+    stream = stateful.request_queue(source(spark, events, tmp_path / "q", files=1), lease_seconds=1)
+    query = stream.writeStream.format("memory").queryName("leases").outputMode("update").trigger(processingTime="500 milliseconds").start()
+    told, until = [], time.time() + 90
+    while time.time() < until and ("a", "queued") not in told:
+        time.sleep(0.5)
+        told = [(r["url"], r["status"]) for r in spark.table("leases").orderBy("at").collect()]
+    query.stop()
+    assert sorted(told) == [("a", "locked"), ("a", "queued"), ("b", "completed")]
+
+
 def test_publish_keeps_one_row_per_key(spark, tmp_path):
     table = KeyedTable.create(spark, f"file://{tmp_path}/out", "k string, seq long, v long", ["k"], ["seq"], buckets=4)
 
