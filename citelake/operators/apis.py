@@ -96,6 +96,19 @@ def health_reports(probes: DataFrame) -> DataFrame:
     return probes.select("api_id", code.alias("status_code"), F.coalesce(up, F.lit(False)).alias("is_up"), "latency_ms", F.col("error").alias("error_message"))
 
 
+def health_rows(reports: DataFrame) -> DataFrame:
+    """Probe reports (``api_id, url`` and any of ``api_name, status_code, latency_ms, is_up, error_message, checked_at``) as rows to append.
+
+    Numbers that are missing or cannot be read are 0, a missing state is down, blank names and messages are null.
+    """
+    has = lambda c, kind: F.col(c).cast("string") if c in reports.columns else F.lit(None).cast(kind)
+    whole = lambda c: F.coalesce(has(c, "string").try_cast("double").cast("int"), F.lit(0)).alias(c)
+    text = lambda c: F.nullif(has(c, "string"), F.lit("")).alias(c)
+    up = F.coalesce(has("is_up", "string").try_cast("boolean"), F.lit(False)).alias("is_up")
+    at = F.col("checked_at").cast("timestamp") if "checked_at" in reports.columns else F.current_timestamp()
+    return reports.select("api_id", text("api_name"), "url", whole("status_code"), whole("latency_ms"), up, text("error_message"), at.alias("checked_at"))
+
+
 def health_rollup(checks: DataFrame, *keys: str) -> DataFrame:
     """Availability and latency of each key: ``checks, availability, p50_ms, p95_ms``."""
     return checks.groupBy(*keys).agg(

@@ -28,10 +28,14 @@ class ReplayEmbedder:
         return [self.vectors[t] for t in texts]
 
 
-def embedded(chunks: DataFrame, embedder: Embedder | None, key: str = "url", text: str = "chunk", order: str = "chunk_index") -> DataFrame:
+#: Texts that a provider is asked for at a time.
+BATCH = 64
+
+
+def embedded(chunks: DataFrame, embedder: Embedder | None, key: str = "url", text: str = "chunk", order: str = "chunk_index", batch: int = BATCH) -> DataFrame:
     """``chunks`` with their ``vector``, for those keys whose chunks all got one.
 
-    A key's chunks are asked for together and its vectors are taken all or none: where the provider fails, gives another
+    A key's chunks are asked for in order, ``batch`` at a time, and its vectors are taken all or none: where the provider fails, gives another
     number of vectors, or one of another width, none of that key's chunks is returned; no vector is ever made up.
     Without a provider the result is empty.
     """
@@ -42,7 +46,8 @@ def embedded(chunks: DataFrame, embedder: Embedder | None, key: str = "url", tex
     def whole(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order)
         try:
-            found = [list(map(float, v)) for v in embedder.embed(group[text].tolist())]
+            texts = group[text].tolist()
+            found = [list(map(float, v)) for at in range(0, len(texts), batch) for v in embedder.embed(texts[at : at + batch])]
         except Exception:  # noqa: BLE001  whatever a provider raises means that there are no vectors
             found = []
         if len(found) != len(group) or any(len(v) != embedder.width for v in found):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citelake.functions import html
+from citelake.functions.robots import rules_for
 from citelake.operators.shared import written
 
 MOST_DEPTH = 5
@@ -24,31 +25,33 @@ def link_table(pages: DataFrame, same_host: bool = True) -> DataFrame:
     return pages.select("url", F.posexplode(found("url", "html")).alias("position", "link"))
 
 
+def robots_rules(robots: DataFrame, agent: str = AGENT) -> DataFrame:
+    """``host, position, allow, path`` of the rules that hold for ``agent`` on each host, out of its robots text (``host, text``).
+
+    Only the texts, one a host, are parsed; whether a link may be fetched is then a comparison with these rows.
+    """
+
+    @F.pandas_udf("array<struct<allow:boolean,path:string>>")
+    def rules(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: [{"allow": allow, "path": path} for allow, path in rules_for(text or "", agent)])
+
+    return robots.select("host", F.posexplode(rules("text")).alias("position", "rule")).select("host", "position", "rule.allow", "rule.path")
+
+
 def allowed(links: DataFrame, robots: DataFrame, agent: str = AGENT, link_col: str = "link") -> DataFrame:
-    """Links that their host's robots text (``host, text``) lets ``agent`` fetch; hosts without one allow all."""
-
-    @F.pandas_udf("boolean")
-    def may(urls: pd.Series, texts: pd.Series) -> pd.Series:
-        from urllib.robotparser import RobotFileParser
-
-        rules: dict[str, RobotFileParser] = {}
-        out = []
-        for url, text in zip(urls, texts, strict=True):
-            if not text:
-                out.append(True)
-                continue
-            if text not in rules:
-                rules[text] = RobotFileParser()
-                rules[text].parse(text.splitlines())
-            try:
-                out.append(rules[text].can_fetch(agent, url))
-            except Exception:  # noqa: BLE001  rules that cannot be read allow
-                out.append(True)
-        return pd.Series(out)
-
-    hosts = robots.select(F.col("host").alias("_host"), F.col("text").alias("_robots"))
-    joined = links.join(hosts, F.call_function("try_parse_url", F.col(link_col), F.lit("AUTHORITY")) == F.col("_host"), "left")
-    return joined.where(may(F.col(link_col), F.col("_robots"))).drop("_host", "_robots")
+    """Links that their host's robots text (``host, text``) lets ``agent`` fetch; hosts without one allow all.
+
+    The first rule whose path the link's path begins with decides; where there is none the link is allowed.
+    """
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("position", "allow", "path"))), lambda r: F.struct(r["allow"].alias("allow"), r["path"].alias("path")))
+    by_host = robots_rules(robots, agent).groupBy(F.col("host").alias("_host")).agg(listed.alias("_rules"))
+    part = lambda what: F.call_function("try_parse_url", F.col(link_col), F.lit(what))
+    query = F.coalesce(F.concat(F.lit("?"), part("QUERY")), F.lit(""))
+    raw = F.concat(F.coalesce(part("PATH"), F.lit("")), query)
+    plain = F.coalesce(F.call_function("try_url_decode", F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+    joined = links.join(by_host, part("AUTHORITY") == F.col("_host"), "left").withColumn("_path", F.when(plain == "", "/").otherwise(plain))
+    first = F.get(F.filter("_rules", lambda r: F.startswith(F.col("_path"), r["path"])), F.lit(0))
+    return joined.where(F.coalesce(first["allow"], F.lit(True))).drop("_host", "_rules", "_path")
 
 
 def expand(edges: DataFrame, seeds: DataFrame, max_depth: int = MOST_DEPTH) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from citelake.functions.text import relationship_type
+from citelake.functions.text import IDENTIFIER, relationship_type
 
 NODE_CAP = 300
 NEIGHBOURS = 25
@@ -76,13 +76,21 @@ def store_edges(triples: DataFrame) -> DataFrame:
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
-    """Pages (``url, title, at``) as stored nodes: ``url, title, first_at, last_at``; the last title that says something stays.
+    """Pages (``url, title, at``, optional ``job_id`` and ``metadata``) as stored nodes: ``url, title, job_id, first_at, last_at, props``.
 
-    Rows without a URL go; a repeated URL is one node.
+    The last write decides title and job, blank ones being none; of the metadata the last value given for each name stays, names
+    that are no identifiers and values that are null change nothing.  Rows without a URL go; a repeated URL is one node.
     """
     named = pages.where("trim(url) <> ''")
-    told = F.when(F.trim("title") != "", F.col("title"))
-    return named.groupBy("url").agg(F.max_by(told, F.when(told.isNotNull(), F.col("at"))).alias("title"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    given = {c: F.nullif(F.col(c), F.lit("")) if c in pages.columns else F.lit(None).cast("string") for c in ("title", "job_id")}
+    last = named.groupBy("url").agg(*[F.max_by(x, "at").alias(c) for c, x in given.items()], F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    if "metadata" not in pages.columns:
+        return last.withColumn("props", F.create_map().cast("map<string,string>"))
+    told = named.select(F.col("url").alias("_url"), "at", F.explode("metadata").alias("name", "value")).where(F.col("value").isNotNull() & F.col("name").rlike(IDENTIFIER))
+    kept = told.groupBy("_url", "name").agg(F.max_by("value", "at").alias("value"))
+    props = kept.groupBy("_url").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("_props"))
+    joined = last.join(props, F.col("url") == F.col("_url"), "left")
+    return joined.select(*last.columns, F.coalesce("_props", F.create_map().cast("map<string,string>")).alias("props"))
 
 
 def mention_edges(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,9 +120,9 @@ def stats(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
 
 def entities_by_pages(entity_rows: DataFrame) -> DataFrame:
     """Entities (``name, type, url, at``) by the number of pages that name them: ``key, name, type, pages``."""
-    named = entity_rows.where(F.trim("name") != "").withColumn("key", folded(F.col("name")))
-    return (
-        named.groupBy("key")
-        .agg(F.min_by(F.trim("name"), "at").alias("name"), F.min_by("type", "at").alias("type"), F.countDistinct("url").alias("pages"))
-        .orderBy(F.desc("pages"), "name")
+    named = entity_rows.where(F.trim("name") != "").groupBy(F.trim("name").alias("name"), "url").agg(F.min(F.struct("at", "type")).alias("first"))
+    keys = named.select(F.col("name").alias("_name")).distinct().withColumn("key", folded(F.col("_name")))  # each spelling is folded once
+    found = named.join(keys, F.col("name") == F.col("_name")).groupBy("key").agg(
+        F.min_by("name", "first.at").alias("name"), F.min_by("first.type", "first.at").alias("type"), F.count_distinct("url").alias("pages")
     )
+    return found.orderBy(F.desc("pages"), "name")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citelake.operators.chunking import chunk_table, top_terms
 from citelake.operators.dedup import exact_keep, greedy_keep
-from citelake.operators.frontier import expand, link_table, within_cap
+from citelake.operators.frontier import allowed, expand, link_table, within_cap
 from citelake.operators.markdown import page_markdown
 from citelake.operators.shared import written
 
@@ -32,9 +32,16 @@ def page_terms(pages: DataFrame, k: int = 10) -> DataFrame:
     return kept.select("page_id", "url").join(sizes, "page_id").join(terms, "page_id").select("page_id", "url", "chunks", "rank", "term", "n", "tf")
 
 
-def crawl(pages: DataFrame, seed: str, max_depth: int = 1, max_pages: int = 50) -> DataFrame:
-    """``url, depth`` of the stored pages that a crawl from ``seed`` visits, in order, at most ``max_pages``."""
-    links = link_table(pages).select(F.col("url").alias("src"), F.col("link").alias("dst"))
+def crawl(pages: DataFrame, seed: str, max_depth: int = 1, max_pages: int = 50, robots: DataFrame | None = None) -> DataFrame:
+    """``url, depth`` of the stored pages that a crawl from ``seed`` visits, in order, at most ``max_pages``.
+
+    With ``robots`` (``host, text``), links that their host disallows are not followed, and a disallowed seed gives nothing.  The
+    pages' links are read and judged once, whatever the depth.
+    """
+    links = link_table(pages)
     seeds = pages.sparkSession.createDataFrame([(seed,)], "node string")
-    reached = expand(links, seeds, max_depth)
+    if robots is not None:
+        links, seeds = allowed(links, robots), allowed(seeds, robots, link_col="node")
+    edges = written(links.select(F.col("url").alias("src"), F.col("link").alias("dst")), "edges")
+    reached = expand(edges, seeds, max_depth)
     return within_cap(reached.join(pages.select(F.col("url").alias("node")).distinct(), "node"), max_pages, "node").select(F.col("node").alias("url"), "depth")

@@ -12,6 +12,7 @@ from citelake.functions import text as T
 from citelake.functions.registry import register
 from citelake.operators import apis, chunking, dedup, evaluation, export, frontier, graph, markdown, merging, page_agent, quotes, shared, structured, tree, vectors
 from citelake.plans.pages import page_terms
+from citelake.schemas import CHUNK_POINT
 from citelake.sources import catalogue, upserts
 from citelake.sources.keyed import KeyedTable
 from citelake.sources.tables import counts, recent, table
@@ -22,6 +23,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 ALL_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 QUERY_VECTOR = 7  # vec_id of the vector that search queries look for
+NAMESPACE_URL = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"  # fixed value: the namespace of URLs in name-based identifiers
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -87,17 +89,66 @@ def upsert_latest(spark, d):
 
 
 @query("""SELECT 'GET' AS method, 'https://api.example.org/u/' || user_id || '/' || event_type AS url, 'api.example.org' AS host,
-        '/u/' || user_id || '/' || event_type AS path, 'application/json' AS content_type, '{}' AS sample_request,
+        '/u/' || user_id || '/' || event_type AS path, 'application/json' AS content_type,
+        arg_max(CASE event_id % 4 WHEN 0 THEN '{}' WHEN 1 THEN '{"raw":"v ' || user_id || '"}' WHEN 2 THEN '[' || user_id || ']' ELSE props END, event_id) AS sample_request,
         arg_max(props, event_id) AS sample_response, count(*) AS seen_count, min(event_id) AS first_id, max(event_id) AS last_id
         FROM events GROUP BY user_id, event_type""")
 def seen_count_upsert(spark, d):
+    turn, user = F.col("event_id") % 4, F.col("user_id").cast("string")
+    request = F.when(turn == 1, F.concat(F.lit("v "), user)).when(turn == 2, F.concat(F.lit("["), user, F.lit("]"))).when(turn == 3, F.col("props"))
     calls = table(spark, d, "events").select(
         F.col("event_id").alias("seq"), F.col("event_id").alias("ts"), F.lit("get").alias("method"), F.lit("application/json").alias("content_type"),
-        F.concat(F.lit("https://api.example.org/u/"), "user_id", F.lit("/"), "event_type").alias("url"), F.lit(None).cast("string").alias("request"), F.col("props").alias("response"),
+        F.concat(F.lit("https://api.example.org/u/"), "user_id", F.lit("/"), "event_type").alias("url"), request.alias("request"), F.col("props").alias("response"),
     )
     return upserts.seen_apis(calls).withColumnsRenamed({"first_seen_at": "first_id", "last_seen_at": "last_id"})
 
 
+@query("""SELECT event_type AS api_id, CASE WHEN event_id % 3 = 0 THEN 'none' ELSE 'API ' || event_type END AS api_name, 'https://api/' || user_id AS url,
+        CASE event_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 0 WHEN 2 THEN 0 ELSE 503 END AS status_code, CASE WHEN event_id % 5 = 0 THEN 0 ELSE trunc(value)::INTEGER END AS latency_ms,
+        event_id % 4 = 0 AS is_up, CASE WHEN event_id % 2 = 0 THEN 'none' ELSE 'refused' END AS error_message, count(*) AS n FROM events GROUP BY ALL""")
+def health_append(spark, d):
+    """Probe reports as they come, with missing and unreadable numbers, as rows of the health table."""
+    n = F.col("event_id")
+    code = F.when(n % 4 == 0, "200").when(n % 4 == 1, F.lit(None)).when(n % 4 == 2, "soon").otherwise("503")
+    reports = table(spark, d, "events").select(
+        F.col("event_type").alias("api_id"), F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("API "), "event_type")).alias("api_name"), F.concat(F.lit("https://api/"), "user_id").alias("url"), code.alias("status_code"),
+        F.when(n % 5 != 0, F.col("value")).alias("latency_ms"), F.when(n % 4 == 0, "true").when(n % 4 == 3, "false").alias("is_up"), F.when(n % 2 == 0, "").otherwise("refused").alias("error_message"),
+    )
+    rows = apis.health_rows(reports).drop("checked_at")
+    none = {c: F.coalesce(c, F.lit("none")) for c in ("api_name", "error_message")}
+    return rows.withColumns(none).groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_custkey, o_orderkey % 3 <> 0 AS has_summary, o_orderkey % 4 = 0 AS has_data FROM orders)
+        SELECT (1000 + row_number() OVER (ORDER BY o_orderkey))::BIGINT AS id, 'job ' || o_custkey AS job_id, 'https://shop/' || o_orderkey AS url, CASE WHEN has_summary THEN 'order ' || o_orderkey ELSE '' END AS summary,
+               CASE WHEN has_data THEN '{"n": ' || o_orderkey || '}' ELSE '{}' END AS data, 0 AS topics, 0 AS cited FROM r WHERE has_summary OR has_data""")
+def results_append(spark, d):
+    """Page entries as rows of the results table; those with nothing to tell are left out, the others numbered in order."""
+    key = F.col("o_orderkey")
+    entries = table(spark, d, "orders").select(
+        F.concat(F.lit("job "), "o_custkey").alias("job_id"), F.concat(F.lit("https://shop/"), key).alias("url"), F.when(key % 3 != 0, F.concat(F.lit("order "), key)).otherwise("").alias("summary"),
+        F.when(key % 4 == 0, F.concat(F.lit('{"n": '), key, F.lit("}"))).alias("data"), F.timestamp_seconds(key).alias("created_at"),
+    )
+    return upserts.result_rows(entries, 1000).select("id", "job_id", "url", "summary", "data", F.size("topics").alias("topics"), F.size("citations").alias("cited"))
+
+
+@query("""WITH v AS (SELECT vec_id, vec_id % 50 AS page, vec_id // 50 AS chunk, embedding, label FROM embeddings),
+        w AS (SELECT page, chunk, 0 AS "at", embedding FROM v UNION ALL SELECT page, chunk - 2, 1, embedding FROM v WHERE chunk >= 2 AND page % 2 = 0),
+        last AS (SELECT page, chunk, max("at") AS "at" FROM w WHERE page % 5 <> 0 GROUP BY ALL)
+        SELECT 'https://v/' || page AS url, chunk::INTEGER AS chunk_index, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[64]::DOUBLE, 6) AS last FROM last JOIN w USING (page, chunk, "at")""")
+def vector_upsert(spark, d):
+    """Pages' vectors written, some pages written again with fewer chunks, and some removed."""
+    rows = table(spark, d, "embeddings").withColumn("page", F.col("vec_id") % 50).withColumn("chunk_index", F.floor(F.col("vec_id") / 50).cast("int"))
+    chunks = rows.select(F.concat(F.lit("https://v/"), "page").alias("url"), "page", "chunk_index", F.col("embedding").alias("vector"), F.lit("").alias("chunk"), F.lit(0).alias("at"))
+    points = KeyedTable.create(spark, shared.scratch(spark, "points"), f"{CHUNK_POINT}, at bigint", ["id"], ["at"], buckets=16)
+    upserts.index_vectors(points, chunks, 64, NAMESPACE_URL)
+    again = chunks.where("page % 2 = 0 and chunk_index >= 2").withColumn("chunk_index", F.col("chunk_index") - 2).withColumn("at", F.lit(1))
+    upserts.index_vectors(points, again, 64, NAMESPACE_URL)
+    upserts.drop_page_vectors(points, chunks.where("page % 5 = 0").select("url"))
+    double = lambda n, name: F.round(F.element_at("vector", n).cast("double"), 6).alias(name)
+    return points.read().select("payload.url", "payload.chunk_index", double(1, "first"), double(64, "last"))
+
+
 @query("""WITH c AS (SELECT *, event_id % 3 AS part FROM events WHERE event_id % 3 <> 1 OR event_type = 'error'),
         last AS (SELECT user_id, max(event_id) AS event_id FROM c GROUP BY user_id)
         SELECT c.user_id, c.event_id, c.event_type, c.value FROM c JOIN last USING (user_id, event_id) WHERE part <> 1""")
@@ -358,6 +409,20 @@ def bfs_frontier(spark, d):
     return _frontier(spark, d)
 
 
+_LINKS = r"""h AS (SELECT url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hs FROM pages),
+        l AS (SELECT DISTINCT url AS src, origin || regexp_replace(unnest(hs), '#.*$', '') AS dst FROM h),
+        ok AS (SELECT * FROM l WHERE NOT (regexp_matches(dst, '^[a-z]+://[^/]+/[a-m]') AND NOT regexp_matches(dst, '^[a-z]+://[^/]+/(an|in)')))"""
+
+
+@query(f"WITH {_LINKS} SELECT src AS url, dst AS link FROM ok")
+def robots_links(spark, d):
+    """Links that robots rules let one follow: paths that begin with a to m are closed, but those with an or in."""
+    rules = "User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /an\nAllow: /in # these\n" + "\n".join(f"Disallow: /{c}" for c in "abcdefghijklm")
+    links = frontier.link_table(table(spark, d, "pages"))
+    hosts = links.select(F.call_function("try_parse_url", F.col("link"), F.lit("HOST")).alias("host")).distinct()
+    return frontier.allowed(links, hosts.select("host", F.lit(rules).alias("text"))).select("url", "link")
+
+
 @query(f"WITH RECURSIVE {_EDGES} SELECT node, depth FROM f ORDER BY depth, node LIMIT 50")
 def frontier_page_cap(spark, d):
     return frontier.within_cap(_frontier(spark, d), 50, "node")
@@ -461,17 +526,31 @@ def graph_stats(spark, d):
     return graph.stats(nodes, _store_edges(spark, d))
 
 
-@query("""SELECT p_name AS subject, upper(replace(trim(p_brand), '#', '_')) AS rel, p_type AS object, min(p_partkey) AS created, max(p_partkey) AS updated, NULL::VARCHAR AS note
-        FROM part GROUP BY 1, 2, 3""")
+@query("""WITH t AS (SELECT p_brand AS subject, 'HAS_' || l_returnflag AS rel, l_linestatus AS object, (l_orderkey * 10 + l_linenumber) * 100 + l_quantity::INTEGER AS "at", l_quantity::INTEGER::VARCHAR AS qty FROM lineitem JOIN part ON l_partkey = p_partkey)
+        SELECT subject, rel, object, min("at") AS created, max("at") AS updated, arg_max(qty, "at") AS qty FROM t GROUP BY 1, 2, 3""")
 def triple_merge(spark, d):
-    rows = table(spark, d, "part").select(F.col("p_name").alias("subject"), F.replace("p_brand", F.lit("#"), F.lit(" ")).alias("predicate"), F.col("p_type").alias("object"), F.col("p_partkey").alias("at"))
-    return graph.store_edges(rows).select("subject", "rel", "object", "created", "updated", F.lit(None).cast("string").alias("note"))
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    triples = rows.select(
+        F.col("p_brand").alias("subject"), F.concat(F.lit(" has "), "l_returnflag").alias("predicate"), F.col("l_linestatus").alias("object"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("int")).alias("at"), F.create_map(F.lit("qty"), F.col("l_quantity").cast("int").cast("string")).alias("props"),
+    )
+    return graph.store_edges(triples).select("subject", "rel", "object", "created", "updated", F.col("props")["qty"].alias("qty"))
 
 
-@query("""SELECT 'https://shop/' || o_orderkey AS url, 'Order ' || o_orderstatus AS title, o_orderkey AS first_at, o_orderkey AS last_at FROM orders""")
+@query("""WITH l AS (SELECT l_linenumber, 'https://shop/' || l_orderkey AS url, l_orderkey * 10 + l_linenumber AS "at", min(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus FROM lineitem GROUP BY l_orderkey, l_linenumber)
+        SELECT url, arg_max(CASE WHEN l_linenumber % 3 = 0 THEN 'none' ELSE 'Line ' || l_linenumber END, "at") AS title, arg_max('job ' || l_linenumber % 2, "at") AS job_id, min("at") AS first_at, max("at") AS last_at,
+               arg_max(l_returnflag, "at") AS flag, coalesce(arg_max(l_linestatus, "at") FILTER (WHERE l_linenumber % 2 = 1), 'none') AS status FROM l GROUP BY url""")
 def page_nodes(spark, d):
-    orders = table(spark, d, "orders").select(F.concat(F.lit("https://shop/"), "o_orderkey").alias("url"), F.concat(F.lit("Order "), "o_orderstatus").alias("title"), F.col("o_orderkey").alias("at"))
-    return graph.page_nodes(orders)
+    """Orders' lines as writes of the order's page: later lines write over earlier ones, each with its own metadata."""
+    n = F.col("l_linenumber")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.max("l_linestatus").alias("l_linestatus"))
+    rows = lines.select(
+        F.concat(F.lit("https://shop/"), "l_orderkey").alias("url"), F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("Line "), n)).alias("title"), F.concat(F.lit("job "), n % 2).alias("job_id"),
+        F.create_map(F.lit("flag"), F.col("l_returnflag"), F.lit("status"), F.when(n % 2 == 1, F.col("l_linestatus")), F.lit("no name"), F.lit("x")).alias("metadata"), (F.col("l_orderkey") * 10 + n).alias("at"),
+    )
+    found = graph.page_nodes(rows)
+    none = lambda c: F.coalesce(c, F.lit("none"))
+    return found.select("url", none(F.col("title")).alias("title"), "job_id", "first_at", "last_at", F.col("props")["flag"].alias("flag"), none(F.col("props")["status"]).alias("status"))
 
 
 def _part_mentions(spark, d):
@@ -504,9 +583,17 @@ def entity_page_counts(spark, d):
 # --- JSON and extraction -----------------------------------------------------------------------------------------
 
 
-@query("""SELECT event_id, 0 AS position, '/' || k AS pointer, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)""")
+@query("""WITH e AS (SELECT event_id, user_id, event_type, (props->>'k') AS k, event_id % 2 = 0 AS even FROM events),
+        l AS (SELECT event_id, unnest([0, 1, 2, 3, 4]) AS position, unnest(['/a~1b', '/list/' || CASE WHEN even THEN 1 ELSE 0 END || '/t~0x', '/list/' || CASE WHEN even THEN 2 ELSE 1 END, '/deep/0/0/ok', '/deep/0/1']) AS pointer,
+              unnest([event_type, k, user_id::VARCHAR, 'true', '1.5']) AS value FROM e)
+        SELECT * FROM l""")
 def leaf_pointers(spark, d):
-    return structured.leaf_table(table(spark, d, "events"), "props", "event_id")
+    """Nested objects and lists with keys to escape and values that are no leaves (null, empty text and containers)."""
+    e = table(spark, d, "events")
+    k = F.get_json_object("props", "$.k")
+    text = F.concat(F.lit('{"none": null, "a/b": "'), "event_type", F.lit('", "list": ['), F.when(F.col("event_id") % 2 == 0, "null, ").otherwise(""), F.lit('{"t~x": '), k, F.lit('}, '), F.col("user_id").cast("string"),
+                    F.lit(', ""], "empty": {}, "deep": [[{"ok": true}, 1.5], []]}'))
+    return structured.leaf_table(e.select("event_id", text.alias("text")), "text", "event_id")
 
 
 @query("""SELECT event_type, '{"properties": {"k": {"type": "integer"}}, "required": ["k"], "type": "object"}' AS schema FROM events GROUP BY event_type""")
@@ -601,11 +688,18 @@ def merged_leaves(spark, d):
     return found.select("o_custkey", "pointer", "value", F.array_join(F.transform("quotes", lambda x: x["quote"]), "|").alias("quotes"), "unverified")
 
 
-@query("""SELECT event_id, '{"id": ' || event_id || ', "props": ' || props || ', "ok": true}' AS value FROM events""")
+@query("""SELECT event_id, CASE event_id % 6 WHEN 4 THEN '[' || event_id || ', "x, }"]' WHEN 5 THEN 'nothing' ELSE '{"id": ' || event_id || ', "props": ' || props || ', "ok": true}' END AS value FROM events""")
 def lenient_json(spark, d):
+    """Replies as models give them: plain, fenced, in prose, with other quotes and bare words, a list, and one without JSON."""
     register(spark)
-    text = F.concat(F.lit("Sure! {id: "), F.col("event_id").cast("string"), F.lit(", 'props': "), "props", F.lit(", ok: True,} Hope it helps."))
-    return table(spark, d, "events").select("event_id", F.call_function("loads_lenient", text).alias("value"))
+    n, key = F.col("event_id") % 6, F.col("event_id").cast("string")
+    plain = F.concat(F.lit('{"id": '), key, F.lit(', "props": '), "props", F.lit(', "ok": true}'))
+    loose = F.concat(F.lit("{id: "), key, F.lit(", 'props': "), "props", F.lit(", ok: True,}"))
+    text = (
+        F.when(n == 0, plain).when(n == 1, F.concat(F.lit("```json\n"), plain, F.lit("\n```"))).when(n == 2, F.concat(F.lit("Sure! "), loose, F.lit(" Hope it helps.")))
+        .when(n == 3, F.concat(F.lit("Here:\n```\n"), loose, F.lit("\n```\nBye"))).when(n == 4, F.concat(F.lit("The list is ["), key, F.lit(", 'x, }',]."))).otherwise("I cannot say.")
+    )
+    return table(spark, d, "events").select("event_id", F.coalesce(F.call_function("loads_lenient", text), F.lit("nothing")).alias("value"))
 
 
 @query(f"""WITH RECURSIVE lines AS (SELECT doc_id AS url, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),

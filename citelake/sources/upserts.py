@@ -6,10 +6,13 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 from pyspark.sql.window import Window
 
-from citelake.functions.text import sample_value
+from citelake.functions.text import point_id, sample_value
 from citelake.operators.shared import written
+from citelake.schemas import EXTRACTION_RESULTS
+from citelake.sources.keyed import KeyedTable
 
 
 def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -107,6 +110,44 @@ def entity_rows(entities: DataFrame) -> DataFrame:
     return named.select(F.trim("name").alias("name"), kind.alias("entity_type"), given("source_url", "page_url").alias("source_url"))
 
 
+def result_rows(entries: DataFrame, stored_top: int = 0) -> DataFrame:
+    """A job's page entries (``job_id, url`` and any other column of ``EXTRACTION_RESULTS``) as rows to append, numbered after ``stored_top``.
+
+    Only entries with a summary, an entity or structured data are stored.  What is missing is null, for lists empty and for
+    ``data`` an empty object; ``created_at`` defaults to now.
+    """
+    kinds = [f for f in StructType.fromDDL(EXTRACTION_RESULTS) if f.name != "id"]
+    empty = {"data": F.lit("{}"), "created_at": F.current_timestamp()}
+    cells = []
+    for f in kinds:
+        none = empty.get(f.name, F.array().cast(f.dataType) if isinstance(f.dataType, ArrayType) else F.create_map().cast(f.dataType) if isinstance(f.dataType, MapType) else F.lit(None).cast(f.dataType))
+        cells.append((F.coalesce(F.col(f.name).cast(f.dataType), none) if f.name in entries.columns else none).alias(f.name))
+    rows = entries.select(*cells).withColumn("_hash", F.xxhash64("job_id", "url"))
+    told = (F.coalesce("summary", F.lit("")) != "") | (F.size("entities") > 0) | (F.col("data") != "{}")
+    kept = numbered(rows.where(told), "id", "created_at", "_hash", "url")
+    return kept.select((F.col("id") + F.lit(stored_top)).cast("long").alias("id"), *[f.name for f in kinds])
+
+
+def index_vectors(table: KeyedTable, chunks: DataFrame, width: int, namespace: str) -> int:
+    """Write the vectors of pages' chunks (``url, chunk_index, chunk, vector`` and any of ``job_id, title, depth``) and return the version.
+
+    All vectors must have ``width`` elements, else ``ValueError`` before anything is written.  A chunk's id follows from its
+    URL and number, so a page that is written again replaces its points.  The table's schema is ``CHUNK_POINT`` and ``at``.
+    """
+    whole = vector_points(chunks, width)
+    names = {"url": "string", "chunk_index": "int", "chunk": "string", "job_id": "string", "title": "string", "depth": "int"}
+    payload = F.struct(*[(F.col(c) if c in chunks.columns else F.lit(None)).cast(kind).alias(c) for c, kind in names.items()])
+    at = F.col("at") if "at" in chunks.columns else F.lit(0)
+    return table.upsert(whole.select(point_id(F.col("url"), F.col("chunk_index"), namespace).alias("id"), F.col("vector").cast("array<float>").alias("vector"), payload.alias("payload"), at.cast("long").alias("at")))
+
+
+def drop_page_vectors(table: KeyedTable, urls: DataFrame) -> int:
+    """Remove the points of pages (``url``) and return the version."""
+    points = table.read().select("id", "at", F.col("payload.url").alias("_url"))
+    gone = points.join(urls.select(F.trim("url").alias("_u")).distinct(), F.trim("_url") == F.col("_u"), "left_semi")
+    return table.delete(gone.select("id", "at"))
+
+
 def vector_points(rows: DataFrame, width: int, vector: str = "vector") -> DataFrame:
     """``rows`` if every vector has ``width`` elements; ``ValueError`` before anything is written otherwise."""
     wrong = rows.where((F.size(vector) != width) | F.col(vector).isNull()).limit(1).count()

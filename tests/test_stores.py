@@ -48,7 +48,12 @@ def test_names_fold_and_stored_mentions(spark):
     pages = spark.createDataFrame(rows, "seq long, url string, entities array<struct<name:string,type:string>>, triples array<struct<subject:string,predicate:string,object:string>>")
     assert [(r["label"], r["type"]) for r in graph.nodes(pages).collect()] == [("Straße", "PLACE")]
     stored = spark.createDataFrame([("u", 1, "One"), ("u", 2, ""), (" ", 3, "x")], "url string, at long, title string")
-    assert [tuple(r) for r in graph.page_nodes(stored).collect()] == [("u", "One", 1, 2)]
+    # the last write decides, also where it has no title
+    assert [tuple(r) for r in graph.page_nodes(stored).collect()] == [("u", None, None, 1, 2, {})]
+    kind = "url string, at long, title string, job_id string, metadata map<string,string>"
+    told = [("u", 1, "One", "j", {"a": "1", "b": "1"}), ("u", 3, "Three", "", {"b": None, "c d": "x"}), ("u", 2, "Two", "k", {"b": "2"}), ("v", 1, None, None, None)]
+    got = {r["url"]: tuple(r)[1:] for r in graph.page_nodes(spark.createDataFrame(told, kind)).collect()}
+    assert got == {"u": ("Three", None, 1, 3, {"a": "1", "b": "2"}), "v": (None, None, 1, 1, {})}
     entities, edges = graph.mention_edges(pages.withColumnRenamed("seq", "at"))
     assert entities.count() == 2 and edges.where("mentions = 1").count() == 2
 
@@ -85,12 +90,60 @@ def test_screens(spark):
 
 def test_providers():
     assert providers.resolve({}).provider == "openai" and providers.resolve({}).base_url is None
-    local = providers.resolve({"OPENAI_API_KEY": "ollama"}, defaults={"local": "m"})
-    assert local.flavour == "local" and local.base_url.endswith(":11434/v1") and local.model == "m"
+    local = providers.resolve({"OPENAI_API_KEY": "ollama"}, defaults={"local": "m"}, vision_defaults={"local": "v"})
+    assert local.flavour == "local" and local.base_url.endswith(":11434/v1") and (local.model, local.vision_model) == ("m", "v")
     assert providers.resolve({"OPENAI_API_BASE": "http://localhost:9/"}).api_key == "ollama"
-    groq = providers.resolve({"GROQ_API_KEY": "k", "MODEL_NAME": "x"})
-    assert (groq.provider, groq.api_key, groq.model) == ("groq", "k", "x") and "groq" in groq.base_url
+    groq = providers.resolve({"GROQ_API_KEY": "k", "MODEL_NAME": "x", "VISION_MODEL_NAME": "y"})
+    assert (groq.provider, groq.api_key, groq.model, groq.vision_model) == ("groq", "k", "x", "y") and "groq" in groq.base_url
     assert providers.resolve({"GOOGLE_API_KEY": "g"}).api_key == "g" and providers.resolve({"GROQ_API_KEY": "k"}, provider="openai", base_url="https://h/").base_url == "https://h"
+    assert providers.resolve({"GEMINI_API_KEY": "g", "GEMINI_MODEL": "p"}).vision_model == "p"
+
+
+@pytest.mark.parametrize("key", ["nokey", "no-key", "None", " LOCAL "])
+def test_local_keys(key):
+    found = providers.resolve({"OPENAI_API_KEY": key}, defaults={"local": "m", "openai": "hosted"})
+    assert (found.flavour, found.model, found.base_url) == ("local", "m", None)
+    assert providers.embedding_provider({"OPENAI_API_KEY": key}) == "none"
+
+
+def test_local_hosts_and_embedders():
+    found = providers.resolve({"OPENAI_API_BASE": "http://host.docker.internal:11434/v1"})
+    assert (found.flavour, found.api_key) == ("local", "ollama")
+    studio = providers.resolve({"OPENAI_API_KEY": "lm-studio"})
+    assert (studio.flavour, studio.base_url) == ("local", "http://localhost:1234/v1")
+    assert providers.resolve({"OPENAI_API_KEY": "lm-studio", "OPENAI_API_BASE": "https://far/v1"}).flavour == "openai"
+    real = {"OPENAI_API_KEY": "sk"}
+    assert [providers.embedding_provider(real, *x) for x in ((), (None, True), (None, False, True), ("Other",))] == ["openai", "openai", "sentence-transformers", "other"]
+    assert providers.embedding_provider({"EMBEDDING_PROVIDER": "openai", "OPENAI_API_KEY": "none"}) == "openai" and providers.embedding_provider({}) == "none"
+    assert providers.image_url(b"ab") == "data:image/png;base64,YWI="
+
+
+def test_vectors_are_asked_for_in_batches(spark, tmp_path):
+    class Counting:
+        width = 1
+
+        def embed(self, texts):
+            assert len(texts) <= 64
+            with open(f"{tmp_path}/asked", "a") as out:
+                out.write(f"{len(texts)}\n")
+            return [[float(t)] for t in texts]
+
+    chunks = spark.createDataFrame([("u", n, str(n)) for n in range(130)], "url string, chunk_index int, chunk string")
+    got = sorted(embedding.embedded(chunks, Counting()).collect(), key=lambda r: r["chunk_index"])
+    assert [r["vector"] for r in got] == [[float(n)] for n in range(130)]
+    assert (tmp_path / "asked").read_text().split() == ["64", "64", "2"]
+
+
+def test_health_rows_and_results(spark):
+    reports = spark.createDataFrame([("a", "u", "200.0", None, "true", ""), ("b", "u", "x", "7", None, "no")], "api_id string, url string, status_code string, latency_ms string, is_up string, error_message string")
+    assert [tuple(r)[:-1] for r in apis.health_rows(reports).orderBy("api_id").collect()] == [("a", None, "u", 200, 0, True, None), ("b", None, "u", 0, 7, False, "no")]
+    kind = "job_id string, url string, summary string, entities array<struct<name:string,type:string>>, created_at timestamp_ntz, extra int"
+    entries = spark.createDataFrame([("j", "b", "s", None, None, 1), ("j", "c", "", [], None, 1), ("j", "a", None, [("n", "T")], None, 1)], kind)
+    rows = upserts.result_rows(entries.withColumn("created_at", F.timestamp_seconds(F.ascii("url"))), 5)
+    assert rows.columns == spark.createDataFrame([], EXTRACTION_RESULTS).columns
+    assert [(r["id"], r["url"], r["data"], r["topics"], r["citations"]) for r in rows.orderBy("id").collect()] == [(6, "a", "{}", [], {}), (7, "b", "{}", [], {})]
+    many = upserts.numbered(spark.range(1000).repartition(7).withColumn("k", F.col("id") % 10), "n", "k", "id")
+    assert [(r["k"], r["id"]) for r in many.orderBy("n").collect()] == sorted((n % 10, n) for n in range(1000)) and many.agg(F.max("n"), F.count_distinct("n")).first() == (1000, 1000)
 
 
 def test_files_and_command_line(spark, tmp_path):
