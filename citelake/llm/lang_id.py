@@ -25,27 +25,28 @@ from citelake.llm.worker import tidy
 
 #: Bounds of the labelled sample that automata are built from: documents and symbols per language, and languages.
 SAMPLE_DOCS = 64
-SAMPLE_SYMBOLS = 12_000
+SAMPLE_SYMBOLS = 20_000
 MAX_LANGUAGES = 200
-#: Distinct symbols: one for any run of non-letters, one for letters beyond the most frequent ones.
-ALPHABET = 64
+#: A language's symbols at most: its own letters, and one each for any run of non-letters, for its letters beyond the
+#: most frequent ones, and for letters that its sample does not hold.  A table is as wide as its language has symbols.
+ALPHABET = 128
+GAP, RARE, FOREIGN, LETTERS = 0, 1, 2, 3
 WINDOW = 256
 UNDETERMINED = "und"
 
 
-def _symbols(points: np.ndarray, offsets: np.ndarray, tables, to_symbol: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letters lower-cased, each run of anything else as one 0; new offsets; letters in each row."""
+def _symbols(points: np.ndarray, offsets: np.ndarray, tables, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters lower-cased (as ``_known_codes`` if ``known`` are given), each run of anything else as one 0; new offsets; letters in each row."""
     is_letter, lowered = letters_lowered(points, tables)
     code = np.where(is_letter, lowered, 0)
-    if to_symbol is not None:
-        code = np.where(code < len(to_symbol), to_symbol[np.minimum(code, len(to_symbol) - 1)], 1)
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] != 0) | (code[:-1] != 0)
     if len(keep):
         keep[offsets[:-1][offsets[:-1] < len(keep)]] = True
     letters = np.concatenate([[0], np.cumsum(is_letter)])
     kept = np.concatenate([[0], np.cumsum(keep)])
-    return code[keep], kept[offsets], letters[offsets[1:]] - letters[offsets[:-1]]
+    code = code[keep] if known is None else _known_codes(code[keep], known)
+    return code, kept[offsets], letters[offsets[1:]] - letters[offsets[:-1]]
 
 
 def automaton(text: list[int], alphabet: int) -> np.ndarray:
@@ -131,23 +132,29 @@ def build(samples: dict[str, list[str]]) -> dict:
             for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True):
                 stream += [*code[a : min(b, a + each)].tolist(), 0]
         streams[lang] = stream[:SAMPLE_SYMBOLS]
-    frequent = [c for c, _ in sorted(Counter(c for s in streams.values() for c in s if c).items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2]]
-    to_symbol = np.ones(0x10000, np.int32)
-    to_symbol[0] = 0
-    for n, c in enumerate(frequent):
-        if c < len(to_symbol):
-            to_symbol[c] = n + 2
-    built, base = [], 0
-    for stream in streams.values():
-        table = automaton([int(to_symbol[c]) if c < len(to_symbol) else 1 for c in stream], ALPHABET)
-        built.append(np.where(table < 0, ~(~table + base), table + base).astype(np.int32))
-        base += len(table)
-    return {
-        "langs": list(streams),
-        "starts": np.cumsum([len(t) for t in built]) - 1 if built else np.zeros(0, np.int64),
-        "table": np.concatenate(built).reshape(-1) if built else np.zeros(0, np.int32),
-        "to_symbol": to_symbol,
-    }
+    known = np.array(sorted({c for stream in streams.values() for c in stream if c}), np.int64)
+    symbols = np.full((len(streams), len(known) + 2), FOREIGN, np.int16)
+    symbols[:, 0] = GAP
+    built, starts, base = [], [], 0
+    for n, stream in enumerate(streams.values()):
+        counts = sorted(Counter(c for c in stream if c).items(), key=lambda x: (-x[1], x[0]))
+        for place, (c, _) in enumerate(counts):
+            symbols[n, np.searchsorted(known, c) + 2] = LETTERS + place if LETTERS + place < ALPHABET else RARE
+        own = symbols[n][_known_codes(np.array(stream, np.int64), known)]
+        width = min(ALPHABET, LETTERS + len(counts))
+        table = automaton(own.tolist(), width)
+        moved = np.where(table < 0, ~(~table * width + base), table * width + base).astype(np.int32)
+        built.append(moved.reshape(-1))
+        starts.append(base + (len(table) - 1) * width)
+        base += table.size
+    return {"langs": list(streams), "starts": np.array(starts, np.int64), "table": np.concatenate(built) if built else np.zeros(0, np.int32), "known": known, "symbols": symbols}
+
+
+def _known_codes(code: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Lower-cased letters as 2 and up if any sample holds them, else 1; 0 stays."""
+    at = np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))
+    held = known[at] == code if len(known) else np.zeros(len(code), bool)
+    return np.where(code == 0, 0, np.where(held, at + 2, 1))
 
 
 def phrase_counts(model: dict, code: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -161,15 +168,16 @@ def phrase_counts(model: dict, code: np.ndarray, offsets: np.ndarray, window: in
     size = np.minimum(window, offsets[1:][row] - start)
     order = np.argsort(-size, kind="stable")
     row, start, size = row[order], start[order], size[order]
+    # a state is the place of its row in the table, where its symbols' next states stand
     state = np.repeat(model["starts"][:, None], len(row), 1).astype(np.int64)
     ended = np.zeros((langs, len(row)), np.int32)
-    table = model["table"]
+    table, symbols = model["table"], model["symbols"]
     alive = np.searchsorted(-size, -np.arange(window), "left") if len(row) else np.zeros(window, int)
     for i in range(window):
         m = int(alive[i])
         if not m:
             break
-        to = table[state[:, :m] * ALPHABET + code[start[:m] + i]]
+        to = table[state[:, :m] + symbols[:, code[start[:m] + i]]]
         stop = to < 0
         ended[:, :m] += stop
         state[:, :m] = np.where(stop, ~to, to)
@@ -186,7 +194,7 @@ def _predict(model: dict):
         langs = np.array([*model["langs"], UNDETERMINED], object)
         for batch in batches:
             for a, b, points, offsets in code_point_chunks(batch.column(1).to_pylist()):
-                code, where, letters = _symbols(points, offsets, tables, model["to_symbol"])
+                code, where, letters = _symbols(points, offsets, tables, model["known"])
                 rows = b - a
                 best, score = np.full(rows, len(langs) - 1), np.zeros(rows)
                 if len(langs) > 1:

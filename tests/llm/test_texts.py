@@ -122,12 +122,29 @@ def test_cross_parse_equals_longest_matches():
     for _ in range(30):
         sample = [rng.randrange(6) for _ in range(200)]
         text = [rng.randrange(7) for _ in range(rng.randrange(1, 90))]
-        table = lang_id.automaton(sample, lang_id.ALPHABET)
-        model = {"langs": ["x"], "starts": np.array([len(table) - 1]), "table": table.reshape(-1)}
+        table, width = lang_id.automaton(sample, 9), 9
+        places = np.where(table < 0, ~(~table * width), table * width).reshape(-1)
+        model = {"langs": ["x"], "starts": np.array([(len(table) - 1) * width]), "table": places, "symbols": np.arange(width)[None, :]}
         got = lang_id.phrase_counts(model, np.array(text), np.array([0, len(text)]), window=32)
         assert got.tolist() == [[reference_phrases(sample, text, 32)]]
 
 
+def test_scripts_have_letters_of_their_own(spark):
+    rng = random.Random(3)
+    scripts = {"el": (0x3B1, 24), "ru": (0x430, 32), "uk": (0x430, 33), "he": (0x5D0, 27), "hy": (0x561, 38), "ka": (0x10D0, 33), "zh": (0x4E00, 900), "ja": (0x3041, 80), "ko": (0xAC00, 400), "en": (97, 26), "de": (97, 26)}
+    words = {}
+    for lang, (first, n) in scripts.items():
+        letters = [chr(first + k) for k in range(n)]
+        words[lang] = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    say = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    samples = {lang: [say(lang, 300) for _ in range(20)] for lang in sorted(scripts)}
+    model = lang_id.build(samples)
+    assert len(model["known"]) > 400 and model["symbols"].max() < lang_id.ALPHABET
+    rows = [(k, say(lang, 25), lang) for k, lang in enumerate(sorted(scripts) * 6)]
+    got = {r["doc_id"]: r["lang_pred"] for r in lang_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()}
+    assert [got[k] for k, _, _ in rows] == [lang for _, _, lang in rows]
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
