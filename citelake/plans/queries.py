@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from citelake.functions import text as T
 from citelake.functions.registry import register
-from citelake.operators import apis, chunking, dedup, evaluation, export, frontier, graph, markdown, merging, page_agent, quotes, shared, structured, tree, vectors
+from citelake.operators import ann, apis, chunking, dedup, evaluation, export, frontier, graph, markdown, merging, page_agent, quotes, shared, structured, tree, vectors
 from citelake.plans.pages import page_terms
 from citelake.schemas import CHUNK_POINT
 from citelake.sources import catalogue, upserts
@@ -466,6 +466,15 @@ def cosine_neighbours(spark, d):
     return vectors.search_many(rows, rows.where("vec_id % 20 = 0"))
 
 
+@query()
+def ann_neighbours(spark, d):
+    """The neighbours of ``cosine_neighbours`` out of the index; the share of them that it finds is tested to be 0.9 or more."""
+    rows = table(spark, d, "embeddings")
+    model = ann.fit(rows)
+    indexed = shared.written(ann.index(rows, model), "index")
+    return ann.search(indexed, rows, rows.where("vec_id % 20 = 0"), model)
+
+
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def vector_count(spark, d):
     return upserts.vector_points(table(spark, d, "embeddings"), 64, "embedding").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
