@@ -90,6 +90,22 @@ def queue_states(events: DataFrame, retries: int = RETRIES) -> DataFrame:
     return state.where("queued = 1").select("url", status.alias("status"), F.least(F.col("failures"), F.lit(retries)).alias("retries"))
 
 
+def visits(attempts: DataFrame, retries: int = RETRIES) -> DataFrame:
+    """Attempts (``url, attempt, outcome``: ``ok``, ``timeout`` of the page's handler, or anything else for a page that did not
+    open) as ``url, status, retries``.
+
+    A page that did not open is tried again, up to ``retries`` times.  A handler that took too long is not: its work is done and
+    counted, so the request is complete.  Attempts after the one that decided do not count.
+    """
+    ended = F.col("outcome").isin("ok", "timeout")
+    told = attempts.groupBy("url").agg(F.min(F.when(ended, F.col("attempt"))).alias("_end"))
+    told = attempts.join(told.withColumnRenamed("url", "_url"), F.col("url") == F.col("_url")).groupBy("url", "_end").agg(
+        F.count_if(~ended & (F.col("_end").isNull() | (F.col("attempt") < F.col("_end")))).alias("failures")
+    )
+    status = F.when(F.col("failures") > retries, "dropped").when(F.col("_end").isNotNull(), "completed").otherwise("queued")
+    return told.select("url", status.alias("status"), F.least(F.col("failures"), F.lit(retries)).alias("retries"))
+
+
 def expired(locked: DataFrame, now: float, lease_seconds: float) -> DataFrame:
     """Requests whose lock is older than the lease: they go back to the queue, unlocked."""
     return locked.where(F.lit(now) - F.col("lock_time") > lease_seconds).withColumn("lock_time", F.lit(None).cast("double"))

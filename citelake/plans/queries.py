@@ -751,7 +751,10 @@ def _calls(spark, d):
     )
 
 
-@query()
+@query("""WITH m AS (SELECT event_type, CASE WHEN event_type = 'purchase' THEN 'POST' ELSE 'GET' END AS method,
+               '{"content": {"application/json": {"schema": {"properties": {"k": {"type": "integer"}}, "required": ["k"], "type": "object"}}}' AS body FROM events GROUP BY 1)
+        SELECT '/' || event_type AS path, lower(method) AS method, '{' || CASE WHEN method = 'POST' THEN '"requestBody": ' || body || '}, ' ELSE '' END
+               || '"responses": {"200": ' || body || ', "description": "Captured successful API response"}}, "summary": "Discovered ' || method || ' endpoint on api.example.org"}' AS operation FROM m""")
 def openapi_spec(spark, d):
     return apis.openapi_operations(_calls(spark, d))
 

@@ -1,6 +1,6 @@
 """Stored page fetches as a Spark data source: the connector slot in which a fetcher would stand.
 
-    spark.dataSource.register(PageSnapshots)
+    register(spark)
     spark.read.format("page_snapshots").option("path", folder).load()
     spark.readStream.format("page_snapshots").option("path", folder).load()
 
@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyarrow import fs
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition
 
 from citelake.functions import html
@@ -122,3 +123,9 @@ class PageSnapshots(DataSource):
 
     def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
         return _Stream(self._folder())
+
+
+def register(spark: SparkSession) -> None:
+    """Let ``spark`` read the source and give it filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(PageSnapshots)

@@ -339,3 +339,9 @@ def test_flagship_and_functions(spark):
 def test_settings():
     got = Settings.from_environment({"CITELAKE_CHUNK_WORDS": "20", "CITELAKE_BATCH": "x", "CITELAKE_WINDOWS": "-1"})
     assert (got.chunk_words, got.batch, got.windows) == (20, 64, 4)
+
+
+def test_visits(spark):
+    rows = [("a", n, "refused") for n in range(4)] + [("a", 4, "ok"), ("b", 0, "refused"), ("b", 1, "timeout"), ("b", 2, "refused"), ("c", 0, "refused"), ("d", 0, "ok")]
+    got = {tuple(r) for r in frontier.visits(spark.createDataFrame(rows, "url string, attempt int, outcome string")).collect()}
+    assert got == {("a", "dropped", 3), ("b", "completed", 1), ("c", "queued", 1), ("d", "completed", 0)}

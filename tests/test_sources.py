@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from citelake.sources.snapshots import PageSnapshots
+from citelake.sources import snapshots
 from citelake.streaming import subscriptions as subs
 
 STORED = "url string, status int, html string, error string"
@@ -19,8 +19,7 @@ def fetched(spark, folder, number, rows):
 
 def test_page_snapshots(spark, tmp_path):
     folder = f"file://{tmp_path}/fetched"
-    spark.dataSource.register(PageSnapshots)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    snapshots.register(spark)
     load = lambda: spark.read.format("page_snapshots").option("path", folder).load()
     assert load().count() == 0
     fetched(spark, folder, 0, [("http://a", 200, "<title> A &amp; B </title><p>x</p>", None), ("http://b", None, "half a page", "timeout"), ("http://c", 404, "<p>no</p>", None)])
