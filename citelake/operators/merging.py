@@ -117,9 +117,11 @@ def _shapes(rows: DataFrame) -> DataFrame:
     )
     found = written(found, "shapes")
     closed = found.where(F.col("entered") & (F.col("shape") != OBJECT)).select(F.col("key").alias("_key"), F.col("path").alias("_path"))
+    if not closed.take(1):
+        return found.drop("above", "entered")
     lost = found.select("key", "path", F.explode("above").alias("up")).join(closed, F.col("key").eqNullSafe(F.col("_key")) & (F.col("up") == F.col("_path")), "left_semi")
     lost = lost.select(F.col("key").alias("_key"), F.col("path").alias("_path")).distinct()
-    return found.join(lost, _on("key", "path"), "left_anti").drop("above", "entered")
+    return written(found.join(lost, _on("key", "path"), "left_anti").drop("above", "entered"), "counting")
 
 
 def _scalars(rows: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -135,7 +137,6 @@ def _scalars(rows: DataFrame, shapes: DataFrame) -> DataFrame:
     now = events.where(F.col("at") == F.col("since")).select("key", "path", "since", F.col("same").alias("value"))
     settled = None
     while True:
-        now = written(now, "values")
         held = events.drop("since", "value", "leaf").join(_renamed(now, "key", "path"), _on("key", "path")).where(F.col("at") >= F.col("since"))
         is_it = F.col("same") == F.col("value")
         doubt = held.groupBy("key", "path", "value", "since").agg(
@@ -180,7 +181,7 @@ def _items(rows: DataFrame, shapes: DataFrame) -> DataFrame:
 def merged_values(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The merge of place rows: values (``key, path, first, shape, place, value``) and leaves (``key, pointer, value, quotes, cited, unverified``)."""
     rows = written(rows, "places")
-    shapes = written(_shapes(rows), "counting")
+    shapes = _shapes(rows)
     scalars, items = _scalars(rows, shapes), _items(rows, shapes)
     cells = written(scalars.withColumn("item", F.lit(-1)).unionByName(items), "cells")
     pointer = F.concat("path", F.coalesce(F.concat(F.lit("/"), F.col("place").cast("string")), F.lit("")), F.col("leaf.below"))

@@ -224,6 +224,40 @@ def near_dup_pairs(spark, d):
     return dedup.similar_pairs(dedup.shingle_sets(table(spark, d, "documents")))
 
 
+#: Every fourth document in three versions: as it is, and with one word in seventy replaced in two ways.
+_PLANTED = f"""v AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE doc_id % 4 = 0),
+        planted AS (SELECT doc_id * 10 + c AS doc_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN c > 0 AND (i - 1) % 70 = 10 * c THEN 'edit' || c ELSE x END), ' ') AS text FROM v, (SELECT unnest([0, 1, 2]) AS c))"""
+_PLANTED_SHINGLES = f"WITH {_PLANTED}, " + _SHINGLES.removeprefix("WITH ").replace("FROM documents", "FROM planted")
+
+
+def _planted(spark, d):
+    words = table(spark, d, "documents").where("doc_id % 4 = 0").select("doc_id", T.words(F.col("text")).alias("w"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("c"))
+    edited = F.transform("w", lambda x, i: F.when((F.col("c") > 0) & (i % 70 == 10 * F.col("c")), F.concat(F.lit("edit"), F.col("c").cast("string"))).otherwise(x))
+    return words.select((F.col("doc_id") * 10 + F.col("c")).alias("doc_id"), F.array_join(edited, " ").alias("text"))
+
+
+@query(f"""{_PLANTED_SHINGLES}, u AS (SELECT min(doc_id) AS id, any_value(s) AS s FROM s WHERE chars >= 40 AND len(s) > 0 GROUP BY list_sort(s)),
+        f AS (SELECT id, len(s) AS n, unnest(s) AS m FROM u),
+        p AS (SELECT x.id AS a, y.id AS b, count(*) AS shared, any_value(x.n) + any_value(y.n) - count(*) AS total FROM f x JOIN f y ON x.m = y.m AND x.id < y.id GROUP BY ALL)
+        SELECT a, b, shared::INTEGER AS shared, total::INTEGER AS total FROM p WHERE shared * 100 >= total * 85""")
+def planted_pairs(spark, d):
+    """Similar pairs among documents and edited copies of them."""
+    return dedup.similar_pairs(dedup.shingle_sets(_planted(spark, d)))
+
+
+@query(f"""{_PLANTED_SHINGLES.replace("WITH v", "WITH RECURSIVE v")}, c AS (SELECT doc_id, list_sort(s) AS s FROM s WHERE chars >= 40 AND len(s) > 0),
+        f AS (SELECT doc_id AS id, len(s) AS n, unnest(s) AS m FROM c),
+        p AS (SELECT x.id AS a, y.id AS b FROM f x JOIN f y ON x.m = y.m AND x.id < y.id GROUP BY ALL HAVING count(*) * 100 >= (any_value(x.n) + any_value(y.n) - count(*)) * 85),
+        o AS (SELECT id, row_number() OVER (ORDER BY id) AS i, coalesce((SELECT list(a) FROM p WHERE b = id), []) AS earlier FROM (SELECT a AS id FROM p UNION SELECT b FROM p)),
+        r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept
+              UNION ALL SELECT o.i, CASE WHEN len(list_intersect(r.kept, o.earlier)) = 0 THEN list_append(r.kept, o.id) ELSE r.kept END FROM r JOIN o ON o.i = r.i + 1),
+        k AS (SELECT kept FROM r ORDER BY i DESC LIMIT 1)
+        SELECT doc_id, doc_id NOT IN (SELECT id FROM o) OR list_contains((SELECT kept FROM k), doc_id) AS kept FROM planted""")
+def planted_kept(spark, d):
+    """Which of them stay when each is compared with the kept ones before it: the second edit of a text is near its first, and both are near the text."""
+    return dedup.greedy_keep(_planted(spark, d))
+
+
 @query(f"""{_SHINGLES.replace("WITH w", "WITH RECURSIVE w")}, c AS (SELECT doc_id, list_sort(s) AS s FROM s WHERE chars >= 40 AND len(s) > 0),
         u AS (SELECT min(doc_id) AS id, s FROM c GROUP BY s), f AS (SELECT id, len(s) AS n, unnest(s) AS m FROM u),
         p AS (SELECT x.id AS a, y.id AS b FROM f x JOIN f y ON x.m = y.m AND x.id < y.id GROUP BY ALL HAVING count(*) * 100 >= (any_value(x.n) + any_value(y.n) - count(*)) * 85),
@@ -829,25 +863,30 @@ def percentile_nearest_rank(spark, d):
     return table(spark, d, "orders").groupBy("o_orderpriority").agg(rank("o_totalprice", 0.5).alias("p50"), rank("o_totalprice", 0.95).alias("p95"))
 
 
-_SCORES = """part_scores AS (SELECT p_brand AS fixture, p_partkey % 64 AS slot, count(*) AS n, count(*) FILTER (p_partkey % 10 = 0) AS wrong FROM part GROUP BY ALL),
-        scores AS (SELECT fixture, slot, 2 * n - wrong AS tp, wrong AS fp, wrong AS fn, round((2 * n - wrong) / (2 * n), 4) AS precision, round((2 * n - wrong) / (2 * n), 4) AS recall,
-                   round((2 * n - wrong) / (2 * n), 4) AS f1, n AS gold_records, n AS predicted_records, n AS matched_records, 0::BIGINT AS invented_records FROM part_scores)"""
+_SCORES = """part_scores AS (SELECT p_brand AS fixture, p_partkey % 64 AS slot, count(*) AS n, count(*) FILTER (p_partkey % 7 = 0) AS lost, count(*) FILTER (p_partkey % 9 = 0) AS added,
+                   count(*) FILTER (p_partkey % 10 = 0 AND p_partkey % 7 <> 0) AS wrong FROM part GROUP BY ALL),
+        hits AS (SELECT *, 2 * (n - lost) - wrong AS tp, wrong + 2 * added AS fp, wrong + 2 * lost AS fn FROM part_scores),
+        shares AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM hits),
+        scores AS (SELECT fixture, slot, tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 4) AS f1,
+                   n AS gold_records, n - lost + added AS predicted_records, n - lost AS matched_records, added AS invented_records FROM shares)"""
 
 
 @query(f"WITH {_SCORES} SELECT * FROM scores")
 def score_records(spark, d):
-    """Each brand's parts as gold records, and the same parts with prices that some tolerance admits as predictions."""
+    """Each brand's parts as gold records, and most of them with prices that some tolerance admits as predictions, some wrong, some invented."""
     task = json.dumps({"records_field": "parts", "key": "name", "fields": ["name", "price"]})
     rows = table(spark, d, "part").withColumn("_price", F.col("p_retailprice").cast("decimal(12,2)").cast("string"))
     gold = F.to_json(F.sort_array(F.collect_list(F.struct(F.col("p_partkey").cast("string").alias("name"), F.col("_price").alias("price")))))
     guess = F.when(F.col("p_partkey") % 10 == 0, "0").otherwise(F.concat(F.lit("$"), "_price"))
-    data = F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(F.col("p_partkey").cast("string").alias("name"), guess.alias("price")))).alias("parts")))
+    told = F.when(F.col("p_partkey") % 7 != 0, F.struct(F.col("p_partkey").cast("string").alias("name"), guess.alias("price")))
+    added = F.when(F.col("p_partkey") % 9 == 0, F.struct(F.lit("extra").alias("name"), F.lit("1").alias("price")))
+    data = F.to_json(F.struct(F.concat(F.sort_array(F.collect_list(told)), F.sort_array(F.collect_list(added))).alias("parts")))
     fixtures = rows.groupBy(F.col("p_brand").alias("fixture"), (F.col("p_partkey") % 64).alias("slot")).agg(gold.alias("gold"), data.alias("data"))
     return evaluation.score_fixtures(fixtures.withColumn("task", F.lit(task)))
 
 
 @query(f"""WITH {_SCORES} SELECT count(*) AS fixtures, round(sum(tp) / sum(tp + fp), 4) AS precision, round(sum(tp) / sum(tp + fn), 4) AS recall,
-        round(sum(tp) / sum(tp + fp), 4) AS f1, round(avg(f1), 4) AS macro_f1, 0::BIGINT AS invented_records FROM scores""")
+        round(2 * sum(tp) / sum(2 * tp + fp + fn), 4) AS f1, round(avg(f1), 4) AS macro_f1, sum(invented_records)::BIGINT AS invented_records FROM scores""")
 def score_summary(spark, d):
     return evaluation.summarise(score_records(spark, d))
 
