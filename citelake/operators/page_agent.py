@@ -38,7 +38,7 @@ def unwrapped(reply: Column) -> Column:
     inner = _of(one, "action")
     inside = F.startswith(F.trim(inner), F.lit("{")) & _of(one, "type").isNull()
     found = F.when(inside, inner).otherwise(one)
-    return F.when(F.startswith(F.trim(found), F.lit("{")) & F.expr("true"), found)
+    return F.when(F.startswith(F.trim(found), F.lit("{")), found)
 
 
 def actions(replies: DataFrame, elements: DataFrame) -> DataFrame:

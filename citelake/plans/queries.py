@@ -342,7 +342,19 @@ def point_ids(spark, d):
 # --- pages ----------------------------------------------------------------------------------------------------
 
 
-@query()
+#: The stored pages' Markdown: a comment, a box, a heading and paragraphs; bold text that is never closed holds all later paragraphs.
+_MARKDOWN = r"""html AS (SELECT page_id, url, regexp_extract(html, '<!--(.*?)-->', 1, 's') AS note, regexp_extract(html, '<div class="ad">(.*?)</div>', 1, 's') AS box,
+               regexp_extract(html, '<h1>(.*?)</h1>', 1, 's') AS h, string_split(regexp_extract(html, '</h1>(.*?)</article>', 1, 's'), '<p>')[2:] AS ps FROM pages),
+        cut AS (SELECT page_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM html),
+        told AS (SELECT page_id, i, starts_with(p, '<b>') AS bold, regexp_replace(regexp_replace(p, '^<b>', ''), '(</p>|<br>).*$', '', 's') AS t FROM cut),
+        found AS (SELECT *, min(i) FILTER (WHERE bold) OVER (PARTITION BY page_id) AS f FROM told),
+        loose AS (SELECT page_id, string_agg(trim(regexp_replace(t, '\s+', ' ', 'g')), chr(10) || chr(10) ORDER BY i) AS t FROM found WHERE (f IS NULL OR i < f) AND trim(t) <> '' GROUP BY 1),
+        held AS (SELECT page_id, rtrim(regexp_replace(string_agg(CASE WHEN bold THEN '**' || ltrim(t) || ' ' ELSE t END, '' ORDER BY i), '\s+', ' ', 'g')) || repeat('**', count(*) FILTER (WHERE bold)::BIGINT) AS t FROM found WHERE i >= f GROUP BY 1),
+        markdown AS (SELECT page_id, url, replace(replace(concat_ws(chr(10) || chr(10), nullif(trim(note), ''), nullif(trim(box), ''), '# ' || nullif(trim(regexp_replace(h, '\s+', ' ', 'g')), ''), loose.t, held.t), '&quot;', '"'), '&amp;', '&') AS markdown
+               FROM html LEFT JOIN loose USING (page_id) LEFT JOIN held USING (page_id))"""
+
+
+@query(f"WITH {_MARKDOWN} SELECT page_id, url, markdown FROM markdown")
 def page_markdown(spark, d):
     return markdown.page_markdown(table(spark, d, "pages"))
 
@@ -414,7 +426,18 @@ def extract_links(spark, d):
     return frontier.link_table(table(spark, d, "pages")).select("url", "link")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_MARKDOWN}, md AS (SELECT page_id AS doc_id, markdown AS text FROM markdown WHERE length(markdown) > 0),
+        {_SHINGLES.removeprefix("WITH ").replace("FROM documents", "FROM md")}, c AS (SELECT doc_id, list_sort(s) AS s FROM s WHERE chars >= 40 AND len(s) > 0),
+        f AS (SELECT doc_id AS id, len(s) AS n, unnest(s) AS m FROM c),
+        p AS (SELECT x.id AS a, y.id AS b FROM f x JOIN f y ON x.m = y.m AND x.id < y.id GROUP BY ALL HAVING count(*) * 100 >= (any_value(x.n) + any_value(y.n) - count(*)) * 85),
+        o AS (SELECT id, row_number() OVER (ORDER BY id) AS i, coalesce((SELECT list(a) FROM p WHERE b = id), []) AS earlier FROM (SELECT a AS id FROM p UNION SELECT b FROM p)),
+        r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept
+              UNION ALL SELECT o.i, CASE WHEN len(list_intersect(r.kept, o.earlier)) = 0 THEN list_append(r.kept, o.id) ELSE r.kept END FROM r JOIN o ON o.i = r.i + 1),
+        k AS (SELECT kept FROM r ORDER BY i DESC LIMIT 1),
+        t AS (SELECT doc_id, len(w) AS total, unnest(w) AS term FROM w WHERE doc_id NOT IN (SELECT id FROM o) OR list_contains((SELECT kept FROM k), doc_id)),
+        g AS (SELECT doc_id, term, any_value(total) AS total, count(*) AS n FROM t GROUP BY 1, 2),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS rank FROM g)
+        SELECT doc_id AS page_id, url, (total + 149) // 150 AS chunks, rank::INTEGER AS rank, term, n, n / total AS tf FROM ranked JOIN markdown ON page_id = doc_id WHERE rank <= 10""")
 def flagship_page_terms(spark, d):
     return page_terms(table(spark, d, "pages"))
 
