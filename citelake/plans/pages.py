@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelake.operators.chunking import chunk_table, top_terms
+from citelake.functions.text import chunks
+from citelake.operators.chunking import top_terms
 from citelake.operators.dedup import exact_keep, greedy_keep
 from citelake.operators.frontier import allowed, expand, link_table, within_cap
 from citelake.operators.markdown import page_markdown
@@ -27,9 +28,8 @@ def page_terms(pages: DataFrame, k: int = 10) -> DataFrame:
     ``page_id, url, chunks, rank, term, n, tf``: the ``k`` most frequent terms of each distinct page.
     """
     kept = written(distinct_pages(pages), "distinct")
-    sizes = chunk_table(kept, "page_id", "markdown").groupBy("page_id").agg(F.count(F.lit(1)).alias("chunks"))
-    terms = top_terms(kept, k, "page_id", "markdown")
-    return kept.select("page_id", "url").join(sizes, "page_id").join(terms, "page_id").select("page_id", "url", "chunks", "rank", "term", "n", "tf")
+    pages = kept.select("page_id", "url", F.size(chunks(F.col("markdown"))).cast("long").alias("chunks"))
+    return pages.join(top_terms(kept, k, "page_id", "markdown"), "page_id").select("page_id", "url", "chunks", "rank", "term", "n", "tf")
 
 
 def crawl(pages: DataFrame, seed: str, max_depth: int = 1, max_pages: int = 50, robots: DataFrame | None = None) -> DataFrame:
