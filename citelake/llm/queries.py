@@ -123,6 +123,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_ngram_join": op13_ngram_join,
 }
 
+#: Documents by sets of runs of k words, linked pairs, and the smallest id that links reach.
+_LINKED = r"""
+        WITH RECURSIVE read AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        cut AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < <k> THEN [array_to_string(w, ' ')]
+                                ELSE list_distinct(list_transform(range(1, len(w) - <k> + 2), lambda i: array_to_string(w[i:i + <k> - 1], ' '))) END AS s
+            FROM read),
+        each AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS m FROM cut),
+        links AS (
+            SELECT x.doc_id AS a, y.doc_id AS b
+            FROM each x JOIN each y ON x.m = y.m AND x.doc_id <> y.doc_id AND x.n * 100 >= y.n * 80 AND y.n * 100 >= x.n * 80
+            GROUP BY ALL HAVING count(*) * 100 >= (any_value(x.n) + any_value(y.n) - count(*)) * 80),
+        reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+        joined AS (SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(l.b, doc_id)) AS component_id FROM cut LEFT JOIN least l ON l.a = doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op6_exact_dedup": """
         SELECT doc_id,
@@ -173,25 +193,8 @@ ORACLE_SQL: dict[str, str] = {
             FROM replayed GROUP BY ALL)
         SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM summed
     """,
-    "op13_ngram_join": r"""
-        WITH RECURSIVE read AS (
-            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                              '[^\x20\x09-\x0D]+') AS w
-            FROM documents),
-        cut AS (
-            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-                                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
-            FROM read),
-        each AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS m FROM cut),
-        links AS (
-            SELECT x.doc_id AS a, y.doc_id AS b
-            FROM each x JOIN each y ON x.m = y.m AND x.doc_id <> y.doc_id
-            GROUP BY ALL HAVING count(*) * 100 >= (any_value(x.n) + any_value(y.n) - count(*)) * 80),
-        reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
-        least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
-        SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(l.b, doc_id)) AS component_id
-        FROM cut LEFT JOIN least l ON l.a = doc_id
-    """,
+    "op2_near_dedup": _LINKED.replace("<k>", "2") + "SELECT *, doc_id = component_id AS kept FROM joined",
+    "op13_ngram_join": _LINKED.replace("<k>", "5") + "SELECT * FROM joined",
     "op5_mix_sources": r"""
         WITH rows AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
