@@ -49,9 +49,7 @@ def automaton(name: str, patterns: list[str]):
 
 def _walk(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from citelake.operators import quotes
-
-        found = quotes.automaton(block.value[0], block.value[1])
+        found = automaton(*block.value)
         for batch in batches:
             rows, patterns, places = [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
