@@ -16,8 +16,10 @@ task needs a whole job.  New parts are new rows: a stream appends them, and the
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,13 @@ from citelake.operators.shared import written
 
 QUOTE = "struct<quote:string,url:string>"
 LEAF = f"struct<below:string,value:string,cited:boolean,doubtful:boolean,quotes:array<{QUOTE}>>"
-PLACES = f"path:string,above:array<string>,pos:int,kind:string,item:int,again:boolean,same:string,value:string,leaves:array<{LEAF}>"
+PLACES = f"path string, above array<string>, pos int, kind string, item int, again boolean, same string, value string, leaves array<{LEAF}>"
+_QUOTE = pa.struct([("quote", pa.string()), ("url", pa.string())])
+_LEAF = pa.struct([("below", pa.string()), ("value", pa.string()), ("cited", pa.bool_()), ("doubtful", pa.bool_()), ("quotes", pa.list_(_QUOTE))])
+_ARROW = {
+    "path": pa.string(), "above": pa.list_(pa.string()), "pos": pa.int32(), "kind": pa.string(), "item": pa.int32(), "again": pa.bool_(),
+    "same": pa.string(), "value": pa.string(), "leaves": pa.list_(_LEAF),
+}
 #: What a place can hold; ``item`` is an item of the list at the place.
 EMPTY, SCALAR, LIST, OBJECT, ITEM = "empty", "scalar", "list", "object", "item"
 
@@ -80,16 +88,22 @@ def place_rows(parts: DataFrame, key: str, *order: str) -> DataFrame:
     """Rows ``key, at, path, above, pos, kind, item, again, same, value, leaves`` of parts (``key``, the ``order`` columns, ``data,
     citations, unverified``); ``at`` is the part's place in the order.  Works on streams too."""
 
-    @F.pandas_udf(f"array<struct<{PLACES}>>")
-    def cut(data: pd.Series, citations: pd.Series, unverified: pd.Series) -> pd.Series:
-        out = []
-        for d, c, u in zip(data, citations, unverified, strict=True):
-            cited = {p: [q if isinstance(q, dict) else q.asDict() for q in v] for p, v in (dict(c) if c is not None else {}).items()}
-            out.append(places(json.loads(d) if d else None, cited, set(u) if u is not None else set()))
-        return pd.Series(out)
+    told = parts.select(F.col(key).alias("key"), F.struct(*order).alias("at"), "data", "citations", "unverified")
+    kinds = {name: told.schema[name].dataType.simpleString() for name in ("key", "at")}
+    return told.mapInArrow(_cut, f"key {kinds['key']}, at {kinds['at']}, {PLACES}")
 
-    cells = parts.select(F.col(key).alias("key"), F.struct(*order).alias("at"), F.explode(cut("data", "citations", "unverified")).alias("_p"))
-    return cells.select("key", "at", "_p.*")
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, citations, unverified = (batch.column(n).to_pylist() for n in (2, 3, 4))
+        rows, of = [], []
+        for n, (d, c, u) in enumerate(zip(data, citations, unverified, strict=True)):
+            found = places(json.loads(d) if d else None, {p: q or [] for p, q in c or ()}, set(u or ()))
+            rows += found
+            of += [n] * len(found)
+        at = pa.array(of, pa.int64())
+        columns = [pa.array([r[name] for r in rows], kind) for name, kind in _ARROW.items()]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["key", "at", *_ARROW])
 
 
 def _on(*names: str) -> Column:
@@ -135,21 +149,23 @@ def _scalars(rows: DataFrame, shapes: DataFrame) -> DataFrame:
     events = events.select("key", "path", "at", "since", "same", "value", F.col("leaves")[0].alias("leaf"))
     events = written(events.select("*", F.col("leaf.cited").alias("cited"), F.col("leaf.doubtful").alias("doubtful")), "events")
     now = events.where(F.col("at") == F.col("since")).select("key", "path", "since", F.col("same").alias("value"))
-    settled = None
+    settled, live = None, events.drop("since", "value", "leaf")
     while True:
-        held = events.drop("since", "value", "leaf").join(_renamed(now, "key", "path"), _on("key", "path")).where(F.col("at") >= F.col("since"))
+        held = live.join(_renamed(now, "key", "path"), _on("key", "path")).where(F.col("at") >= F.col("since"))
         is_it = F.col("same") == F.col("value")
         doubt = held.groupBy("key", "path", "value", "since").agg(
             F.min(F.when(is_it & F.col("doubtful") & ~F.col("cited"), F.col("at"))).alias("doubted"), F.min(F.when(is_it & F.col("cited"), F.col("at"))).alias("proven")
         )
         doubt = doubt.where("doubted is not null and (proven is null or doubted < proven)").select("key", "path", F.col("value").alias("was"), "doubted")
-        after = events.join(_renamed(doubt, "key", "path"), _on("key", "path")).where((F.col("at") > F.col("doubted")) & ~F.col("doubtful") & (F.col("same") != F.col("was")))
+        after = live.join(_renamed(doubt, "key", "path"), _on("key", "path")).where((F.col("at") > F.col("doubted")) & ~F.col("doubtful") & (F.col("same") != F.col("was")))
         moved = written(after.groupBy("key", "path").agg(F.min("at").alias("since"), F.min_by("same", "at").alias("value")), "moved")
         rest = now.join(_renamed(moved.select("key", "path"), "key", "path"), _on("key", "path"), "left_anti")
         settled = rest if settled is None else settled.unionByName(rest)
         if not moved.take(1):
             break
         now = moved
+        begun = _renamed(moved.select("key", "path", F.col("since").alias("from")), "key", "path")
+        live = written(live.join(begun, _on("key", "path")).where(F.col("at") >= F.col("from")).select(live.columns), "live")
     last = _renamed(settled.withColumnRenamed("value", "is").withColumnRenamed("since", "begun"), "key", "path")
     events = events.join(last, _on("key", "path")).where((F.col("same") == F.col("is")) & (F.col("at") >= F.col("begun")))
     return events.select("key", "path", "at", F.lit(None).cast("int").alias("place"), "value", F.array("leaf").alias("leaves"))
