@@ -69,3 +69,10 @@ def test_links_are_absolute_unique_and_on_the_same_host():
 
 def test_title():
     assert title("<head><title> T  x </title></head>") == "T x" and title(None) == ""
+
+
+def test_references_without_a_semicolon():
+    page = "<h1>a&amp;&amp</h1><p>x &lt;y&gt &#65 <a href='/p?a=1&copy=2&amp;b'>&am</a> &</p><!-- &amp -->"
+    assert to_markdown(page).startswith("# a&&\n\nx <y> A [&am](/p?a=1")
+    assert to_markdown(page, loose=False) == "# a&&amp\n\nx <y&gt &#65 [&am](/p?a=1&copy=2&b) &\n\n&amp"
+    assert title("<title>a &quot;b&quot</title>", loose=False) == 'a "b&quot'
