@@ -20,15 +20,15 @@ TEXT, NOTE = "#text", "#note"
 CELLS = ("td", "th")
 
 
-def node_rows(pages: DataFrame, page: str, source: str = "html") -> DataFrame:
+def node_rows(pages: DataFrame, page: str, source: str = "html", loose: bool = True) -> DataFrame:
     """``page, pre, last, depth, tag, text, href, above`` for every node of every page; an empty or null page has none.
 
-    Write it once for several rules.
+    Write it once for several rules.  ``loose`` as in :mod:`citelake.functions.html`.
     """
 
     @F.pandas_udf(f"array<struct<{NODE}>>")
     def cut(sources: pd.Series) -> pd.Series:
-        return sources.map(html.numbered)
+        return sources.map(lambda source: html.numbered(source, loose))
 
     return pages.select(page, F.explode(cut(source)).alias("_n")).select(page, "_n.*")
 
