@@ -215,6 +215,6 @@ def page_fetches(spark, d):
     for number in range(3):
         pages.where(F.col("_round") == number).drop("_round").write.parquet(f"{folder}/{number}")
     snapshots.register(spark)
-    found = spark.read.format("page_snapshots").option("path", folder).load()
+    found = spark.read.format("page_snapshots").option("path", folder).option("loose", "false").load()
     none = F.lit("none")
     return found.select("round", "url", F.coalesce("title", none).alias("title"), F.coalesce("status", F.lit(0)).alias("status"), F.coalesce("error", none).alias("error"))

@@ -7,7 +7,8 @@
 A folder holds numbered folders, one for each round of fetching, with Parquet files of ``url, status, html, error``.  Files are the
 partitions; a stream's offset is the number of the last round, and a round is read once it is named complete (a file ``_SUCCESS``, as
 Spark's writers leave it).  A fetch that failed is a row with its error and without a page.  Filters for one URL or status reach the files.
-The folder is opened by its URI on the executors (local, HDFS, S3 as pyarrow knows them).
+The folder is opened by its URI on the executors (local, HDFS, S3 as pyarrow knows them).  With the option ``loose`` set to ``false`` titles
+keep character references without a semicolon as they are written.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def rounds(folder: str) -> dict[int, list[str]]:
     return found
 
 
-def read_file(folder: str, part: File, equal: dict[str, object]) -> Iterator[pa.RecordBatch]:
+def read_file(folder: str, part: File, equal: dict[str, object], loose: bool = True) -> Iterator[pa.RecordBatch]:
     """The rows of a file whose columns equal the given values, in batches."""
     system, _ = fs.FileSystem.from_uri(folder)
     wanted = None
@@ -56,18 +57,18 @@ def read_file(folder: str, part: File, equal: dict[str, object]) -> Iterator[pa.
         wanted = test if wanted is None else wanted & test
     for batch in ds.dataset(part.path, schema=_STORED, filesystem=system, format="parquet").to_batches(filter=wanted, batch_size=256):
         if batch.num_rows:
-            failed = pc.is_valid(batch["error"])
-            pages = pc.if_else(failed, pa.scalar(None, pa.string()), batch["html"])
-            titles = pa.array([None if page is None else html.title(page) for page in pages.to_pylist()], pa.string())
+            # not by pc.if_else: over slices of a column it can give texts cut at other places
+            pages = [page if error is None else None for page, error in zip(batch["html"].to_pylist(), batch["error"].to_pylist(), strict=True)]
+            titles = [None if page is None else html.title(page, loose) for page in pages]
             yield pa.RecordBatch.from_arrays(
-                [batch["url"], pa.array([part.round] * batch.num_rows, pa.int64()), batch["status"], titles, pages, batch["error"]],
+                [batch["url"], pa.array([part.round] * batch.num_rows, pa.int64()), batch["status"], pa.array(titles, pa.string()), pa.array(pages, pa.string()), batch["error"]],
                 names=["url", "round", "status", "title", "html", "error"],
             )
 
 
 class _Batch(DataSourceReader):
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, loose: bool):
+        self.folder, self.loose = folder, loose
         self.equal: dict[str, object] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802  Spark's name
@@ -82,12 +83,12 @@ class _Batch(DataSourceReader):
         return [File(path, number) for number, files in sorted(rounds(self.folder).items()) for path in files]
 
     def read(self, partition: File) -> Iterator[pa.RecordBatch]:
-        return read_file(self.folder, partition, self.equal) if isinstance(partition, File) else iter(())
+        return read_file(self.folder, partition, self.equal, self.loose) if isinstance(partition, File) else iter(())
 
 
 class _Stream(DataSourceStreamReader):
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, loose: bool):
+        self.folder, self.loose = folder, loose
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"round": -1}
@@ -100,7 +101,7 @@ class _Stream(DataSourceStreamReader):
         return [File(path, number) for number, files in sorted(rounds(self.folder).items()) if start["round"] < number <= end["round"] for path in files]
 
     def read(self, partition: File) -> Iterator[pa.RecordBatch]:
-        return read_file(self.folder, partition, {})
+        return read_file(self.folder, partition, {}, self.loose)
 
 
 class PageSnapshots(DataSource):
@@ -118,11 +119,14 @@ class PageSnapshots(DataSource):
             raise ValueError("page_snapshots needs the option path")
         return self.options["path"]
 
+    def _loose(self) -> bool:
+        return self.options.get("loose", "true").lower() != "false"
+
     def reader(self, schema) -> DataSourceReader:
-        return _Batch(self._folder())
+        return _Batch(self._folder(), self._loose())
 
     def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
-        return _Stream(self._folder())
+        return _Stream(self._folder(), self._loose())
 
 
 def register(spark: SparkSession) -> None:

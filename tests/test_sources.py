@@ -79,3 +79,18 @@ def test_events_reach_subscribers_once_and_in_order(spark, tmp_path):
     states = {(r["subscriber"], r["job_id"]): r["state"] for r in table.read().collect()}
     assert states[("late", "b")] == "done" and {states[p] for p in told} <= {"done", "dropped"}
     assert table.read().where(F.col("state") == "open").count() == 0
+
+
+def test_titles_of_long_pages_with_failures_between(tmp_path):
+    """Rows of failed fetches in a batch that does not begin where its column does; a title that is cut within a reference."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pages = [f"<title>é{'ü' * (n % 50)}{n} &amp;&amp</title><p>{'ñ' * 999}</p>" for n in range(1000)]
+    errors = ["timeout" if n % 7 == 0 else None for n in range(1000)]
+    stored = {"url": [str(n) for n in range(1000)], "status": pa.array([200] * 1000, pa.int32()), "html": pages, "error": pa.array(errors, pa.string())}
+    pq.write_table(pa.table(stored), tmp_path / "x.parquet")
+    for loose, end in ((True, "&&"), (False, "&&amp")):
+        batches = snapshots.read_file(f"file://{tmp_path}", snapshots.File(str(tmp_path / "x.parquet"), 0), {}, loose)
+        got = [(r["title"], r["html"], r["error"]) for b in batches for r in b.to_pylist()]
+        assert got == [(None, None, "timeout") if n % 7 == 0 else (f"é{'ü' * (n % 50)}{n} {end}", pages[n], None) for n in range(1000)]
