@@ -96,12 +96,14 @@ def page_nodes(pages: DataFrame) -> DataFrame:
 def mention_edges(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored entities and the pages that mention them, out of pages' entities (``url, entities, at``).
 
-    Entities: ``name, type, first_at, last_at`` by exact trimmed name, the last type given stays.  Edges:
-    ``url, name, mentions, last_at``, one for each page and entity however often the page was stored.
+    Entities: ``name, type, first_at, last_at`` by exact trimmed name, the last type given stays.  Where ``pages`` have a ``place``
+    (and ``at`` is a number), the first by it stays of pages of one time.  Edges: ``url, name, mentions, last_at``, one for each page
+    and entity however often the page was stored.
     """
-    rows = pages.where("trim(url) <> ''").select("url", "at", F.posexplode("entities").alias("n", "e"))
-    rows = rows.select("url", "at", "n", F.trim("e.name").alias("name"), F.upper(F.coalesce(F.nullif(F.trim("e.type"), F.lit("")), F.lit("ENTITY"))).alias("type")).where("name <> ''")
-    entities = rows.groupBy("name").agg(F.max_by("type", F.struct("at", "n")).alias("type"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    placed = "place" in pages.columns
+    rows = pages.where("trim(url) <> ''").select("url", "at", (F.col("place") if placed else F.lit(0)).alias("place"), F.posexplode("entities").alias("n", "e"))
+    rows = rows.select("url", "at", "place", "n", F.trim("e.name").alias("name"), F.upper(F.coalesce(F.nullif(F.trim("e.type"), F.lit("")), F.lit("ENTITY"))).alias("type")).where("name <> ''")
+    entities = rows.groupBy("name").agg((F.min_by("type", F.struct(-F.col("at"), "place", -F.col("n"))) if placed else F.max_by("type", F.struct("at", "n"))).alias("type"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
     edge_rows = rows.groupBy("url", "name").agg(F.count_distinct("at").alias("mentions"), F.max("at").alias("last_at"))
     return entities, edge_rows
 

@@ -13,6 +13,7 @@ from citelake.functions import text as T
 from citelake.functions.registry import register
 from citelake.operators import apis, chunking, dedup, evaluation, export, frontier, graph, markdown, structured, vectors
 from citelake.operators.quotes import quotes_on_page
+from citelake.plans import queries as plans
 from citelake.plans.pages import crawl, page_terms
 from citelake.session import Settings
 from citelake.sources import catalogue, upserts
@@ -345,3 +346,33 @@ def test_visits(spark):
     rows = [("a", n, "refused") for n in range(4)] + [("a", 4, "ok"), ("b", 0, "refused"), ("b", 1, "timeout"), ("b", 2, "refused"), ("c", 0, "refused"), ("d", 0, "ok")]
     got = {tuple(r) for r in frontier.visits(spark.createDataFrame(rows, "url string, attempt int, outcome string")).collect()}
     assert got == {("a", "dropped", 3), ("b", "completed", 1), ("c", "queued", 1), ("d", "completed", 0)}
+
+
+def test_target_urls_take_numbers_of_a_host_whole(spark):
+    assert one(spark, T.target_url(F.lit("10.0.0.1063/x"))) == "http://10.0.0.1063/x"
+    assert one(spark, T.target_url(F.lit("see 10.0.0.1 now"))) == "http://10.0.0.1"
+
+
+def _stored(spark, folder, **tables):
+    for name, (values, schema) in tables.items():
+        spark.createDataFrame(values, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return f"file://{folder}"
+
+
+def test_links_of_a_url_that_is_stored_twice(spark, tmp_path):
+    html = "<a href=\"/x\">x</a><a href=\"/in\">y</a>"
+    d = _stored(spark, tmp_path, pages=([(1, "http://h/", html), (2, "http://h/", html)], "page_id long, url string, html string"))
+    assert sorted(rows(plans.QUERIES["extract_links"](spark, d))) == [("http://h/", "http://h/in"), ("http://h/", "http://h/x")]
+    assert sorted(rows(plans.QUERIES["robots_links"](spark, d))) == [("http://h/", "http://h/in"), ("http://h/", "http://h/x")]
+
+
+def test_latencies_are_rounded_half_to_even(spark, tmp_path):
+    d = _stored(spark, tmp_path, events=([(n, "view", 1.25) for n in range(3)], "event_id long, event_type string, value double"))
+    assert rows(plans.QUERIES["health_rollup"](spark, d)) == [("view", 3, 1.0, 12, 12)]
+
+
+def test_entities_of_lines_with_one_number(spark, tmp_path):
+    d = _stored(spark, tmp_path, part=([(1, "b")], "p_partkey long, p_brand string"), lineitem=(
+        [(1, 1, 1, "O"), (7, 1, 1, "F"), (7, 1, 1, "Z"), (7, 1, 1, "A")], "l_orderkey long, l_linenumber int, l_partkey long, l_linestatus string"))
+    assert rows(plans.QUERIES["mentioned_entities"](spark, d)) == [("b", "F", 11, 71)]
+    assert sorted(rows(plans.QUERIES["mention_edges"](spark, d))) == [("1", "b", 1, 11), ("7", "b", 1, 71)]
