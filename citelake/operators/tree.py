@@ -8,13 +8,18 @@ few elements above a node, never a comparison of all nodes of a page with each o
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citelake.functions import html
 
-NODE = "pre:int,last:int,depth:int,tag:string,text:string,href:string,above:array<int>"
+NODE = "pre int, last int, depth int, tag string, text string, href string, above array<int>"
+_KINDS = {"pre": pa.int32(), "last": pa.int32(), "depth": pa.int32(), "tag": pa.string(), "text": pa.string(), "href": pa.string(), "above": pa.list_(pa.int32())}
+#: Nodes that a worker holds before it gives them on (those of one page more at most).
+HELD = 8192
 #: Names of nodes that are no elements.
 TEXT, NOTE = "#text", "#note"
 CELLS = ("td", "th")
@@ -26,11 +31,26 @@ def node_rows(pages: DataFrame, page: str, source: str = "html", loose: bool = T
     Write it once for several rules.  ``loose`` as in :mod:`citelake.functions.html`.
     """
 
-    @F.pandas_udf(f"array<struct<{NODE}>>")
-    def cut(sources: pd.Series) -> pd.Series:
-        return sources.map(lambda source: html.numbered(source, loose))
-
-    return pages.select(page, F.explode(cut(source)).alias("_n")).select(page, "_n.*")
+    def told(ids: pa.Array, places: list[int], nodes: list[dict]) -> pa.RecordBatch:
+        columns = [pa.array([n[c] for n in nodes], kind) for c, kind in _KINDS.items()]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(places)), *columns], names=[page, *_KINDS])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places: list[int] = []
+            nodes: list[dict] = []
+            for k in range(batch.num_rows):
+                found = html.numbered(batch.column(1)[k].as_py(), loose)
+                places += [k] * len(found)
+                nodes += found
+                if len(nodes) >= HELD:
+                    yield told(batch.column(0), places, nodes)
+                    places, nodes = [], []
+            if nodes:
+                yield told(batch.column(0), places, nodes)
+
+    kind = pages.schema[page].dataType.simpleString()
+    return pages.select(page, source).mapInArrow(cut, f"`{page}` {kind}, {NODE}")
 
 
 def inside(nodes: DataFrame, page: str, elements: DataFrame, nearest: bool = False) -> DataFrame:

@@ -100,3 +100,12 @@ def test_rules_as_joins(spark):
         # an unclosed element can hold a later list, so an item's number counts its own list's items in document order
         assert (heads[n], sorted(items[n]), sorted(cells[n])) == (want[0], sorted(want[1]), sorted(want[2])), (n, source)
     assert sum(map(len, items.values())) > 30 and sum(map(len, cells.values())) > 30
+
+
+def test_nodes_leave_a_worker_in_bounded_pieces(spark):
+    """Many pages in one batch of Spark's become many small batches of nodes, with none lost."""
+    pages = spark.range(0, 3000, 1, 1).selectExpr("id as p", "repeat('<p>x</p>', 20) as html")
+    nodes = tree.node_rows(pages, "p")
+    assert nodes.count() == 3000 * 40 and nodes.select("p", "pre").distinct().count() == 3000 * 40
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
