@@ -143,3 +143,41 @@ def test_captured_calls(spark, tmp_path):
     events = spark.createDataFrame([(u, n, k, "application/json", b) for n, u, k, b in rows], "url string, seq long, kind string, content_type string, body string")
     got = run(jobs.captured_calls(source(spark, events, tmp_path / "c", files=3)), "captured", "append")
     assert sorted((r["seq"], r["request_seq"], r["body"]) for r in got) == [(0, None, None), (3, 1, "x"), (4, 1, "y")]
+
+
+def test_entries_of_an_empty_map_are_not_looked_up():
+    """What comes and goes before a new map is written costs no call to the store; a stored entry is removed with one."""
+
+    class Store(dict):
+        calls = 0
+
+        def containsKey(self, key):  # noqa: N802
+            self.calls += 1
+            return key in self
+
+        def getValue(self, key):  # noqa: N802
+            self.calls += 1
+            return self[key]
+
+        def updateValue(self, key, value):  # noqa: N802
+            self.calls += 1
+            self[key] = value
+
+        def removeKey(self, key):  # noqa: N802
+            self.calls += 1
+            del self[key]
+
+    store = Store()
+    entries = stateful.Entries(store, True)
+    for n in range(1000):
+        assert entries.get(n) is None
+        entries.put(n, (n,))
+        if n >= 5:
+            entries.put(n - 5, None)
+    entries.flush()
+    assert dict(store) == {(n,): (n,) for n in range(995, 1000)} and store.calls == 5
+    entries.put(999, None)
+    entries.put(1, None)
+    assert entries.get(998) == (998,)
+    entries.flush()
+    assert dict(store) == {(n,): (n,) for n in range(995, 999)}
