@@ -376,3 +376,20 @@ def test_entities_of_lines_with_one_number(spark, tmp_path):
         [(1, 1, 1, "O"), (7, 1, 1, "F"), (7, 1, 1, "Z"), (7, 1, 1, "A")], "l_orderkey long, l_linenumber int, l_partkey long, l_linestatus string"))
     assert rows(plans.QUERIES["mentioned_entities"](spark, d)) == [("b", "F", 11, 71)]
     assert sorted(rows(plans.QUERIES["mention_edges"](spark, d))) == [("1", "b", 1, 11), ("7", "b", 1, 71)]
+
+
+def test_sets_hashed_in_arrow_equal_the_columns(spark):
+    """Words between all white space, the same sets and the same pairs as by ``text.shingles``, and no set is stored or dealt out."""
+    wide = "".join(map(chr, [9, 10, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+    other = "".join(map(chr, [0x84, 0xA1, 0x1681, 0x200B, 0x2027, 0x202A, 0x2060, 0x3001, 0x1F600]))
+    spread = "".join(f"{c}W{n % 7}" for n, c in enumerate(wide * 2))
+    texts = [spread, " ".join(spread.split()), f"A b c d e {other} f " * 3, "a b c d", "", None, " É É é é é x", "a b c d e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r["doc_id"]: r["n"] for r in docs.select("doc_id", F.size(T.shingles(F.col("text"))).alias("n")).where("n > 0").collect()}
+    sets = docs.select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
+    got = {r["id"]: r for r in sets.mapInArrow(dedup._digested(5), "id long, n long, x long, y long").collect()}
+    assert {i: r["n"] for i, r in got.items()} == want and got[0][1:] == got[1][1:] and len({r[1:] for r in got.values()}) == len(got) - 1
+    pairs = dedup.similar_pairs(dedup.shingle_sets(chain(spark)))
+    assert {tuple(r) for r in pairs.collect()} == {(1, 2, 52, 60), (2, 3, 52, 60)}
+    dealt = pairs._jdf.queryExecution().optimizedPlan().toString() + dedup.shingle_sets(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" not in dealt and "array_intersect" not in dealt and "members" not in dealt
