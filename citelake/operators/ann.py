@@ -26,6 +26,8 @@ SAMPLE, CELLS, SLICES, ENTRIES = 20_000, 64, 16, 256
 PROBES, RERANK = 40, 10
 #: Queries that go out at a time.
 BLOCK = 1024
+#: Queries times rows that are compared at a time.
+PAIRS = 1 << 21
 _ROUNDS = 12
 
 
@@ -111,37 +113,51 @@ def index(rows: DataFrame, model: Model, id_col: str = "vec_id", vector: str = "
 
 
 def _probed(model: Model, ids: list, vectors: np.ndarray, probes: int, keep: int):
-    """A function over Arrow batches (id, cell, codes): each task's best rows for each query that reads their cells."""
+    """A function over Arrow batches (id, cell, codes): each task's best rows for each query that reads their cells.
+
+    A cell's rows are rebuilt from their codes and multiplied with all queries that read the cell; only what is no farther than a
+    query's ``keep`` best so far is sorted.  Distances are rounded, so that equal codes are equally far.
+    """
     queries = _unit(vectors)
     near = np.argsort(_distances(queries, model.centres), axis=1, kind="stable")[:, :probes]
-    asking: dict[int, list[int]] = {}
-    for q, cells in enumerate(near.tolist()):
-        for cell in cells:
-            asking.setdefault(cell, []).append(q)
+    asking = {cell: np.flatnonzero((near == cell).any(axis=1)) for cell in np.unique(near).tolist()}
+    rows = max(64, PAIRS // max(1, len(queries)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[float, int, object]]] = {}
-        kind = None
-        turn = 0
+        slices = np.arange(len(model.books))[None, :]
+        reach, q, apart, found = np.full(len(queries), np.inf), np.zeros(0, np.int64), np.zeros(0), None
         for batch in batches:
-            kind = batch.schema.field(0).type
-            row_ids, cells = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(cells), len(model.books))
-            for cell in np.unique(cells).tolist():
-                own = np.flatnonzero(cells == cell)
-                for q in asking.get(cell, ()):
-                    rest = (queries[q] - model.centres[cell]).reshape(len(model.books), 1, -1)
-                    table = ((model.books - rest) ** 2).sum(axis=2)
-                    apart = table[np.arange(len(model.books))[None, :], codes[own]].sum(axis=1)
-                    first = np.argsort(apart, kind="stable")[:keep]
-                    held = best.setdefault(q, [])
-                    held += [(apart[k], turn + int(own[k]), row_ids[own[k]]) for k in first.tolist()]
-                    if len(held) > 4 * keep:
-                        best[q] = sorted(held, key=lambda x: x[:2])[:keep]
-            turn += len(cells)
-        if kind is not None:
-            told = [(ids[q], i, d) for q, held in best.items() for d, _, i in sorted(held, key=lambda x: x[:2])[:keep]]
-            yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in told], kind), pa.array([t[1] for t in told], kind), pa.array([float(t[2]) for t in told], pa.float64())], names=["query_id", "id", "apart"])
+            for first in range(0, batch.num_rows, rows):
+                part = batch.slice(first, rows)
+                cells = part.column(1).to_numpy()
+                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(cells), len(model.books))
+                rebuilt = model.centres[cells] + model.books[slices, codes].reshape(len(cells), -1)
+                lengths = (rebuilt * rebuilt).sum(axis=1)
+                held = len(q)
+                fresh_q, fresh_apart, fresh = [q], [apart], [np.arange(held)]
+                for cell in np.unique(cells).tolist():
+                    asked = asking.get(cell)
+                    if asked is None:
+                        continue
+                    own = np.flatnonzero(cells == cell)
+                    each = 1 + lengths[own][None, :] - 2 * queries[asked] @ rebuilt[own].T
+                    one, other = np.nonzero(each <= reach[asked][:, None])
+                    fresh_q.append(asked[one])
+                    fresh_apart.append(np.round(each[one, other], 9))
+                    fresh.append(held + own[other])
+                q, apart, row = np.concatenate(fresh_q), np.concatenate(fresh_apart), np.concatenate(fresh)
+                order = np.lexsort((row, apart, q))
+                q, apart, row = q[order], apart[order], row[order]
+                rank = np.arange(len(q)) - np.searchsorted(q, q)
+                last = rank == keep - 1
+                reach[q[last]] = apart[last] + 1e-9
+                kept = rank < keep
+                q, apart = q[kept], apart[kept]
+                told = part.column(0) if found is None else pa.concat_arrays([found, part.column(0)])
+                found = told.take(pa.array(row[kept]))
+        if found is not None:
+            asked_ids = pa.array(ids, found.type).take(pa.array(q))
+            yield pa.RecordBatch.from_arrays([asked_ids, found, pa.array(apart)], names=["query_id", "id", "apart"])
 
     return run
 
