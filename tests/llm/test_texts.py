@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from citelake.llm import lang_id, sp_encode, token_counts, toxicity
 from citelake.llm.fingerprints import LEAST, MOST, chunk_ends, chunk_sets, compare_with_edits, containment, fingerprint
-from citelake.llm.line_dedup import drop_repeated_lines, edit_distance, group_lines, normalise, similar
+from citelake.llm.line_dedup import distances, drop_repeated_lines, edit_distance, group_lines, normalise, similar, similar_pairs
 from citelake.llm.queries import BYTE_RANKS, SENTENCEPIECE_MODEL
 from citelake.llm.words import WordHasher
 
@@ -272,6 +272,22 @@ def test_edit_distance():
     assert similar("a" * 10, "a" * 8 + "bb") and not similar("a" * 10, "a" * 7 + "bbb")
 
 
+def test_many_pairs_are_compared_as_one_by_one():
+    chance, one, other = random.Random(3), [], []
+    for k in range(1500):
+        letters = "abcdefgh " if k % 3 else "abcß中😀 "
+        a = [chance.choice(letters) for _ in range(chance.choice([1, 10, 63, 64, 65, 128, 129, 200]))]
+        b = list(a)
+        for _ in range(int(len(a) * chance.choice([0, 0.1, 0.2, 0.3]))):
+            at = chance.randrange(len(b) + 1)
+            b[at : at + chance.randrange(2)] = chance.choice(letters) * chance.randrange(2)
+        one, other = [*one, "".join(a)], [*other, "".join(b)]
+    assert similar_pairs(one, other).tolist() == [similar(x, y) for x, y in zip(one, other, strict=True)]
+    for x, y, low, high in zip(one, other, *distances(one, other, 2), strict=True):
+        assert low <= edit_distance(x, y) <= high
+    assert distances([], [])[0].tolist() == []
+
+
 def test_line_groups(spark):
     rng = random.Random(11)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(200)]
