@@ -165,6 +165,7 @@ def _components(scratch: Scratch, members: DataFrame, sets: DataFrame, percent:
         F.concat(F.array_sort("new"), F.array_sort("gone")).alias("diff"),
     )
     compared = scratch.keep(compared, "compared")
+    scratch.release()
     tied = compared.where("adds <= off").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     apart = compared.where("adds > off").select(F.col("lead").alias("_l"), F.col("id").alias("_i"))
     left = members.join(leaders, in_bucket).join(apart, (F.col("lead") == F.col("_l")) & (F.col("id") == F.col("_i"))).select("bucket", "id")
@@ -178,6 +179,7 @@ def _components(scratch: Scratch, members: DataFrame, sets: DataFrame, percent:
             break
         pairs = led.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
         found = scratch.keep(_links(pairs, sets, percent), f"tied-{turn}")
+        scratch.release()
         tied = tied.union(found)
         told = (F.least("id", "lead") == F.col("a")) & (F.greatest("id", "lead") == F.col("b"))
         left = led.join(found, told, "left_anti").select("bucket", "id")
@@ -220,9 +222,11 @@ def _components(scratch: Scratch, members: DataFrame, sets: DataFrame, percent:
     largest = parts.agg(F.max(F.struct("count", "comp"))["comp"].alias("_largest"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
     among = among.join(largest, (F.col("lead") == F.col("_l")) & (F.col("d") == F.col("_d"))).withColumn("most", F.col("comp") == F.col("_largest"))
     among = scratch.keep(among.drop("_l", "_d", "_largest", "_parts"), "among")
+    scratch.release()
     pairs = meeting(among, among, ~F.col("most") & (F.col("most_") | (F.col("id") < F.col("id_"))))
     pairs = pairs.union(meeting(heads(near, "far_adds"), heads(far, "near_adds"), F.lit(True))).distinct()
     links = scratch.keep(_links(pairs, sets, percent), "links")
+    scratch.release()
     if not links.take(1):
         return first
     return connected_components(links.union(first.select("node", "component")), scratch, "second")

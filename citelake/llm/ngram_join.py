@@ -136,12 +136,15 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     shared = buckets.groupBy("bucket").count().where("count > 1").select(F.col("bucket").alias("_open"))
     shared = scratch.keep(shared, "shared")
     members = possible(buckets, F.col("bucket"), bitmap_of(shared, F.col("_open")))
+    scratch.release()
     members = scratch.keep(members.join(shared, F.col("bucket") == F.col("_open"), "left_semi").distinct(), "members")
+    scratch.release()
 
     wanted = scratch.keep(members.select("id").distinct(), "wanted").withColumnRenamed("id", "_w")
     texts = possible(named.where("id is not null"), F.col("id"), bitmap_of(wanted, F.col("_w")))
     sets = texts.mapInArrow(tidy(_set_batches(shingle)), "id long, members array<long>")
     sets = scratch.keep(sets.join(wanted, F.col("id") == F.col("_w"), "left_semi"), "sets")
+    scratch.release()
     reached = _components(scratch, members, sets, percent)
 
     keyed = signed.withColumn("k", F.when(F.col("n") > 0, key).otherwise(F.struct(F.col("id").alias("x"), F.lit(None).cast("long").alias("y"))))

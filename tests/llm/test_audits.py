@@ -17,6 +17,7 @@ from citelake.llm import queries
 from citelake.llm.filter_audit import audit, replay
 from citelake.llm.ngram_join import ngram_join, signatures
 from citelake.llm.periodic_runs import find_runs, periodic_runs, repeat_tail
+from citelake.llm.scratch import Scratch
 from citelake.llm.words import mix
 
 
@@ -212,3 +213,12 @@ def test_ngram_join(spark, k, percent):
     assert ngram_join(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
         ngram_join(frame(spark), percent=40)
+
+
+def test_ngram_join_lets_go_of_shuffle_files_after_each_large_pass(spark, monkeypatch):
+    keep, done = Scratch.keep, []
+    monkeypatch.setattr(Scratch, "keep", lambda self, table, name: (keep(self, table, name), done.append(name))[0])
+    monkeypatch.setattr(Scratch, "release", lambda self: done.append("release"))
+    rows = [(n, " ".join(f"w{n // 4}x{i}" for i in range(40 - n % 4)), "en", "s", None, 1, "x", 2, "y", "b", "k", "z", 3, 4) for n in range(8)]
+    assert {r["component_id"] for r in ngram_join(frame(spark, rows)).collect()} == {0, 4}
+    assert {done[done.index(n) + 1] for n in ("shared", "members", "sets", "compared", "among", "links")} == {"release"}
