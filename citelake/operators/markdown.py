@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from citelake.functions import html
 
 
-def page_markdown(pages: DataFrame, keep_comments: bool = True, loose: bool = True) -> DataFrame:
-    """``pages`` with ``markdown`` in the place of ``html``; the raw page goes no further.  ``loose`` as in :mod:`citelake.functions.html`."""
+def page_markdown(pages: DataFrame, keep_comments: bool = True, loose: bool = True, repeats: bool = False) -> DataFrame:
+    """``pages`` with ``markdown`` in the place of ``html``; the raw page goes no further.  ``loose`` and ``repeats`` as in :mod:`citelake.functions.html`."""
 
     @F.pandas_udf("string")
     def rendered(sources: pd.Series) -> pd.Series:
-        return sources.map(lambda h: html.to_markdown(h, keep_comments, loose))
+        return sources.map(lambda h: html.to_markdown(h, keep_comments, loose, repeats))
 
     return pages.select(*[c for c in pages.columns if c != "html"], rendered("html").alias("markdown"))
 

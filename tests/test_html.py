@@ -60,6 +60,13 @@ def test_repeated_blocks_go_and_short_ones_stay():
     assert shingle_set("a b c d") == frozenset()
 
 
+def test_repeated_blocks_stay_on_request():
+    line = "one two three four five six seven eight nine ten"  # with the heading's mark six runs of seven are the same
+    page = f"<div class='ad'>{line}</div><h1>{line}</h1><p></p><p>x</p>"
+    assert to_markdown(page) == f"{line}\n\nx"
+    assert to_markdown(page, repeats=True) == f"{line}\n\n# {line}\n\nx"
+
+
 def test_links_are_absolute_unique_and_on_the_same_host():
     page = "<a href='/b#x'>1</a><a href='b'>2</a><a href='mailto:x'>3</a><a href='JavaScript:x'>4</a><a href='http://o.org/'>5</a><a href='#t'>6</a>"
     assert links(page, "http://h.org/a/") == ["http://h.org/b", "http://h.org/a/b"]
