@@ -13,21 +13,21 @@ from citelake.operators.markdown import page_markdown
 from citelake.operators.shared import written
 
 
-def distinct_pages(pages: DataFrame, near: bool = True, loose: bool = True) -> DataFrame:
+def distinct_pages(pages: DataFrame, near: bool = True, loose: bool = True, repeats: bool = False) -> DataFrame:
     """Pages (``page_id, url, html``) as Markdown, without empty ones and without (near) copies of earlier ones."""
-    rendered = written(page_markdown(pages, loose=loose).where(F.length("markdown") > 0), "markdown")
+    rendered = written(page_markdown(pages, loose=loose, repeats=repeats).where(F.length("markdown") > 0), "markdown")
     if not near:
         return exact_keep(rendered, "markdown", "page_id")
     verdict = greedy_keep(rendered, "page_id", "markdown").where("kept").select("page_id")
     return rendered.join(verdict, "page_id", "left_semi")
 
 
-def page_terms(pages: DataFrame, k: int = 10, loose: bool = True) -> DataFrame:
+def page_terms(pages: DataFrame, k: int = 10, loose: bool = True, repeats: bool = False) -> DataFrame:
     """The flagship query: what the chunks of the distinct pages are about, with their source.
 
     ``page_id, url, chunks, rank, term, n, tf``: the ``k`` most frequent terms of each distinct page.
     """
-    kept = written(distinct_pages(pages, loose=loose), "distinct")
+    kept = written(distinct_pages(pages, loose=loose, repeats=repeats), "distinct")
     pages = kept.select("page_id", "url", F.size(chunks(F.col("markdown"))).cast("long").alias("chunks"))
     return pages.join(top_terms(kept, k, "page_id", "markdown"), "page_id").select("page_id", "url", "chunks", "rank", "term", "n", "tf")
 

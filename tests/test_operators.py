@@ -337,6 +337,13 @@ def test_flagship_and_functions(spark):
     assert markdown.page_titles(pages).columns == ["page_id", "url", "title"]
 
 
+def test_terms_count_repeated_blocks_on_request(spark):
+    line = "one two three four five six seven eight nine ten"
+    pages = spark.createDataFrame([(1, "u", f"<div>{line}</div><h1>{line}</h1>")], "page_id long, url string, html string")
+    assert {r["n"] for r in page_terms(pages).collect()} == {1}
+    assert {(r["term"], r["n"]) for r in page_terms(pages, 11, repeats=True).collect()} == {*((w, 2) for w in line.split()), ("#", 1)}
+
+
 def test_settings():
     got = Settings.from_environment({"CITELAKE_CHUNK_WORDS": "20", "CITELAKE_BATCH": "x", "CITELAKE_WINDOWS": "-1"})
     assert (got.chunk_words, got.batch, got.windows) == (20, 64, 4)
