@@ -4,11 +4,15 @@ A page is parsed once.  Each node is a row with its number in document order (``
 its depth and the numbers of the elements that hold it (``above``, outermost first); a node is inside an element iff its number
 lies in ``(pre, last]``, iff the element's number is in its ``above``.  So "inside" is an equality join on page and number over the
 few elements above a node, never a comparison of all nodes of a page with each other.
+
+Rules that need one page at a time can also read it as one row (:func:`page_trees`), whose nodes are an array in document order: what
+is inside an element is a slice of it, so nothing is dealt out or written but the rows that the rules give.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -121,3 +125,88 @@ def table_cells(nodes: DataFrame, page: str) -> DataFrame:
     row = F.dense_rank().over(Window.partitionBy(page, "table").orderBy("_in"))
     column = F.row_number().over(Window.partitionBy(page, "_in").orderBy("_cell"))
     return joined.select(page, "table", row.alias("row"), column.alias("column"), "text")
+
+
+TREE = "array<struct<pre: int, last: int, tag: string, text: string, above: array<int>>>"
+#: The tag of nodes that do not show.
+GONE = "#gone"
+
+
+def page_trees(pages: DataFrame, page: str, source: str = "html", loose: bool = True) -> DataFrame:
+    """``page, nodes`` for every page: its nodes in document order, so that a node's number is its place.  ``loose`` as in :mod:`citelake.functions.html`."""
+    names = ("pre", "last", "tag", "text", "above")
+
+    def told(ids: pa.Array, sizes: list[int], nodes: list[dict]) -> pa.RecordBatch:
+        flat = pa.StructArray.from_arrays([pa.array([n[c] for n in nodes], _KINDS[c]) for c in names], names=list(names))
+        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), flat)], names=[page, "nodes"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, sizes, nodes = 0, [], []
+            for k in range(batch.num_rows):
+                found = html.numbered(batch.column(1)[k].as_py(), loose)
+                sizes.append(len(found))
+                nodes += found
+                if len(nodes) >= HELD:
+                    yield told(batch.column(0).slice(first, len(sizes)), sizes, nodes)
+                    first, sizes, nodes = k + 1, [], []
+            if sizes:
+                yield told(batch.column(0).slice(first, len(sizes)), sizes, nodes)
+
+    kind = pages.schema[page].dataType.simpleString()
+    return pages.select(page, source).mapInArrow(cut, f"`{page}` {kind}, nodes {TREE}")
+
+
+def shown_nodes(nodes: Column) -> Column:
+    """``nodes`` in their places, those that are stripped or inside a stripped element without text and by the name ``GONE``."""
+    closed = lambda tag: tag.isin(*html.STRIPPED, *html.SKIPPED)
+    hidden = lambda n: closed(n["tag"]) | F.exists(n["above"], lambda p: closed(nodes[p]["tag"]))
+    return F.transform(nodes, lambda n: F.when(hidden(n), n.withField("tag", F.lit(GONE)).withField("text", F.lit(None).cast("string"))).otherwise(n))
+
+
+def _below(nodes: Column, element: Column) -> Column:
+    return F.slice(nodes, element["pre"] + 2, element["last"] - element["pre"])
+
+
+def _nearest(nodes: Column, node: Column, *tags: str) -> Column:
+    """The number of the innermost element of these names that holds ``node``; null without one."""
+    return F.array_max(F.filter(node["above"], lambda p: nodes[p]["tag"].isin(*tags)))
+
+
+def _text_of(nodes: Column, element: Column, own=lambda n: F.lit(True)) -> Column:
+    """The texts inside ``element`` (those that ``own`` takes) with single spaces."""
+    texts = F.filter(_below(nodes, element), lambda n: (n["tag"] == TEXT) & own(n))
+    return F.trim(F.regexp_replace(F.array_join(F.transform(texts, lambda n: n["text"]), ""), r"\s+", " "))
+
+
+def tree_headings(nodes: Column) -> Column:
+    """An array of ``level, text``: as :func:`headings`, in document order."""
+    found = F.transform(
+        F.filter(nodes, lambda n: n["tag"].isin(*html.HEADINGS)), lambda n: F.struct(F.substring(n["tag"], 2, 1).cast("int").alias("level"), _text_of(nodes, n).alias("text"))
+    )
+    return F.filter(found, lambda h: h["text"] != "")
+
+
+def tree_list_items(nodes: Column) -> Column:
+    """An array of ``level, ordered, number, text``: as :func:`list_items`, list by list."""
+    kinds = sorted(html.LISTS)
+
+    def of(held: Column) -> Column:
+        own = F.filter(_below(nodes, held), lambda n: (n["tag"] == "li") & (_nearest(nodes, n, *kinds) == held["pre"]))
+        texts = F.transform(own, lambda item: _text_of(nodes, item, lambda n: _nearest(nodes, n, "li", *kinds) == item["pre"]))
+        level = F.size(F.filter(held["above"], lambda p: nodes[p]["tag"].isin(*kinds)))
+        return F.transform(F.filter(texts, lambda t: t != ""), lambda t, i: F.struct(level.alias("level"), (held["tag"] == "ol").alias("ordered"), (i + 1).alias("number"), t.alias("text")))
+
+    return F.flatten(F.transform(F.filter(nodes, lambda n: n["tag"].isin(*kinds)), of))
+
+
+def tree_table_cells(nodes: Column) -> Column:
+    """An array of ``table, row, column, text``: as :func:`table_cells`, in the order of tables, rows and columns."""
+
+    def of(held: Column, table: Column) -> Column:
+        rows = F.filter(_below(nodes, held), lambda n: (n["tag"] == "tr") & (_nearest(nodes, n, "table") == held["pre"]))
+        cells = F.transform(rows, lambda r: F.filter(_below(nodes, r), lambda n: n["tag"].isin(*CELLS) & (_nearest(nodes, n, "tr") == r["pre"])))
+        placed = lambda c, row, column: F.struct((table + 1).alias("table"), (row + 1).alias("row"), (column + 1).alias("column"), _text_of(nodes, c).alias("text"))
+        return F.flatten(F.transform(F.filter(cells, lambda x: F.size(x) > 0), lambda x, row: F.transform(x, lambda c, column: placed(c, row, column))))
+
+    return F.flatten(F.transform(F.filter(nodes, lambda n: n["tag"] == "table"), of))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from citelake.functions import html
 from citelake.operators import tree
+from citelake.plans import queries
 
 
 def some_page(rng: random.Random, depth: int = 0) -> str:
@@ -109,3 +112,25 @@ def test_nodes_leave_a_worker_in_bounded_pieces(spark):
     assert nodes.count() == 3000 * 40 and nodes.select("p", "pre").distinct().count() == 3000 * 40
     plan = nodes._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def test_rules_on_trees(spark):
+    rng = random.Random(11)
+    pages = [(n, some_page(rng)) for n in range(150)] + [(150, None), (151, "")]
+    trees = tree.page_trees(spark.createDataFrame(pages, "p int, html string"), "p").select("p", tree.shown_nodes(F.col("nodes")).alias("nodes")).cache()
+    rules = [rule(F.col("nodes")).alias(name) for name, rule in (("h", tree.tree_headings), ("i", tree.tree_list_items), ("c", tree.tree_table_cells))]
+    got = {r["p"]: [[tuple(x) for x in r[k]] for k in "hic"] for r in trees.select("p", *rules).collect()}
+    for n, source in pages:
+        want = walked(source or "")
+        assert (got[n][0], sorted(got[n][1]), got[n][2]) == (want[0], sorted(want[1]), want[2]), (n, source)
+    assert sum(len(x[1]) for x in got.values()) > 30 and sum(len(x[2]) for x in got.values()) > 30
+
+
+def test_outline_of_records_writes_and_deals_out_no_nodes(spark, monkeypatch):
+    monkeypatch.setattr(queries.shared, "written", None)
+    rows = queries.record_outline(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    above, _, _ = plan.partition("MapInArrow")
+    assert "Join" not in above and "Repartition" not in above and "Aggregate" not in above
+    kinds = {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}
+    assert kinds == {"heading": 300, "item": 4500, "cell": 3450}
