@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from citelake.llm import queries
 from citelake.llm.filter_audit import audit, replay
+from citelake.llm.line_dedup import BANDS, PASSES, group_lines
 from citelake.llm.ngram_join import ngram_join, signatures
 from citelake.llm.periodic_runs import find_runs, periodic_runs, repeat_tail
 from citelake.llm.scratch import Scratch
@@ -222,3 +223,15 @@ def test_ngram_join_lets_go_of_shuffle_files_after_each_large_pass(spark, monkey
     rows = [(n, " ".join(f"w{n // 4}x{i}" for i in range(40 - n % 4)), "en", "s", None, 1, "x", 2, "y", "b", "k", "z", 3, 4) for n in range(8)]
     assert {r["component_id"] for r in ngram_join(frame(spark, rows)).collect()} == {0, 4}
     assert {done[done.index(n) + 1] for n in ("shared", "members", "sets", "compared", "among", "links")} == {"release"}
+
+
+def test_line_dedup_deals_out_keys_in_passes_and_lets_go_of_shuffle_files(spark, monkeypatch):
+    keep, done = Scratch.keep, []
+    monkeypatch.setattr(Scratch, "keep", lambda self, table, name: (keep(self, table, name), done.append(name))[0])
+    monkeypatch.setattr(Scratch, "release", lambda self: done.append("release"))
+    line = " ".join(f"word{n}" for n in range(40))
+    docs = spark.createDataFrame([(n, line.replace(f"word3{n}", "other")) for n in range(3)], "doc_id long, text string")
+    assert [(r["group_doc"], r["group_size"]) for r in group_lines(docs).collect()] == [(0, 3)] * 3
+    assert sorted(n for turn in range(PASSES) for n in range(turn, BANDS, PASSES)) == list(range(BANDS))
+    after = ["classes", *(f"shared-{turn}" for turn in range(PASSES)), "texts", "pairs-0", "compared-0", "linked", "groups"]
+    assert PASSES > 1 and {done[done.index(n) + 1] for n in after} == {"release"}
